@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import decontam, langid, mixing, neardup, quality, rules
+from seqspark.llm import decontam, langid, mixing, neardup, pii, quality, rules
 from seqspark.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(documents(spark, sf_dir))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,5 +46,6 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_decontaminate": op5_decontaminate,
     "op6_rule_ledger": op6_rule_ledger,
+    "op7_surrogates": op7_surrogates,
     "op10_source_mix": op10_source_mix,
 }
