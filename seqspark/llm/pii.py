@@ -33,19 +33,25 @@ TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m",
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_ASSIGNED = r"(?i:(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+_ASSIGNED = r"(?:(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+#: Each pattern of the first group begins with a letter, each of the second with none.
 PATTERNS = {
     "secret": _ASSIGNED + r"[A-Za-z0-9_\-+/=.]{8,}",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]+)+",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4})(?![\d])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?",
+    "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "name": rf"(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?",
+    "ip": rf"(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "card": r"(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d|\.\d)",
+    "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<!\d[.-])\d{3}[-.]\d{3}[-.]\d{4})(?!\d)",
+    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]+)+",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_LETTERED, _NUMBERED = ("secret", "key", "iban", "name"), ("ip", "card", "ssn", "phone")
+#: An entity begins where no letter, digit or part of an address stands before; the character that it begins with decides what is tried.
+ENTITY = (
+    r"(?<![A-Za-z0-9_\p{L}])(?:(?=[A-Za-z])(?:" + "|".join(PATTERNS[k] for k in _LETTERED) + r")|(?=[\d+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERED)
+    + r")|(?<![.%+-])(?:" + PATTERNS["email"] + "))"
+)
 
 #: Letters that stand for a letter of each script.
 SCRIPTS = {r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω"}
