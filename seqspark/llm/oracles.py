@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from seqspark.llm import licenses
+
 
 def _seats(items: str, within: str, item: str) -> str:
     """Highest quotients votes / (2k + 1) over the columns votes, seats and cap of a table."""
@@ -115,9 +117,47 @@ bits AS (
 SELECT *, failures & 3 > 0 AS base_failed, failures & 15 = 0 AS kept FROM bits
 """
 
+OP8 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+said AS (
+  SELECT *, len(regexp_replace(role, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g'))
+    + len(regexp_replace(text, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')) + len('<|turn|><|text|><|end|>') AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars FROM said GROUP BY conv_id
+"""
+
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+
+OP9 = rf"""
+WITH templates AS (SELECT id, license, regexp_extract_all(lower(template), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {_TEMPLATES}) AS t(id, license, template)),
+wanted AS (
+  SELECT DISTINCT id, license, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM templates)),
+sizes AS (SELECT id, count(*) AS m FROM wanted GROUP BY id),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+runs AS (SELECT r, doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM docs)),
+held AS (SELECT r, doc_id, p, id, license, s FROM runs JOIN wanted USING (s)),
+windows AS (SELECT DISTINCT r, id, q AS place FROM (SELECT r, id, p, unnest(range(greatest(p - 3, 0), p + 1)) AS q FROM held) WHERE q % 2 = 0),
+near AS (
+  SELECT h.r, h.doc_id, h.license, place, count(DISTINCT s) / any_value(m) AS containment
+  FROM windows x JOIN held h ON x.r = h.r AND x.id = h.id AND h.p BETWEEN place - 256 AND place + 256 JOIN sizes z ON h.id = z.id GROUP BY h.r, h.doc_id, h.license, h.id, place),
+lines AS (
+  SELECT r, doc_id, n, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+') AS w FROM (
+    SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM docs)),
+short AS (SELECT r, doc_id, license, -n AS place, 1.0 AS containment FROM lines l JOIN templates t ON l.w = t.w WHERE len(l.w) BETWEEN 1 AND 4)
+SELECT doc_id, license, count(DISTINCT place) AS n_places, min(place) FILTER (place >= 0) AS first_word, max(containment) AS containment
+FROM (SELECT r, doc_id, license, place, containment FROM near WHERE containment >= 0.8 UNION ALL SELECT * FROM short) GROUP BY r, doc_id, license
+"""
+
 ORACLES = {
     "op4_near_duplicates": OP4,
     "op5_decontaminate": OP5,
     "op6_rule_ledger": OP6,
+    "op8_chat_tree": OP8,
+    "op9_license_scan": OP9,
     "op10_source_mix": OP10,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import decontam, langid, mixing, neardup, pii, quality, rules
+from seqspark.llm import chatfmt, decontam, langid, licenses, mixing, neardup, pii, quality, rules
 from seqspark.llm.common import documents
 
 
@@ -36,6 +36,17 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
 
 
+def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chatfmt.read_back(chatfmt.prefix_tree(rows))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,5 +58,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_surrogates": op7_surrogates,
+    "op8_chat_tree": op8_chat_tree,
+    "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
 }
