@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The documents, one of each group of near duplicates; of rows of equal doc_id and text, one."""
-    kept = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    nameless = docs.where("doc_id IS NULL")
-    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(nameless)
+    """The documents, one of each group of near duplicates; of rows of equal doc_id and text, one. Rows without a doc_id stay."""
+    kept = near_duplicates(docs, **settings).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    chosen = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    chosen = chosen.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return chosen.unionByName(docs.where("doc_id IS NULL"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import chatfmt, decontam, langid, licenses, mixing, neardup, pii, quality, rules
+from seqspark.llm import chatfmt, decontam, langid, licenses, mixing, neardup, pii, quality, rules, tokencount
 from seqspark.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_edited(documents(spark, sf_dir), tokencount.revisions())
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), shingle=4)
 
@@ -54,6 +58,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_gru": op1_language_gru,
     "op2_quality_fm": op2_quality_fm,
+    "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_decontaminate": op5_decontaminate,
     "op6_rule_ledger": op6_rule_ledger,
