@@ -1,7 +1,395 @@
-"""The registered queries over the library's own operators."""
+"""The registered queries over the library's own operators. Each takes (spark, sf_dir); doubles are given to six digits."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqspark.functions import scalars as S
+from seqspark.operators import blends, groups, hands, metrics, redundancy, scores, selection, sets
+from seqspark.oracles import ORACLES  # noqa: F401
+from seqspark.sources import views
+
 FLAGSHIP = "signature_scores"
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to some digits; -0 is 0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query
+def hand_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HF1-HF17, FLT1-FLT3, JN2, JN3: the hero's 44 features of every hand."""
+    return rounded(hands.hand_features(views.hourly(spark, sf_dir)))
+
+
+@query
+def actor_features(spark, sf_dir):
+    """HX1-HX9: 28 features of all actors of every hand."""
+    return rounded(hands.actor_features(views.hourly(spark, sf_dir)), 9)
+
+
+@query
+def hand_statistics(spark, sf_dir):
+    """GA1: mean, deviation and quartiles of the 44 by group."""
+    return rounded(groups.hand_statistics(hands.hand_features(views.hourly(spark, sf_dir))))
+
+
+@query
+def group_consistency(spark, sf_dir):
+    """GA2-GA5."""
+    return rounded(groups.consistency(hands.hand_features(views.hourly(spark, sf_dir))))
+
+
+@query
+def pooled_sizes(spark, sf_dir):
+    """GA6-GA8, PRJ8-PRJ10, JN5."""
+    return rounded(groups.pooled_sizes(views.hourly(spark, sf_dir)))
+
+
+@query
+def policy(spark, sf_dir):
+    """GX8, GX9, HF18."""
+    return rounded(groups.policy(views.hourly(spark, sf_dir)))
+
+
+@query
+def actor_statistics(spark, sf_dir):
+    """HX10: seven statistics of the 28 by group."""
+    return rounded(groups.actor_statistics(hands.actor_features(views.hourly(spark, sf_dir))), 9)
+
+
+@query
+def actor_group(spark, sf_dir):
+    """HX11-HX15."""
+    return rounded(groups.actor_group(views.short(spark, sf_dir)))
+
+
+@query
+def group_vectors(spark, sf_dir):
+    """GX10, GX11, RP6, RP7: the whole vector of 433 columns (rows only: two of them are compressed sizes)."""
+    return groups.group_features(views.short(spark, sf_dir))
+
+
+@query
+def hand_tensor(spark, sf_dir):
+    """SRC8, PRJ20: the first 40 hands of each group, standardised."""
+    first = hands.first_hands(hands.hand_features(views.short(spark, sf_dir)))
+    return rounded(hands.standardised(first, ["n_actions", "aggr_frac", "stack_bb", "total_pot_bb"]).select("group_id", "hand_id", F.col("place").cast("long").alias("place"), "n_actions", "aggr_frac", "stack_bb", "total_pot_bb"), 4)
+
+
+@query
+def signatures(spark, sf_dir):
+    """SIG1, PRJ4, PRJ7, JN4."""
+    return redundancy.signatures(views.short(spark, sf_dir))
+
+
+@query
+def signature_shares(spark, sf_dir):
+    """SIG2, SIG4, SIG6."""
+    return rounded(redundancy.signature_shares(redundancy.signatures(views.short(spark, sf_dir))))
+
+
+def _signature_scores(spark, sf_dir) -> DataFrame:
+    shares = redundancy.signature_shares(redundancy.signatures(views.short(spark, sf_dir)))
+    return redundancy.signature_scores(shares)
+
+
+@query
+def signature_scores(spark, sf_dir):
+    """SIG3, SIG5, PRJ3, PRJ14, WN2, SM2's batch twin: each group's score, remapped by rank within its batch."""
+    rows = _signature_scores(spark, sf_dir).select("group_id", "score", F.col("score").alias("raw_score"))
+    rows = rows.withColumn("batch_id", F.floor(F.col("group_id") / 100)).withColumn("idx", F.col("group_id"))
+    return rounded(scores.batch_rank(rows).select("group_id", "batch_id", "raw_score", "score"))
+
+
+@query
+def redundancy_measures(spark, sf_dir):
+    """RP1-RP5, RP8, RP9, JN7, ST2."""
+    return rounded(redundancy.redundancy_features(views.short(spark, sf_dir), with_compression=False))
+
+
+@query
+def compression_measures(spark, sf_dir):
+    """RP6, RP7 (rows only)."""
+    return redundancy.compressibility(redundancy._rich(views.short(spark, sf_dir)))
+
+
+@query
+def scalar_codes(spark, sf_dir):
+    """PRJ1, PRJ2, PRJ4, PRJ5, PRJ6, PRJ7, PRJ9, PRJ11: codes, defaults and grids of every event."""
+    e = views.table(spark, sf_dir, "events")
+    units = F.round(F.col("value") * 100).cast("long") / 1000
+    return rounded(e.select(
+        "event_id", S.size_code(units).alias("size_code"), S.pot_bucket(units).alias("pot_bucket"), S.street_ordinal(F.element_at(F.array(*[F.lit(s) for s in S.STREETS]), (F.col("event_id") % 5 + 1).cast("int"))).cast("long").alias("street_no"),
+        S.action_code(F.upper(views._map(views.EVENT_ACTIONS, F.col("event_type")))).alias("action_code"), S.snapped(units, S.EXACT_GRID).alias("exact"), S.snapped(units, S.VISIBLE_GRID).alias("visible"),
+        S.snapped(units, S.FRACTION_GRID).alias("fraction"), S.or_default((F.col("event_id") % 3).cast("double"), 0.02).alias("or_default"), S.number(F.get_json_object("props", "$.k")).alias("k"), S.number(F.col("event_type"), -1.0).alias("no_number"),
+        S.relative_position((F.col("user_id") % 6).cast("int"), (F.col("event_id") % 4).cast("int"), F.lit(6)).alias("position"),
+    ))
+
+
+@query
+def calibration(spark, sf_dir):
+    """PRJ13-PRJ15, SM3: logits, anchors and recentring of part scores."""
+    m = views.scored(spark, sf_dir)
+    missing = F.when(F.col("idx") % 7 == 0, F.lit(None)).otherwise(F.col("mono"))
+    return rounded(m.select(
+        "idx", S.logit(F.col("stack")).alias("logit"), S.sigmoid(S.logit(F.col("stack"))).alias("again"), S.anchored(F.col("mlp")).alias("anchored"),
+        S.recentred(F.col("drse"), F.lit(0.4)).alias("recentred"), scores.neutral_on_failure(missing).alias("neutral"),
+    ))
+
+
+@query
+def action_mix_by_customer(spark, sf_dir):
+    """GA2, GA7 over many groups: actions, their entropy and the concentration of sizes by customer."""
+    rows = views.customers(spark, sf_dir)
+    per = rows.groupBy("group_id", "release", "label").agg(
+        F.countDistinct("hand_id").alias("n_hands"), F.count("*").alias("n_actions"), F.avg("size").alias("mean_size"), F.stddev_pop("size").alias("std_size"),
+        F.percentile("size", 0.5).alias("median_size"), F.avg(F.col("action_type").isin("bet", "raise").cast("double")).alias("aggr_frac"),
+    )
+    mix = groups.concentration(rows, ["group_id"], "action_type", "action")
+    sizes = groups.concentration(rows, ["group_id"], "size", "size")
+    return rounded(per.join(mix, "group_id").join(sizes, "group_id", "left"))
+
+
+@query
+def customer_bigrams(spark, sf_dir):
+    """WN7, WN8: switches, longest runs and pair entropy of each customer's orders."""
+    rows = views.customers(spark, sf_dir)
+    order = Window.partitionBy("group_id", "hand_id").orderBy("action_idx")
+    rows = rows.withColumn("after", F.lead("action_type").over(order)).withColumn("changed", (F.col("action_type") != F.lag("action_type").over(order)).cast("int"))
+    rows = rows.withColumn("run", F.sum(F.coalesce("changed", F.lit(0))).over(order))
+    runs = rows.groupBy("group_id", "hand_id", "run").count().groupBy("group_id").agg(F.max("count").alias("longest_run"))
+    pairs = rows.where("after IS NOT NULL").withColumn("pair", F.concat_ws(">", "action_type", "after"))
+    grams = groups.concentration(pairs, ["group_id"], "pair", "pair")
+    switches = rows.groupBy("group_id").agg(F.avg(F.col("changed").cast("double")).alias("switch_rate"))
+    return rounded(switches.join(runs, "group_id").join(grams, "group_id", "left"))
+
+
+@query
+def rank_positions(spark, sf_dir):
+    """WN1, ML17: ranks within batches and the rank blend."""
+    m = views.scored(spark, sf_dir)
+    ranks = {f"r_{p}": scores.rank01(p) for p in views.PARTS}
+    return rounded(m.withColumns(ranks).select("idx", *ranks, scores.rank_blend(dict(zip(views.PARTS, (3.0, 2.0, 1.0, 2.0), strict=True))).alias("blend")))
+
+
+@query
+def blended_scores(spark, sf_dir):
+    """ML15, ML18, JN9: weighted mean and log-odds blend."""
+    m = views.scored(spark, sf_dir)
+    w = dict(zip(views.PARTS, (3.0, 2.0, 1.0, 2.0), strict=True))
+    return rounded(m.select("idx", scores.soft_vote(w).alias("vote"), scores.log_odds_blend(w).alias("log_odds")))
+
+
+@query
+def served_scores(spark, sf_dir):
+    """ML21, PRJ15, WN3-WN5, FLT9: recentred, empty groups fixed, minimum and budget of positive calls."""
+    m = views.scored(spark, sf_dir).select("batch_id", "idx", "score", (F.col("idx") % 11 != 0).alias("is_live"))
+    return rounded(scores.served(m, F.lit(0.55)).select("batch_id", "idx", "score"))
+
+
+@query
+def lifted_scores(spark, sf_dir):
+    """WN3: batches without positives get two."""
+    m = views.scored(spark, sf_dir).select("batch_id", "idx", (F.col("score") * 0.45).alias("score"))
+    return rounded(scores.min_positives(m, 2))
+
+
+@query
+def ranking_metrics(spark, sf_dir):
+    """AG1-AG3 by release, on scores with ties."""
+    m = views.scored(spark, sf_dir).select("release", "label", F.col("tied").alias("score"))
+    return rounded(metrics.ranking_metrics(m, ["release"]))
+
+
+@query
+def hard_metrics(spark, sf_dir):
+    """AG4."""
+    return rounded(metrics.hard_metrics(views.scored(spark, sf_dir), ["release"]))
+
+
+@query
+def fpr_thresholds(spark, sf_dir):
+    """AG5, AG6."""
+    m = views.scored(spark, sf_dir)
+    order = metrics.order_threshold(m, ["release"]).withColumnRenamed("threshold", "by_order")
+    return rounded(order.join(metrics.quantile_threshold(m, ["release"]).withColumnRenamed("threshold", "by_quantile"), "release"), 8)
+
+
+@query
+def release_report(spark, sf_dir):
+    """AG7, AG9, FLT6."""
+    return rounded(metrics.release_report(views.scored(spark, sf_dir)))
+
+
+@query
+def report_summary(spark, sf_dir):
+    """AG8, AG9's roll-up."""
+    return rounded(metrics.report_summary(metrics.release_report(views.scored(spark, sf_dir))))
+
+
+@query
+def score_correlation(spark, sf_dir):
+    """AG13."""
+    return rounded(views.scored(spark, sf_dir).groupBy("release").agg(F.corr("stack", "mono").alias("r_stack_mono"), F.corr("mlp", "drse").alias("r_mlp_drse")))
+
+
+def _long(spark, sf_dir, keys: list[str]) -> DataFrame:
+    m = views.scored(spark, sf_dir)
+    wide = m.select(*keys, *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(16)])
+    return metrics.feature_long(wide, keys, [f"f{k}" for k in range(16)])
+
+
+@query
+def feature_shift(spark, sf_dir):
+    """AG11, SM4's batch twin, PRJ18: shift of each feature between the newest release and the rest."""
+    rows = _long(spark, sf_dir, ["release"])
+    shift = metrics.feature_shift(rows.where("release = '7'"), rows.where("release <> '7'"))
+    return rounded(shift.withColumn("kept", F.col("z") <= 5))
+
+
+@query
+def most_shifted(spark, sf_dir):
+    """WN10: the twelve features that have shifted most."""
+    rows = _long(spark, sf_dir, ["release"])
+    return rounded(metrics.feature_shift(rows.where("release = '7'"), rows.where("release <> '7'")).select("feature", "z").orderBy(F.desc("z")).limit(12))
+
+
+@query
+def rank_correlations(spark, sf_dir):
+    """AG12: Spearman's correlation of each feature and the label by release."""
+    return rounded(metrics.rank_correlations(_long(spark, sf_dir, ["release", "label"])))
+
+
+@query
+def steady_signs(spark, sf_dir):
+    """AG12: features whose sign is steady over releases."""
+    return rounded(metrics.steady_signs(metrics.rank_correlations(_long(spark, sf_dir, ["release", "label"]))))
+
+
+@query
+def attention_pooling(spark, sf_dir):
+    """AG15: softmax-weighted pooling of hands."""
+    rows = hands.hand_features(views.short(spark, sf_dir)).select("group_id", "aggr_frac", "total_pot_bb", "n_actions")
+    return rounded(metrics.attention_pool(rows, "aggr_frac", ["total_pot_bb", "n_actions"]))
+
+
+@query
+def set_profile(spark, sf_dir):
+    """AG14."""
+    rows = views.customers(spark, sf_dir).groupBy("group_id", "release", "label").agg(F.countDistinct("hand_id").alias("n_hands"))
+    return rounded(metrics.profile(rows))
+
+
+@query
+def eligible_releases(spark, sf_dir):
+    """FLT6, FLT7, WN11, WN12: releases with enough rows, rows before each, newest and first seen."""
+    m = views.scored(spark, sf_dir)
+    newest = selection.latest_releases(m, 3).withColumn("is_newest", F.lit(True))
+    out = selection.eligible_releases(m).join(selection.eligible_folds(m), "release", "left").join(selection.release_order(m, "idx"), "release")
+    return out.join(newest, "release", "left").withColumn("is_newest", F.coalesce("is_newest", F.lit(False)))
+
+
+@query
+def release_folds(spark, sf_dir):
+    """ML1: whole releases dealt to folds."""
+    return selection.grouped_folds(views.customers(spark, sf_dir).select("release"), 3)
+
+
+@query
+def holdout_rows(spark, sf_dir):
+    """FLT4, FLT5: the newest release is held out."""
+    m = views.scored(spark, sf_dir).withColumn("split", F.lit("train"))
+    return selection.holdout(m).groupBy("release", "is_holdout").agg(F.count("*").alias("n"))
+
+
+@query
+def deduplicated(spark, sf_dir):
+    """ST3, JN8, SM1's batch twin: the first hand of each signature that earlier groups have not shown."""
+    signed = redundancy.signatures(views.short(spark, sf_dir))
+    seen, fresh = signed.where("group_id < 2"), signed.where("group_id >= 2")
+    return sets.first_of_each(fresh, "signature", "hand_id", None, seen).select("hand_id", "signature")
+
+
+@query
+def resampled_groups(spark, sf_dir):
+    """ST4, ST5: groups of 20 and 40 hands drawn from customers of one release and label."""
+    rows = views.customers(spark, sf_dir).select("release", "label", "group_id", "hand_id").distinct()
+    rows = rows.withColumn("n_hands", F.count("*").over(Window.partitionBy("group_id")))
+    return sets.resampled(rows, [20, 40], 2)
+
+
+@query
+def unioned_groups(spark, sf_dir):
+    """ST1: native and drawn groups together, by origin."""
+    rows = views.customers(spark, sf_dir).select("release", "label", "group_id", "hand_id").distinct()
+    drawn = sets.resampled(rows.withColumn("n_hands", F.count("*").over(Window.partitionBy("group_id"))), [20, 40], 2)
+    both = sets.with_resampled(rows, drawn)
+    return both.groupBy("release", "label", "size").agg(F.count("*").alias("n"))
+
+
+@query
+def hand_dropout(spark, sf_dir):
+    """ST7."""
+    rows = views.customers(spark, sf_dir).select("group_id", "hand_id").distinct()
+    return sets.hand_dropout(rows)
+
+
+GRID = {"stack": (10, 30), "mono": (5, 20), "mlp": (0, 15), "drse": (0, 15)}
+PRIOR = {"stack": 20, "mono": 15, "mlp": 5, "drse": 10}
+
+
+@query
+def weight_rewards(spark, sf_dir):
+    """ST8, JN10, ML20: every candidate weight vector thresholded, served and rewarded by itself."""
+    coarse = sets.weight_grid(spark, {k: (a // 5, b // 5) for k, (a, b) in GRID.items()}, {k: w // 5 for k, w in PRIOR.items()}, 10)
+    blended = blends.candidate_scores(views.scored(spark, sf_dir), coarse, list(views.PARTS))
+    rewards = blends.rewarded(blended)
+    out = coarse.join(rewards.select("candidate", "threshold", "reward"), "candidate")
+    return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("candidate", *GRID)}), 5)
+
+
+@query
+def linear_sweep(spark, sf_dir):
+    """ML19: AUC of linear blends."""
+    return rounded(blends.linear_sweep(views.scored(spark, sf_dir), "stack", "mlp", [0.2, 0.3, 0.4, 0.5]))
+
+
+def _model_metrics(spark, sf_dir) -> DataFrame:
+    m = views.scored(spark, sf_dir)
+    long = m.unpivot(["idx", "release", "label"], list(views.PARTS), "model", "score")
+    out = metrics.ranking_metrics(long, ["model"]).join(metrics.hard_metrics(long, ["model"]), "model")
+    out = out.withColumn("safety", F.greatest(F.lit(0.0), 1 - F.col("hard_fpr")))
+    return out.withColumn("reward", metrics.reward(F.col("ap"), F.col("recall_at_fpr"), F.col("hard_fpr")))
+
+
+@query
+def promotion(spark, sf_dir):
+    """PG1-PG3, JN11, AG10, ML23: which model may replace the first one."""
+    rows = _model_metrics(spark, sf_dir)
+    candidates = selection.gate_reasons(rows.where("model <> 'stack'").withColumn("forced", F.col("model") == "drse"), max_fpr=0.6)
+    out = selection.promotion(candidates, rows.where("model = 'stack'"))
+    return rounded(out.select("model", "reward", "hard_fpr", F.array_join("reasons", ",").alias("reasons"), "regression", "accepted"))
+
+
+@query
+def newest_snapshots(spark, sf_dir):
+    """PG5, WN9: the ten newest orders stand for snapshots."""
+    return selection.newest(views.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query
+def flattened_conversations(spark, sf_dir):
+    """SRC6: nested turns to rows with their places and back, by conversation."""
+    c = views.table(spark, sf_dir, "conversations")
+    nested = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("size")))).alias("turns"))
+    flat = nested.select("conv_id", F.posexplode("turns").alias("place", "t"))
+    return flat.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.col("place") * F.col("t.size")).alias("weighted_size"), F.max_by("t.role", "place").alias("last_role"))
