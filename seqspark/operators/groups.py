@@ -158,7 +158,9 @@ def group_features(seq: Sequences) -> DataFrame:
     """The whole vector: 176 statistics and 36 measures of the hero's play (0 where no hero is known), 214 of all actors, 7 of redundancy."""
     hands = hand_features(seq)
     out = seq.hands.select("group_id").distinct()
-    for part in (hand_statistics(hands), consistency(hands), pooled_sizes(seq), policy(seq), actor_statistics(actor_features(seq)), actor_group(seq)):
+    # the mean roundness is both a statistic and a measure; the latter's name is longer here, so that names differ
+    measures = consistency(hands).withColumnRenamed("mean_roundness", "mean_roundness_of_hands")
+    for part in (hand_statistics(hands), measures, pooled_sizes(seq), policy(seq), actor_statistics(actor_features(seq)), actor_group(seq)):
         out = out.join(part, "group_id", "left")
     out = out.fillna(0.0)
     return out.join(redundancy.redundancy_features(seq), "group_id", "left")
