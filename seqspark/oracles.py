@@ -384,4 +384,21 @@ SELECT model, round(reward, 6) AS reward, round(hard_fpr, 6) AS hard_fpr, reason
     "newest_snapshots": "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10",
     "flattened_conversations": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) - 1 AS place FROM conversations)
 SELECT conv_id, count(*) AS n_turns, sum(place * length(text))::BIGINT AS weighted_size, arg_max(role, place) AS last_role FROM t GROUP BY 1""",
+    "sanitised_actions": f"""WITH {HOURLY},
+s AS (SELECT *, min(action_idx) OVER (PARTITION BY group_id, hand_id, seat) AS f, row_number() OVER (PARTITION BY group_id, hand_id ORDER BY action_idx) - 1 AS a, count(*) OVER (PARTITION BY group_id, hand_id) AS n FROM actions),
+l AS (SELECT *, dense_rank() OVER (PARTITION BY group_id, hand_id ORDER BY f) - 1 AS alias, least(5 + ('0x' || substr(md5('13:' || group_id || ':' || hand_id), 1, 8))::BIGINT % 4, n) AS len FROM s),
+w AS (SELECT *, ('0x' || substr(md5('14:' || group_id || ':' || hand_id), 1, 8))::BIGINT % (n - len + 1) AS start FROM l)
+SELECT group_id, hand_id, a - start AS place, alias AS seat, action_type, street,
+  round(CASE WHEN norm_bb > 0 THEN {_nearest('norm_bb', VISIBLE_GRID)} * (1 + 0.05 * (2 * (('0x' || substr(md5('15:' || group_id || ':' || hand_id || ':' || action_idx), 1, 8))::BIGINT / 4294967296) - 1)) ELSE 0 END, 6) AS norm_bb
+FROM w WHERE a >= start AND a < start + len""",
+    "aligned_scores": f"""WITH {SHORT}, {STEPS}, {HAND_TABLE}, w AS (SELECT *, exp(aggr_frac - max(aggr_frac) OVER (PARTITION BY group_id)) AS e FROM hand_table)
+SELECT group_id, round(avg(vpip), 6) AS vpip_mean, round(avg(won), 6) AS win_rate, round(sum(e * n_actions) / sum(e), 6) AS att_n_actions, round(avg(n_actions), 6) AS avg_n_actions FROM w GROUP BY 1""",
+    "gate_figures": f"""WITH {SCORED}, models AS (UNPIVOT (SELECT idx, release::INT % 2 AS odd, label, stack, mono, mlp, drse FROM scored) ON stack, mono, mlp, drse INTO NAME model VALUE score),
+h AS {_hard('models', 'model, odd')}
+SELECT model, round(min(1 - hard_fpr), 6) AS safety, round(max(hard_fpr), 6) AS hard_fpr, round(min(hard_recall), 6) AS hard_recall, round(min(positive_rate), 6) AS positive_rate FROM h GROUP BY 1""",
+    "streamed_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "captured_stream": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
+    "streamed_scores": f"""WITH s AS (SELECT vec_id % 5 AS batch_id, vec_id AS idx, CASE WHEN vec_id % 13 <> 0 THEN round(1 / (1 + exp(-10 * embedding[1]::DOUBLE)), 9) ELSE 0.5 END AS score FROM embeddings),
+r AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n, row_number() OVER (PARTITION BY batch_id ORDER BY score, idx) - 1 AS i FROM s)
+SELECT batch_id, idx, round(CASE WHEN n < 4 THEN score ELSE {_CLAMP.format("0.5 - 0.875 * 0.56 + i / (n - 1) * 0.56")} END, 6) AS score FROM r""",
 }

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import scalars as S
-from seqspark.operators import blends, groups, hands, metrics, redundancy, scores, selection, sets
+from seqspark.operators import blends, groups, hands, metrics, redundancy, sanitise, scores, selection, sets
 from seqspark.oracles import ORACLES  # noqa: F401
+from seqspark.plans import learners
 from seqspark.sources import views
+from seqspark.streaming import jobs
 
 FLAGSHIP = "signature_scores"
 QUERIES: dict = {}
@@ -393,3 +395,89 @@ def flattened_conversations(spark, sf_dir):
     nested = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("size")))).alias("turns"))
     flat = nested.select("conv_id", F.posexplode("turns").alias("place", "t"))
     return flat.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.col("place") * F.col("t.size")).alias("weighted_size"), F.max_by("t.role", "place").alias("last_role"))
+
+
+@query
+def sanitised_actions(spark, sf_dir):
+    """SAN1: seats renamed, sizes snapped and jittered, a window of the actions."""
+    return rounded(sanitise.sanitised(views.hourly(spark, sf_dir).actions))
+
+
+@query
+def aligned_scores(spark, sf_dir):
+    """JN6, FLT8: hand features beside pooled ones, every group in both."""
+    rows = hands.hand_features(views.short(spark, sf_dir))
+    a = groups.consistency(rows).select("group_id", "vpip_mean", "win_rate")
+    b = metrics.attention_pool(rows, "aggr_frac", ["n_actions"])
+    return rounded(selection.covered(sanitise.aligned(a, b, "group_id"), "vpip_mean"))
+
+
+@query
+def gate_figures(spark, sf_dir):
+    """AG10: the worse of two evaluations of each model: on even and on odd releases."""
+    m = views.scored(spark, sf_dir)
+    long = m.unpivot(["idx", "release", "label"], list(views.PARTS), "model", "score")
+    names = ["hard_fpr", "hard_recall", "positive_rate"]
+    even, odd = (metrics.hard_metrics(long.where(F.col("release").cast("int") % 2 == k), ["model"]) for k in (0, 1))
+    a = even.select("model", *[F.col(c).alias(f"wf_{c}") for c in names], (1 - F.col("hard_fpr")).alias("wf_safety"))
+    b = odd.select("model", *[F.col(c).alias(f"oof_{c}") for c in names], (1 - F.col("hard_fpr")).alias("oof_safety"))
+    return rounded(selection.worst_case(a.join(b, "model")).select("model", "safety", *names))
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    m = views.scored(spark, sf_dir)
+    columns = [f"f{k}" for k in range(12)]
+    return m.select("group_id", "release", "label", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(columns)]), columns
+
+
+@query
+def walk_forward(spark, sf_dir):
+    """ML3, ML7, PRJ19, FLT4, FLT7, AG6, AG9 (rows only): a logistic regression fitted on the releases before each of the latest two."""
+    rows, columns = _vectors(spark, sf_dir)
+    return learners.walk_forward(learners.learner("logistic", columns), rows, latest=2).scores
+
+
+@query
+def out_of_fold_forest(spark, sf_dir):
+    """ML1, ML2, ML8 (rows only)."""
+    rows, columns = _vectors(spark, sf_dir)
+    return learners.out_of_fold(learners.learner("forest", columns), rows, 2).select("group_id", "release", "label", "score")
+
+
+@query
+def ranked_pairs(spark, sf_dir):
+    """ML12, JN12 (rows only): a linear ranker over pairs within releases."""
+    rows, columns = _vectors(spark, sf_dir)
+    return learners.pairwise_ranker(columns)(rows)(rows).select("group_id", "release", "label", "score")
+
+
+@query
+def streamed_counts(spark, sf_dir):
+    """SM1's machinery on events: a stream of the table, counted by hour and type with a watermark."""
+    events = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event*.parquet")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = jobs.collected(jobs.event_counts(events, "ts"), "complete")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def captured_stream(spark, sf_dir):
+    """SM1: the first row of each user and type that a stream shows, kept over restarts."""
+    events = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event*.parquet")
+    keyed = events.select(F.concat_ws("/", "user_id", "event_type").alias("key"))
+    return jobs.collected(jobs.captured(keyed, "key"), "append")
+
+
+@query
+def streamed_scores(spark, sf_dir):
+    """SM2, SM3, SM5: vectors arrive as a stream; each request's scores are remapped by rank, failures are neutral first."""
+    vectors = spark.readStream.schema(views.table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embedding*.parquet")
+    rows = vectors.select((F.col("vec_id") % 5).alias("batch_id"), F.col("vec_id").alias("idx"), "embedding")
+
+    def score(batch: DataFrame) -> DataFrame:
+        p = 1 / (1 + F.exp(-10 * F.col("embedding")[0].cast("double")))
+        return batch.select("batch_id", "idx", F.when(F.col("idx") % 13 != 0, F.round(p, 9)).alias("score"))
+
+    path, mark = jobs.scratch(spark, "scores"), jobs.scratch(spark, "mark")
+    jobs.score_batches(rows, score, path, mark).start().awaitTermination()
+    return rounded(spark.read.parquet(path).select("batch_id", "idx", "score"))

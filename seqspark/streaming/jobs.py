@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from seqspark.operators import metrics, scores
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local session may have it anywhere."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def collected(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream has made when all that is there has been read, as a table in the shared folder."""
+    spark = stream.sparkSession
+    path = scratch(spark, "stream")
+    if mode == "append":
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "mark")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(replace).option("checkpointLocation", scratch(spark, "mark")).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def captured(groups: DataFrame, key: str, watermark: tuple[str, str] | None = None) -> DataFrame:
     """A stream's rows, the first of each key. With a watermark (time column, delay) the keys held are those within it; without, all, as long as
     the checkpoint lives."""
