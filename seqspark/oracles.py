@@ -13,7 +13,7 @@ PARTS = ("stack", "mono", "mlp", "drse")
 
 
 def _duck(expression: str) -> str:
-    return expression.replace("bround(", "round_even(")
+    return expression.replace("bround(", "round_even(").replace("count_if(", "count(*) FILTER (")
 
 
 def _aggregates(spec: dict[str, str], digits: int | None = 6) -> str:
@@ -349,7 +349,7 @@ SELECT batch_id, idx, round(CASE WHEN pos < 2 AND spread >= 0.05 AND place < 2 A
     "fpr_thresholds": f"""WITH {SCORED}, negatives AS (SELECT release, score, row_number() OVER (PARTITION BY release ORDER BY score) AS i, count(*) OVER (PARTITION BY release) AS n FROM scored WHERE label = 0),
 by_order AS (SELECT release, score + 1e-9 AS t FROM negatives WHERE i = least(n, greatest(ceil(n * 0.95), 1))),
 by_quantile AS (SELECT release, quantile_cont(score, 0.95) FILTER (label = 0) AS t FROM scored GROUP BY 1)
-SELECT q.release, round(coalesce(o.t, 0.5), 8) AS by_order, round(coalesce(q.t, 0.5), 8) AS by_quantile FROM by_quantile q LEFT JOIN by_order o USING (release)""",
+SELECT q.release, round(coalesce(o.t, 0.5), 12) AS by_order, round(coalesce(q.t, 0.5), 12) AS by_quantile FROM by_quantile q LEFT JOIN by_order o USING (release)""",
     "release_report": f"WITH {SCORED}, {REPORT} SELECT release, n_rows, n_pos, {_rounded(['auc', 'ap', 'recall_at_fpr', 'hard_fpr', 'hard_recall', 'positive_rate', 'reward'])} FROM report",
     "report_summary": f"""WITH {SCORED}, {REPORT} SELECT count(*) AS n_releases, round(avg(reward), 6) AS mean_reward, round(sum(reward * n_rows) / sum(n_rows), 6) AS weighted_reward,
   round(min(reward), 6) AS min_reward, round(max(reward), 6) AS max_reward, round(max(hard_fpr), 6) AS worst_fpr FROM report""",

@@ -223,7 +223,7 @@ def fpr_thresholds(spark, sf_dir):
     """AG5, AG6."""
     m = views.scored(spark, sf_dir)
     order = metrics.order_threshold(m, ["release"]).withColumnRenamed("threshold", "by_order")
-    return rounded(order.join(metrics.quantile_threshold(m, ["release"]).withColumnRenamed("threshold", "by_quantile"), "release"), 8)
+    return rounded(order.join(metrics.quantile_threshold(m, ["release"]).withColumnRenamed("threshold", "by_quantile"), "release"), 12)
 
 
 @query
