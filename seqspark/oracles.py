@@ -301,9 +301,9 @@ model_metrics AS (
   SELECT a.*, hard_fpr, hard_recall, positive_rate, greatest(0, 1 - hard_fpr) AS safety, {_REWARD} AS reward FROM {_ranking('models', 'model')} a JOIN {_hard('models', 'model')} b USING (model))"""
 
 ORACLES = {
-    "hand_features": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, hand_id, {_rounded(H.HAND_FEATURES)} FROM hand_table",
+    "hand_features": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, hand_id, {_rounded(H.HAND_FEATURES, 9)} FROM hand_table",
     "actor_features": f"WITH {HOURLY}, {STEPS}, {ACTORS} SELECT group_id, hand_id, {_rounded(H.ACTOR_FEATURES, 9)} FROM actor_table",
-    "hand_statistics": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {_statistics(G.STATS, H.HAND_FEATURES)} FROM hand_table GROUP BY 1",
+    "hand_statistics": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {_statistics(G.STATS, H.HAND_FEATURES, digits=9)} FROM hand_table GROUP BY 1",
     "group_consistency": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {_aggregates(G.CONSISTENCY)} FROM hand_table GROUP BY 1",
     "pooled_sizes": POOLED,
     "policy": POLICY,

@@ -29,7 +29,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @query
 def hand_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HF1-HF17, FLT1-FLT3, JN2, JN3: the hero's 44 features of every hand."""
-    return rounded(hands.hand_features(views.hourly(spark, sf_dir)))
+    return rounded(hands.hand_features(views.hourly(spark, sf_dir)), 9)
 
 
 @query
@@ -41,7 +41,7 @@ def actor_features(spark, sf_dir):
 @query
 def hand_statistics(spark, sf_dir):
     """GA1: mean, deviation and quartiles of the 44 by group."""
-    return rounded(groups.hand_statistics(hands.hand_features(views.hourly(spark, sf_dir))))
+    return rounded(groups.hand_statistics(hands.hand_features(views.hourly(spark, sf_dir))), 9)
 
 
 @query
