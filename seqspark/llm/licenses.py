@@ -9,7 +9,7 @@ A template of one shingle lies whole in at least one window of the text, with si
 A line (``\\n``-split) or template of fewer words than a shingle is a window of one shingle, all its words.
 
 A candidate is confirmed where at least ``CONTAINMENT`` of the template's distinct shingles lie within ``PAD`` words of the
-window, on either side. Templates are compared in blocks of at most ``BLOCK_TEMPLATES``, which bounds what is broadcast.
+window, on either side; of the templates that a window confirms, those with the most count. Templates are compared in blocks of at most ``BLOCK_TEMPLATES``, which bounds what is broadcast.
 
 Edge cases: null and empty texts and templates match nothing; repeated rows are
 reported alike, each; documents of equal id and text count as one; an empty table of either kind gives an empty result; other
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import cut
@@ -124,8 +124,8 @@ def _scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
     met = _windows(rows, "words", STRIDE, ["doc_id", "h"]).join(F.broadcast(bands), "band_key")
     met = met.groupBy("doc_id", "h", "at", "template_id").count().select("doc_id", "h", "at", "template_id")
     met = cut(met)
-    # the texts of the documents that have candidates, once for equal ones
-    asked = met.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    # the texts of the documents that have candidates, once for equal ones; their number has no bound, so they are not broadcast
+    asked = met.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct().hint("merge")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
     texts = texts.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -138,6 +138,8 @@ def _scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
     near = near.join(F.broadcast(known.select("template_id", "license", "shingles")), "template_id")
     contained = F.size(F.array_intersect("shingles", "region")) / F.size("shingles")
     near = near.select("doc_id", "h", "copies", "at", "license", contained.alias("containment")).where(F.col("containment") >= CONTAINMENT)
+    best = F.max("containment").over(Window.partitionBy("doc_id", "h", "at"))
+    near = near.withColumn("best", best).where("containment = best").drop("best")
 
     # lines and templates of fewer words than a shingle: containment is equality
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _words)

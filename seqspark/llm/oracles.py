@@ -150,7 +150,7 @@ lines AS (
     SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM docs)),
 short AS (SELECT r, doc_id, license, -n AS place, 1.0 AS containment FROM lines l JOIN templates t ON l.w = t.w WHERE len(l.w) BETWEEN 1 AND 4)
 SELECT doc_id, license, count(DISTINCT place) AS n_places, min(place) FILTER (place >= 0) AS first_word, max(containment) AS containment
-FROM (SELECT r, doc_id, license, place, containment FROM near WHERE containment >= 0.8 UNION ALL SELECT * FROM short) GROUP BY r, doc_id, license
+FROM (SELECT r, doc_id, license, place, containment FROM near WHERE containment >= 0.8 QUALIFY containment = max(containment) OVER (PARTITION BY r, place) UNION ALL SELECT * FROM short) GROUP BY r, doc_id, license
 """
 
 ORACLES = {
