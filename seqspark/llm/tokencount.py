@@ -7,7 +7,7 @@ again; then the sums above the changed leaves are updated, or both trees are bui
 the room kept for them.
 
 The vocabulary is a file of the driver (a parameter, never part of this library); its bytes are broadcast. A worker keeps the
-token counts of at most ``CACHE`` pre-tokens.
+token counts of about ``CACHE`` pre-tokens.
 
 Edge cases: null counts as an empty text; an edit's start and length are cut to the text; a null insert is empty, a null array no edits, a null edit is skipped;
 repeated rows are counted alike; an empty table gives an empty result; other columns are left out.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ from seqspark.llm.common import small_batches, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that the vocabulary is made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 200_000
+CACHE = 500_000
 
 
 class SegmentTree:
@@ -36,9 +37,13 @@ class SegmentTree:
 
     def __init__(self, values: list[int]) -> None:
         self.size = 1 << max(0, (len(values) - 1).bit_length())
-        self.nodes = [0] * self.size + values + [0] * (self.size - len(values))
-        for i in range(self.size - 1, 0, -1):
-            self.nodes[i] = self.nodes[2 * i] + self.nodes[2 * i + 1]
+        level = np.zeros(self.size, np.int64)
+        level[: len(values)] = values
+        levels = [level]
+        while len(level) > 1:
+            level = level[::2] + level[1::2]
+            levels.append(level)
+        self.nodes = [0, *np.concatenate(levels[::-1]).tolist()]
 
     @property
     def total(self) -> int:
@@ -67,20 +72,21 @@ class SegmentTree:
 class CountedText:
     """A text with its pre-tokens' trees."""
 
-    def __init__(self, text: str, cut: Callable[[str, int], regex.Match | None], count: Callable[[str], int]) -> None:
-        self.text, self._cut, self._count, self.recounted = text, cut, count, 0
-        self._build(self._from(0, lambda _: False)[0])
+    def __init__(self, text: str, pattern: regex.Pattern, count: Callable[[list[str]], list[int]]) -> None:
+        self.text, self._pattern, self._count, self.recounted = text, pattern, count, 0
+        self._build()
 
-    def _build(self, pieces: list[str]) -> None:
+    def _build(self) -> None:
+        pieces = self._pattern.findall(self.text)
         self.n = len(pieces)
-        self.lengths = SegmentTree([len(p) for p in pieces])
-        self.counts = SegmentTree([self._count(p) for p in pieces])
+        self.lengths = SegmentTree(list(map(len, pieces)))
+        self.counts = SegmentTree(self._count(pieces))
 
     def _from(self, at: int, met: Callable[[int], bool]) -> tuple[list[str], int]:
         """(pre-tokens from a border on, where they end): to the end of the text or the first border that is met."""
         pieces = []
         while at < len(self.text):
-            m = self._cut(self.text, at)
+            m = self._pattern.match(self.text, at)
             pieces.append(m.group())
             at = m.end()
             if met(at):
@@ -98,7 +104,7 @@ class CountedText:
         old, lengths = self.text, self.lengths
         self.text = old[:start] + insert + old[end:]
         if not self.n:
-            self._build(self._from(0, lambda _: False)[0])
+            self._build()
             self.recounted += self.n
             return
         # one whole pre-token of context, and no white space before it that could reach the edit
@@ -124,9 +130,9 @@ class CountedText:
         self.recounted += len(pieces)
         if len(pieces) == past - leaf:
             lengths.put(leaf, [len(p) for p in pieces])
-            self.counts.put(leaf, [self._count(p) for p in pieces])
+            self.counts.put(leaf, self._count(pieces))
             return
-        for tree, new in ((lengths, [len(p) for p in pieces]), (self.counts, [self._count(p) for p in pieces])):
+        for tree, new in ((lengths, [len(p) for p in pieces]), (self.counts, self._count(pieces))):
             tail = tree.nodes[tree.size + past : tree.size + self.n]
             n = leaf + len(new) + len(tail)
             if n <= tree.size:
@@ -136,23 +142,25 @@ class CountedText:
         self.n = leaf + len(pieces) + self.n - past
 
 
-def counter(vocabulary: bytes) -> tuple[Callable[[str, int], regex.Match | None], Callable[[str], int]]:
-    """(cut, count): the pre-token at a place, and the number of tokens of a pre-token."""
+def counter(vocabulary: bytes) -> tuple[regex.Pattern, Callable[[list[str]], list[int]]]:
+    """(pattern of pre-tokens, count: the numbers of tokens of pre-tokens)"""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     encode = tiktoken.Encoding("counter", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     known: dict[str, int] = {}
 
-    def count(piece: str) -> int:
-        n = known.get(piece)
-        if n is None:
+    def count(pieces: list[str]) -> list[int]:
+        found = list(map(known.get, pieces))
+        if None in found:
             if len(known) >= CACHE:
                 known.clear()
-            n = known[piece] = len(encode(piece))
-        return n
+            for i, n in enumerate(found):
+                if n is None:
+                    found[i] = known[pieces[i]] = len(encode(pieces[i]))
+        return found
 
-    return regex.compile(PATTERN).match, count
+    return regex.compile(PATTERN), count
 
 
 def count_edited(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -164,11 +172,11 @@ def count_edited(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -
     names = ("n_tokens", "n_pretokens", "n_tokens_edited", "n_recounted")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, count = counter(shared.value)
+        pattern, count = counter(shared.value)
         for batch in batches:
             out: list[list[int]] = [[], [], [], []]
             for text, changes in zip(batch.column("text"), batch.column("edits"), strict=True):
-                doc = CountedText(text.as_py() or "", cut, count)
+                doc = CountedText(text.as_py() or "", pattern, count)
                 out[0].append(doc.tokens)
                 out[1].append(doc.n)
                 for e in changes.as_py() or []:
