@@ -36,7 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out again if the input has fewer splits than the cluster has cores (one small file); else unchanged."""
+    """Deal rows out again if the input has fewer splits than the cluster has cores (one small file); else unchanged. For tables that
+    are read, not computed: counting the splits of a computed one would run its shuffles."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -143,9 +143,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     rows = docs.drop(*ADDED).withColumns({"_source": F.col("source"), "_digest": text_digest(F.col("text"))})
     rows = numbered(rows, "doc_id", "doc_id")
-    taken = mix(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "digest", *ADDED)
-    taken = taken.withColumns({"_source": F.col("_from"), "_digest": F.col("digest")})
-    taken = numbered(taken, "_id", "taken").select("_id", "_from", "digest", F.col("_at").alias("_place"), *ADDED)
+    taken = mix(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("digest").alias("_of"), *ADDED)
+    taken = taken.withColumns({"_source": F.col("_from"), "_digest": F.col("_of")})
+    taken = numbered(taken, "_id", "taken").select("_id", "_from", "_of", F.col("_at").alias("_place"), *ADDED)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from"))
-    same = same & (F.col("_digest") == F.col("digest")) & (F.col("_at") == F.col("_place"))
-    return rows.join(taken.where("taken > 0"), same).drop("_id", "_from", "digest", "_source", "_digest", "_at", "_place")
+    same = same & (F.col("_digest") == F.col("_of")) & (F.col("_at") == F.col("_place"))
+    return rows.join(taken.where("taken > 0"), same).drop("_id", "_from", "_of", "_source", "_digest", "_at", "_place")
