@@ -85,24 +85,28 @@ def _gender(match: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])[title], F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once. It keeps both the work and the plan small: a column that is used twice is there twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def units_of(match: Column) -> Column:
     """array<struct<kind, canon>>: what a match is looked up and checked by."""
-    kind, one = kind_of(match), lambda kind, canon: F.array(F.struct(kind.alias("kind"), canon.alias("canon")))
     words = F.slice(F.split(match, " "), 2, 9)
-    names = F.transform(
-        words,
-        lambda w, i: F.struct(
-            F.when(i == F.size(words) - 1, F.lit("family")).otherwise(F.concat(F.lit("given"), _gender(match))).alias("kind"), F.lower(w).alias("canon")
-        ),
-    )
-    plus = F.when(match.startswith("+"), F.lit("phone+")).otherwise(kind)
-    return (
-        F.when(kind == "name", names)
-        .when(kind == "secret", one(F.lit("secret"), F.lower(match.substr(_secret_start(match) + 1, F.length(match)))))
-        .when(kind.isin("email", "key", "ip"), one(kind, F.lower(match)))
-        .when(kind == "iban", one(kind, F.lower(F.regexp_replace(match, " ", ""))))
-        .otherwise(one(plus, _digits(match)))
-    )
+
+    def of(kind: Column) -> Column:
+        gender, last = _gender(match), F.size(words) - 1
+        names = F.transform(words, lambda w, i: F.struct(F.when(i == last, F.lit("family")).otherwise(F.concat(F.lit("given"), gender)).alias("kind"), F.lower(w).alias("canon")))
+        canon = (
+            F.when(kind == "secret", F.lower(match.substr(_secret_start(match) + 1, F.length(match))))
+            .when(kind.isin("email", "key", "ip"), F.lower(match))
+            .when(kind == "iban", F.lower(F.regexp_replace(match, " ", "")))
+            .otherwise(_digits(match))
+        )
+        own = F.when((kind == "phone") & match.startswith("+"), F.lit("phone+")).otherwise(kind)
+        return F.when(kind == "name", names).otherwise(F.array(F.struct(own.alias("kind"), canon.alias("canon"))))
+
+    return _let(kind_of(match), of)
 
 
 def _number(digest: Column, start: int = 1) -> Column:
@@ -113,11 +117,6 @@ def _keyed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _feistel(key: str, kind: Column, attempt: Column, left: Column, right: Column, mod_left: Column, mod_right: Column) -> Column:
     """struct<a, b>: a permutation of the pairs below (mod_left, mod_right), six half rounds."""
 
@@ -192,28 +191,27 @@ def _name(key: str, kind: Column, attempt: Column, word: Column) -> Column:
 
 def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of a unit's surrogate."""
-    permuted = lambda digits: _permuted_digits(key, kind, attempt, digits)
     n = F.length(canon)
     body, last = canon.substr(F.lit(1), n - 1), canon.substr(n, F.lit(1)).cast("int")
-    new_body = F.concat(body.substr(F.lit(1), F.lit(1)), permuted(body.substr(F.lit(2), n)))
-    card = _let(new_body, lambda b: F.concat(b, F.pmod(_check_digit(b) + last - _check_digit(body), F.lit(10)).cast("string")))
+    # numbers: the digits in the middle are permuted; a card ends in a check digit
+    keeps = kind.isin("card", "phone+")
+    middle = F.when(kind == "card", body.substr(F.lit(2), n)).when(kind == "phone+", canon.substr(F.lit(2), n)).otherwise(canon)
+    number = F.concat(F.when(keeps, canon.substr(F.lit(1), F.lit(1))).otherwise(F.lit("")), _permuted_digits(key, kind, attempt, middle))
+    check = lambda b: F.pmod(_check_digit(b) + last - _check_digit(body), F.lit(10)).cast("string")
+    number = _let(number, lambda b: F.when(kind == "card", F.concat(b, check(b))).otherwise(b))
     octets = lambda i: F.split_part(canon, F.lit("."), F.lit(i)).cast("long")
-    pair = _feistel(key, kind, attempt, octets(1) * 256 + octets(2), octets(3) * 256 + octets(4), F.lit(65536).cast("long"), F.lit(65536).cast("long"))
+    side = F.lit(65536).cast("long")
+    pair = _feistel(key, kind, attempt, octets(1) * 256 + octets(2), octets(3) * 256 + octets(4), side, side)
     ip = _let(pair, lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("string"), (p["b"] % 256).cast("string")))
-    local, domain = F.split_part(canon, F.lit("@"), F.lit(1)), F.split_part(canon, F.lit("@"), F.lit(2))
-    # an address's local part depends on its domain too; the domain's surrogate on the domain alone
-    address = F.concat(
-        F.split_part(_substituted(key, kind, attempt, canon), F.lit("@"), F.lit(1)), F.lit("@"),
-        _substituted(key, F.lit("domain"), F.lit(0), F.regexp_replace(domain, r"\.[^.]*$", "")), F.lit(".example"),
-    )
+    # text: an IBAN keeps its country; an address's local part depends on all of it, its domain's surrogate on the domain alone
+    changed = _substituted(key, kind, attempt, F.when(kind == "iban", canon.substr(F.lit(3), n)).otherwise(canon))
+    domain = F.regexp_replace(F.split_part(canon, F.lit("@"), F.lit(2)), r"\.[^.]*$", "")
+    address = lambda t: F.concat(F.split_part(t, F.lit("@"), F.lit(1)), F.lit("@"), _substituted(key, F.lit("domain"), F.lit(0), domain), F.lit(".example"))
+    text = _let(changed, lambda t: F.when(kind == "email", address(t)).when(kind == "iban", F.concat(canon.substr(F.lit(1), F.lit(2)), t)).otherwise(t))
     return (
-        F.when(kind == "email", F.when(local == "", canon).otherwise(address))
+        F.when(kind.isin("email", "secret", "key", "iban"), text)
         .when(kind == "ip", ip)
-        .when(kind == "card", card)
-        .when(kind == "phone+", F.concat(canon.substr(F.lit(1), F.lit(1)), permuted(canon.substr(F.lit(2), n))))
-        .when(kind.isin("phone", "ssn"), permuted(canon))
-        .when(kind.isin("secret", "key"), _substituted(key, kind, attempt, canon))
-        .when(kind == "iban", F.concat(canon.substr(F.lit(1), F.lit(2)), _substituted(key, kind, attempt, canon.substr(F.lit(3), n))))
+        .when(kind.isin("card", "phone", "phone+", "ssn"), number)
         .otherwise(_name(key, kind, attempt, canon))
     )
 
@@ -240,12 +238,14 @@ def replacement(key: str, match: Column, attempts: Column | None) -> Column:
         return surrogate_of(key, unit["kind"], unit["canon"], n)
 
     def put(units: Column) -> Column:
-        first, kind = F.element_at(units, 1), F.element_at(units, 1)["kind"]
-        start = _secret_start(match)
-        words = F.split(match, " ")
+        """All units are drawn in one place; a match other than a name has one."""
+        kind = F.element_at(units, 1)["kind"]
+        return _let(F.transform(units, drawn), lambda values: filled(kind, values))
+
+    def filled(kind: Column, values: Column) -> Column:
+        value, start = F.element_at(values, 1), _secret_start(match)
         initial = lambda s: F.concat(F.upper(s.substr(F.lit(1), F.lit(1))), s.substr(F.lit(2), F.length(s)))
-        name = F.concat_ws(" ", F.slice(words, 1, 1), F.transform(units, lambda u: initial(drawn(u))))
-        value = drawn(first)
+        name = F.concat_ws(" ", F.slice(F.split(match, " "), 1, 1), F.transform(values, initial))
         return (
             F.when(kind.startswith("given") | (kind == "family"), name)
             .when(kind == "secret", F.concat(match.substr(F.lit(1), start), _cased(match.substr(start + 1, F.length(match)), value)))

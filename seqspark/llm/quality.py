@@ -87,20 +87,20 @@ class FactorisationMachine:
 
 
 def fit(rows: list, factors: int = 6, epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> FactorisationMachine:
-    """Adam on the logistic loss of rows (buckets, values, statistics, label), in numpy."""
+    """Adam on the logistic loss of rows (buckets, values and statistics as the bytes of arrays, label), in numpy."""
     random = np.random.default_rng(seed)
     size = BUCKETS + STATISTICS
     label = np.array([r["label"] for r in rows], np.float64)
     if not len(label) or label.min() == label.max():
         share = min(max(label.mean() if len(label) else 0.5, 1e-6), 1 - 1e-6)
         return FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32), np.zeros(STATISTICS), np.ones(STATISTICS))
-    x = np.array([r["statistics"] for r in rows], np.float32)
+    x = np.stack([np.frombuffer(r["statistics"], np.float32) for r in rows])
     model = FactorisationMachine(
         float(np.log(label.mean() / (1 - label.mean()))), np.zeros(size, np.float32), random.normal(0, 0.05, (size, factors)).astype(np.float32), x.mean(axis=0), x.std(axis=0) + 1e-3
     )
     x = model.scaled(x)
-    buckets = [np.array(r["buckets"], np.int64) for r in rows]
-    values = [np.array(r["values"], np.float32) for r in rows]
+    buckets = [np.frombuffer(r["buckets"], np.int32) for r in rows]
+    values = [np.frombuffer(r["values"], np.float32) for r in rows]
     all_ = np.concatenate([model.weights[:, None], model.factors], axis=1)
     m, s, step = np.zeros_like(all_), np.zeros_like(all_), 0
     for _ in range(epochs):
@@ -151,12 +151,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> lis
             for i, j, data, offsets in textnp.slices(batch.column("text")):
                 part = batch.slice(i, j - i)
                 buckets, values, first, statistics = features(data, offsets, part.column("n_chars").to_numpy())
-                at = pa.array(first.astype(np.int32))
-                arrays = [part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(at, pa.array(buckets.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(values))]
-                arrays.append(pa.array(list(statistics), pa.list_(pa.float32())))
+                edges = list(zip(first[:-1], first[1:], strict=True))
+                arrays = [part.column("doc_id"), part.column("label"), pa.array([buckets[a:b].astype(np.int32).tobytes() for a, b in edges], pa.binary())]
+                arrays += [pa.array([values[a:b].tobytes() for a, b in edges], pa.binary()), pa.array([x.tobytes() for x in statistics], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "label", "buckets", "values", "statistics"])
 
-    made_rows = rows.mapInArrow(made, "doc_id long, label int, buckets array<int>, values array<float>, statistics array<float>")
+    made_rows = rows.mapInArrow(made, "doc_id long, label int, buckets binary, values binary, statistics binary")
     found = made_rows.limit(max_rows).collect()
     return sorted(found, key=lambda r: (r["doc_id"], len(r["buckets"])))
 

@@ -36,5 +36,5 @@ def test_sum_of_squares_identity():
 
 def test_fit_without_two_classes():
     assert quality.fit([]).bias == 0
-    row = {"buckets": [1], "values": [1.0], "statistics": [0.0] * 10, "label": 1}
+    row = {"buckets": np.int32([1]).tobytes(), "values": np.float32([1]).tobytes(), "statistics": np.zeros(10, np.float32).tobytes(), "label": 1}
     assert quality.fit([row]).bias > 10
