@@ -9,7 +9,10 @@ A template of one shingle lies whole in at least one window of the text, with si
 A line (``\\n``-split) or template of fewer words than a shingle is a window of one shingle, all its words.
 
 A candidate is confirmed where at least ``CONTAINMENT`` of the template's distinct shingles lie within ``PAD`` words of the
-window, on either side; of the templates that a window confirms, those with the most count. Templates are compared in blocks of at most ``BLOCK_TEMPLATES``, which bounds what is broadcast.
+window, on either side; of the templates that a window confirms, those with the most count. The headers of sibling licenses differ in
+a few words only. So a template that shares at least ``SIBLING`` of its shingles with a template of another license is decided by the
+shingles in which the two differ: ``CONTAINMENT`` of its own must be there in one copy, or a greater share of them than of the other's. (The SQL has
+the same templates without this rule; they agree where no text is nearer to two siblings than to one of them.) Templates are compared in blocks of at most ``BLOCK_TEMPLATES``, which bounds what is broadcast.
 
 Edge cases: null and empty texts and templates match nothing; repeated rows are
 reported alike, each; documents of equal id and text count as one; an empty table of either kind gives an empty result; other
@@ -27,6 +30,7 @@ from seqspark.llm.common import cut
 
 SHINGLE, WINDOW, STRIDE, BANDS = 5, 4, 2, 32
 CONTAINMENT = 0.8
+SIBLING = 0.5
 PAD = 256
 BLOCK_TEMPLATES = 500
 
@@ -44,6 +48,11 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -95,6 +104,27 @@ def _template_shingles(templates: DataFrame) -> DataFrame:
     return words.withColumn("shingles", F.when(F.size("words") < SHINGLE, whole).otherwise(F.array_distinct(hashes)))
 
 
+def _with_siblings(known: DataFrame) -> DataFrame:
+    """known with siblings: for each sibling of another license the shingles of the template that it lacks, and the other way round."""
+    one = known.select("template_id", "license", "shingles", F.explode("shingles").alias("s"))
+    two = known.select(F.col("template_id").alias("_id"), F.col("license").alias("_license"), F.col("shingles").alias("_shingles"), F.explode("shingles").alias("s"))
+    pairs = one.join(two, "s").where("license != _license").groupBy("template_id", "_id")
+    pairs = pairs.agg(F.count("*").alias("n"), F.first("shingles").alias("mine"), F.first("_shingles").alias("theirs")).where(F.col("n") >= SIBLING * F.size("mine"))
+    differ = F.struct(F.array_except("mine", "theirs").alias("mine"), F.array_except("theirs", "mine").alias("theirs"))
+    return known.join(pairs.groupBy("template_id").agg(F.collect_list(differ).alias("siblings")), "template_id", "left")
+
+
+def _decided(shingles: Column, siblings: Column, region: Column) -> Column:
+    """Whether a template is not taken for one of its siblings, in one part of the region that holds a copy and little more: two siblings
+    side by side have between them all that tells a third from each. A template that lies whole in its sibling has no shingle of
+    its own and is never rejected: its text is there."""
+    eighth = F.greatest(F.floor(F.size(shingles) / 8), F.lit(1)).cast("int")
+    share = lambda of, part: F.when(F.size(of) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(of, part)) / F.size(of))
+    wins = lambda x, part: (share(x["mine"], part) >= CONTAINMENT) | (share(x["mine"], part) > share(x["theirs"], part))
+    starts = F.sequence(F.lit(1), F.size(region), eighth)
+    return siblings.isNull() | F.exists(starts, lambda i: F.forall(siblings, lambda x: wins(x, F.slice(region, i, F.size(shingles) + 2 * eighth))))
+
+
 def _short_windows(rows: DataFrame, lines: Column, keep: Sequence[str]) -> DataFrame:
     """The same of the lines (arrays of words) that have fewer words than a shingle; at is -1 less the line's number, s0 its shingle."""
     some = rows.select(*keep, F.posexplode(lines).alias("line", "words"))
@@ -107,8 +137,10 @@ def _short_windows(rows: DataFrame, lines: Column, keep: Sequence[str]) -> DataF
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, license, n_places (windows at which one of its templates is confirmed), first_word (null for a short line), containment (the best)."""
     out = None
+    # siblings may be in different blocks
+    known = cut(_with_siblings(_template_shingles(templates_table(docs.sparkSession, templates))))
     for i in range(0, max(len(templates), 1), BLOCK_TEMPLATES):
-        part = _scanned(docs, templates_table(docs.sparkSession, templates[i : i + BLOCK_TEMPLATES]))
+        part = _scanned(docs, known.where(F.col("template_id").between(i, i + BLOCK_TEMPLATES - 1)))
         out = part if out is None else out.unionByName(part)
     keys = ["doc_id", "h", "copies", "license"]
     out = out.groupBy(*keys).agg(F.countDistinct("at").alias("n_places"), F.min(F.when(F.col("at") >= 0, F.col("at"))).alias("first_word"), F.max("containment").alias("containment"))
@@ -117,8 +149,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> D
     return out.select("doc_id", "license", "n_places", "first_word", "containment")
 
 
-def _scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    known = _template_shingles(templates)
+def _scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
     bands = _windows(known, "words", 1, ["template_id"]).select("template_id", "band_key").distinct()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("words"))
     met = _windows(rows, "words", STRIDE, ["doc_id", "h"]).join(F.broadcast(bands), "band_key")
@@ -135,9 +166,10 @@ def _scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
     last = F.least(F.col("at") + PAD, F.size("words") - SHINGLE)
     region = F.transform(F.sequence(F.col("from"), last), lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
     near = near.select("doc_id", "h", "copies", "at", "template_id", region.alias("region"))
-    near = near.join(F.broadcast(known.select("template_id", "license", "shingles")), "template_id")
+    near = near.join(F.broadcast(known.select("template_id", "license", "shingles", "siblings")), "template_id")
     contained = F.size(F.array_intersect("shingles", "region")) / F.size("shingles")
-    near = near.select("doc_id", "h", "copies", "at", "license", contained.alias("containment")).where(F.col("containment") >= CONTAINMENT)
+    near = near.select("doc_id", "h", "copies", "at", "license", contained.alias("containment"), "shingles", "siblings", "region").where(F.col("containment") >= CONTAINMENT)
+    near = near.where(_decided(F.col("shingles"), F.col("siblings"), F.col("region"))).drop("shingles", "siblings", "region")
     best = F.max("containment").over(Window.partitionBy("doc_id", "h", "at"))
     near = near.withColumn("best", best).where("containment = best").drop("best")
 
