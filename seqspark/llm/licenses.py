@@ -6,10 +6,11 @@ Words are lower-cased runs of letters and digits; a shingle is ``SHINGLE`` words
 A template of one shingle lies whole in at least one window of the text, with similarity 1/WINDOW or more: it is missed with a chance of
 (1 - 1/WINDOW)**BANDS, 1e-4 at 4 and 32, in each of the WINDOW/STRIDE windows that hold it. A longer one has equal windows.
 
-A line (``\\n``-split) or template of fewer words than a shingle is a window of one shingle, all its words.
+A template of fewer words than a shingle is looked up as a run of words at every word of the text. Where it is a whole line
+(``\\n``-split) its place is the line and no word.
 
 A candidate is confirmed where at least ``CONTAINMENT`` of the template's distinct shingles lie within ``PAD`` words of the
-window, on either side; of the templates that a window confirms, those with the most count. The headers of sibling licenses differ in
+window, on either side, and for a template of more words than that within as many more as it has; of the templates that a window confirms, those with the most count. The headers of sibling licenses differ in
 a few words only. So a template that shares at least ``SIBLING`` of its shingles with a template of another license is decided by the
 shingles in which the two differ: ``CONTAINMENT`` of its own must be there in one copy, or a greater share of them than of the other's. (The SQL has
 the same templates without this rule; they agree where no text is nearer to two siblings than to one of them.) Templates are compared in blocks of at most ``BLOCK_TEMPLATES``, which bounds what is broadcast.
@@ -125,17 +126,20 @@ def _decided(shingles: Column, siblings: Column, region: Column) -> Column:
     return siblings.isNull() | F.exists(starts, lambda i: F.forall(siblings, lambda x: wins(x, F.slice(region, i, F.size(shingles) + 2 * eighth))))
 
 
-def _short_windows(rows: DataFrame, lines: Column, keep: Sequence[str]) -> DataFrame:
-    """The same of the lines (arrays of words) that have fewer words than a shingle; at is -1 less the line's number, s0 its shingle."""
-    some = rows.select(*keep, F.posexplode(lines).alias("line", "words"))
-    some = some.where((F.size("words") > 0) & (F.size("words") < SHINGLE))
-    some = some.select(*keep, (-1 - F.col("line")).alias("at"), F.xxhash64("words").alias("s0"))
-    some = some.withColumn("band", F.explode(F.array(*[F.lit(k) for k in range(BANDS)])))
-    return some.select(*keep, "at", "s0", F.xxhash64("band", F.xxhash64("s0", "band")).alias("band_key"))
+def _place(text: Column, at: Column, n: int) -> Column:
+    """The place of a run of n words: -1 less the number of the line that it is the whole of, else its first word."""
+    sizes = F.transform(F.split(text, "\n", -1), lambda line: F.size(_words(line)))
+    start = F.struct(F.lit(0).alias("word"), F.lit(0).alias("line"), F.lit(None).cast("int").alias("whole"))
+
+    def step(s: Column, size: Column) -> Column:
+        whole = F.when((s["word"] == at) & (size == n), s["line"]).otherwise(s["whole"])
+        return F.struct((s["word"] + size).alias("word"), (s["line"] + 1).alias("line"), whole.alias("whole"))
+
+    return F.aggregate(sizes, start, step, lambda s: F.coalesce(-1 - s["whole"], at))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """doc_id, license, n_places (windows at which one of its templates is confirmed), first_word (null for a short line), containment (the best)."""
+    """doc_id, license, n_places (windows at which one of its templates is confirmed), first_word (null for short lines alone), containment (the best)."""
     out = None
     # siblings may be in different blocks
     known = cut(_with_siblings(_template_shingles(templates_table(docs.sparkSession, templates))))
@@ -161,24 +165,29 @@ def _scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
     texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
     texts = texts.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "copies", _words(F.col("text")).alias("words"))
+    at = F.sequence(F.lit(0), F.size("words") - SHINGLE)
+    texts = texts.select("_id", "_h", "copies", F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(SHINGLE)])).alias("text_shingles"))
     near = met.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    near = near.withColumn("from", F.greatest(F.col("at") - PAD, F.lit(0)))
-    last = F.least(F.col("at") + PAD, F.size("words") - SHINGLE)
-    region = F.transform(F.sequence(F.col("from"), last), lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
-    near = near.select("doc_id", "h", "copies", "at", "template_id", region.alias("region"))
-    near = near.join(F.broadcast(known.select("template_id", "license", "shingles", "siblings")), "template_id")
+    near = near.join(F.broadcast(known.select("template_id", "license", "shingles", "siblings", F.size("words").alias("n_words"))), "template_id")
+    pad = F.when(F.col("n_words") > PAD, F.col("n_words") + PAD).otherwise(PAD)
+    first = F.greatest(F.col("at") - pad, F.lit(0))
+    near = near.withColumn("region", F.slice("text_shingles", first + 1, F.col("at") + pad - first + 1))
     contained = F.size(F.array_intersect("shingles", "region")) / F.size("shingles")
     near = near.select("doc_id", "h", "copies", "at", "license", contained.alias("containment"), "shingles", "siblings", "region").where(F.col("containment") >= CONTAINMENT)
     near = near.where(_decided(F.col("shingles"), F.col("siblings"), F.col("region"))).drop("shingles", "siblings", "region")
     best = F.max("containment").over(Window.partitionBy("doc_id", "h", "at"))
     near = near.withColumn("best", best).where("containment = best").drop("best")
 
-    # lines and templates of fewer words than a shingle: containment is equality
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _words)
-    short = known.where(F.size("words") < SHINGLE).select("template_id", "license", F.element_at("shingles", 1).alias("shingle"), F.array("words").alias("lines"))
-    short_bands = _short_windows(short, F.col("lines"), ["template_id", "license", "shingle"]).select("template_id", "license", "shingle", "band_key")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    equal = _short_windows(rows, lines, ["doc_id", "h"]).join(F.broadcast(short_bands), "band_key").where("s0 = shingle")
-    equal = equal.groupBy("doc_id", "h", "at", "license", "template_id").agg(F.floor(F.count("*") / BANDS).alias("copies"))
-    equal = equal.select("doc_id", "h", "copies", "at", "license", F.lit(1.0).alias("containment"))
+    # templates of fewer words than a shingle: containment is equality
+    short = known.where(F.size("words") < SHINGLE).select("template_id", "license", F.size("words").alias("n"), F.element_at("shingles", 1).alias("shingle"))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", _words(F.col("text")).alias("words"))
+    equal = near.where("false")
+    for n in lengths:
+        runs = rows.where(F.size("words") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - n)))
+        run = F.xxhash64(F.array(*[F.get(F.col("words"), F.col("at") + k) for k in range(n)]))
+        runs = runs.withColumn("shingle", run).join(F.broadcast(short.where(F.col("n") == n).drop("n")), "shingle")
+        runs = runs.select("doc_id", "h", _place(F.col("text"), F.col("at"), n).alias("at"), "license", "template_id")
+        runs = runs.groupBy("doc_id", "h", "at", "license", "template_id").agg(F.count("*").alias("copies"))
+        equal = equal.unionByName(runs.select("doc_id", "h", "copies", "at", "license", F.lit(1.0).alias("containment")))
     return near.unionByName(equal)

@@ -79,3 +79,23 @@ def test_siblings_in_different_blocks(spark, monkeypatch):
     monkeypatch.setattr(licenses, "BLOCK_TEMPLATES", 1)
     three = [t for t in licenses.TEMPLATES if t[1].startswith("This program") and t[0] in ("GPL-2.0", "GPL-3.0", "AGPL-3.0")]
     assert found(spark, [HEADERS[k][2] for k in (0, 1, 5)], three) == [["GPL-2.0"], ["GPL-3.0"], ["AGPL-3.0"]]
+
+
+def test_short_templates_inside_lines(spark):
+    texts = [
+        "Copyright 2020 Acme. All rights reserved.", "All rights reserved.", "a page, all rights\nreserved, by its owner", "all the rights are reserved",
+        "one\n\nAll rights reserved.\nfour all rights reserved", "rights reserved", "reserved by GPLv9", "GPLv9\n",
+    ]
+    templates = [("Proprietary", "All rights reserved."), ("New", "GPLv9")]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()
+    got = sorted((r["doc_id"], r["license"], r["n_places"], r["first_word"], r["containment"]) for r in rows)
+    assert got == [
+        (0, "Proprietary", 1, 3, 1.0), (1, "Proprietary", 1, None, 1.0), (2, "Proprietary", 1, 2, 1.0), (4, "Proprietary", 2, 5, 1.0),
+        (6, "New", 1, 2, 1.0), (7, "New", 1, None, 1.0),
+    ]
+
+
+def test_a_long_template(spark):
+    long = " ".join(f"w{i}" for i in range(1500))
+    cut = " ".join(f"w{i}" for i in range(1000))
+    assert found(spark, [f"before it {long} after it", long, cut], [("Long", long)]) == [["Long"], ["Long"], []]
