@@ -12,7 +12,8 @@ form only, so every mention of one entity gets the same surrogate, in its own me
 * Names: given names follow the title's gender, family names none; syllables of the same script.
 
 Collisions are checked over all distinct units: where units share a surrogate, or a surrogate is itself a unit of
-the corpus, all but one (or all) are drawn again with the next attempt, until none is left. Only those exceptions are joined to the
+the corpus, all but one (or all) are drawn again with the next attempt, until none is left; if that does not end, an error says so. Where all short
+forms may be taken, later attempts make addresses, secrets and names longer. Only those exceptions are joined to the
 documents; the rest is computed where the text is, so no text is shuffled unless there are exceptions.
 
 Edge cases: null stays null, a text without entities stays as it is; rows of equal text get equal results; an empty table
@@ -21,6 +22,7 @@ gives an empty result; other columns pass through (``n_entities`` is replaced).
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +55,9 @@ ENTITY = (
     + r")|(?<![.%+-])(?:" + PATTERNS["email"] + "))"
 )
 
+#: Attempts after which a surrogate gets a character more.
+GROW = 4
+
 #: Letters that stand for a letter of each script.
 SCRIPTS = {r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω"}
 #: Syllables of names by script; the last entry is Latin.
@@ -189,6 +194,15 @@ def _name(key: str, kind: Column, attempt: Column, word: Column) -> Column:
     return _let(_keyed(key, kind, attempt, word), made)
 
 
+def _grown(kind: Column, canon: Column, attempt: Column) -> Column:
+    """An address's local part or a secret with its last letter or digit once more for every ``GROW`` attempts."""
+    end = F.locate("@", F.concat(canon, F.lit("@")))
+    own = canon.substr(F.lit(1), end - 1)
+    last = F.regexp_extract(own, r"([\p{L}0-9])[^\p{L}0-9]*$", 1)
+    more = F.repeat(F.when(last == "", F.lit("x")).otherwise(last), F.floor(attempt / GROW).cast("int"))
+    return F.when((attempt >= GROW) & kind.isin("email", "secret"), F.concat(own, more, canon.substr(end, F.length(canon)))).otherwise(canon)
+
+
 def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of a unit's surrogate."""
     n = F.length(canon)
@@ -204,7 +218,7 @@ def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Colu
     pair = _feistel(key, kind, attempt, octets(1) * 256 + octets(2), octets(3) * 256 + octets(4), side, side)
     ip = _let(pair, lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("string"), (p["b"] % 256).cast("string")))
     # text: an IBAN keeps its country; an address's local part depends on all of it, its domain's surrogate on the domain alone
-    changed = _substituted(key, kind, attempt, F.when(kind == "iban", canon.substr(F.lit(3), n)).otherwise(canon))
+    changed = _substituted(key, kind, attempt, F.when(kind == "iban", canon.substr(F.lit(3), n)).otherwise(_grown(kind, canon, attempt)))
     domain = F.regexp_replace(F.split_part(canon, F.lit("@"), F.lit(2)), r"\.[^.]*$", "")
     address = lambda t: F.concat(F.split_part(t, F.lit("@"), F.lit(1)), F.lit("@"), _substituted(key, F.lit("domain"), F.lit(0), domain), F.lit(".example"))
     text = _let(changed, lambda t: F.when(kind == "email", address(t)).when(kind == "iban", F.concat(canon.substr(F.lit(1), F.lit(2)), t)).otherwise(t))
@@ -273,15 +287,15 @@ def _matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
-def exceptions(docs: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def exceptions(docs: DataFrame, key: str, rounds: int = 100) -> DataFrame:
     """(kind, canon, attempt) of the distinct units whose first surrogate collides. Each round keeps one unit of those
-    that share a surrogate; a surrogate that is a unit of the corpus is never kept."""
+    that share a surrogate; a surrogate that is a unit of the corpus is never kept. An error if some still collide after all rounds."""
     found = docs.select(F.explode(_matches(F.col("text"))).alias("match")).groupBy("match").count()
     units = found.select(F.explode(units_of(F.col("match"))).alias("u")).select("u.kind", "u.canon").distinct()
     now = cut(units.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate_of(key, F.col("kind"), F.col("canon"), F.lit(0))))
     settled = None
     real = now.select("kind", F.col("canon").alias("surrogate"))
-    for i in range(1, rounds + 1):
+    for i in itertools.count(1):
         pool = now if settled is None else settled.unionByName(now)
         shared = pool.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
         lost = now.join(shared, ["kind", "surrogate"]).where(F.struct("attempt", "canon") != F.col("first")).select(*now.columns)
@@ -289,6 +303,8 @@ def exceptions(docs: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         lost = cut(lost.unionByName(taken).dropDuplicates(["kind", "canon"]))
         if lost.isEmpty():
             break
+        if i > rounds:
+            raise RuntimeError(f"surrogates still collide after {rounds} rounds")
         kept = now.join(lost.select("kind", "canon"), ["kind", "canon"], "left_anti")
         settled = cut(kept if settled is None else settled.unionByName(kept))
         now = lost.select("kind", "canon").withColumn("attempt", F.lit(i))

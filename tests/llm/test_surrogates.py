@@ -1,0 +1,21 @@
+"""Dense short addresses: fewer surrogates of their length than are needed."""
+
+import string
+
+import pytest
+
+from seqspark.llm import pii
+
+
+def test_dense_short_addresses_stay_distinct(spark):
+    local = [*string.ascii_lowercase, *string.digits]
+    texts = [*[f"{c}@mail.test" for c in local], "_@mail.test", "_@mail.org", "_@mail.net"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymised(docs).collect()]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts) and all(t.endswith(".example") for t in new)
+
+
+def test_a_bound_that_is_reached_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "_@mail.test"), (2, "_@mail.org")], "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        pii.exceptions(docs, "seqspark", rounds=1)
