@@ -5,11 +5,13 @@ linear in a text's distinct words. Words (lower-cased A-Z) are hashed to ``BUCKE
 statistics are standardised on the sample; the metadata is ``n_chars``, where the table has it.
 
 It is fitted on at most ``max_rows`` labelled documents, those of lowest hash of doc_id; their hashed
-features, not their texts, reach the driver. All documents are scored, whole.
+features, not their texts, reach the driver. Both label values weigh the same in sum, so a rare one counts; factors, decay and epochs
+are chosen on labelled documents that are held back from the fit. All documents are scored, whole.
 
 Edge cases: null and empty texts have no words and are scored by their statistics; a null n_chars counts as 0; without
 labels of both values every score is the share of label 1 (0.5 without any label); repeated rows are scored
-alike; an empty table gives an empty result.
+alike; of labels of one doc_id the greatest counts, and of its labelled rows those of lowest digest, so a refit sees the same sample;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ from seqspark.llm.common import held_out, small_batches, spread
 BUCKETS = 1 << 15
 THRESHOLD = 0.7
 STATISTICS = 10
+#: Tried pairs of factors and of the decay of words; the decay of statistics.
+SETTINGS = ((6, 1e-4), (2, 1e-4), (6, 1e-2))
+STATISTICS_DECAY = 1e-3
+#: Parts that are held back in turn; of a sample of MANY_ROWS, only the first is.
+FOLDS, MANY_ROWS, PATIENCE = 4, 1000, 3
 
 
 def features(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,32 +93,49 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.parts(buckets, values, first, self.scaled(statistics))[0], -35, 35)))
 
 
-def fit(rows: list, factors: int = 6, epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> FactorisationMachine:
-    """Adam on the logistic loss of rows (buckets, values and statistics as the bytes of arrays, label), in numpy."""
+@dataclass
+class _Sample:
+    """The rows of a sample as arrays."""
+
+    label: np.ndarray
+    buckets: list[np.ndarray]
+    values: list[np.ndarray]
+    statistics: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list) -> _Sample:
+        array = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+        return cls(np.array([r["label"] for r in rows], np.float64), array("buckets", np.int32), array("values", np.float32), np.stack(array("statistics", np.float32)))
+
+    def some(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets, values, first) of some rows."""
+        first = np.concatenate([[0], np.cumsum([len(self.buckets[i]) for i in pick])])
+        return np.concatenate([self.buckets[i] for i in pick]), np.concatenate([self.values[i] for i in pick]), first
+
+
+def _trained(d: _Sample, rows: np.ndarray, held: np.ndarray, factors: int, decay: float, epochs: int, rate: float = 0.02, seed: int = 5) -> tuple[FactorisationMachine, list[float]]:
+    """(model of some rows, loss on the held-back ones after each epoch). Adam on the logistic loss; both values weigh the same in
+    sum. Words decay by ``decay``, statistics by ``STATISTICS_DECAY``. It ends early when the loss has not sunk for PATIENCE epochs."""
     random = np.random.default_rng(seed)
     size = BUCKETS + STATISTICS
-    label = np.array([r["label"] for r in rows], np.float64)
-    if not len(label) or label.min() == label.max():
-        share = min(max(label.mean() if len(label) else 0.5, 1e-6), 1 - 1e-6)
-        return FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32), np.zeros(STATISTICS), np.ones(STATISTICS))
-    x = np.stack([np.frombuffer(r["statistics"], np.float32) for r in rows])
-    model = FactorisationMachine(
-        float(np.log(label.mean() / (1 - label.mean()))), np.zeros(size, np.float32), random.normal(0, 0.05, (size, factors)).astype(np.float32), x.mean(axis=0), x.std(axis=0) + 1e-3
-    )
-    x = model.scaled(x)
-    buckets = [np.frombuffer(r["buckets"], np.int32) for r in rows]
-    values = [np.frombuffer(r["values"], np.float32) for r in rows]
+    share, label = d.label[rows].mean(), d.label
+    weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
+    start = random.normal(0, 0.05, (size, factors)).astype(np.float32)
+    model = FactorisationMachine(0.0, np.zeros(size, np.float32), start, d.statistics[rows].mean(axis=0), d.statistics[rows].std(axis=0) + 1e-3)
+    x = model.scaled(d.statistics)
     all_ = np.concatenate([model.weights[:, None], model.factors], axis=1)
     m, s, step = np.zeros_like(all_), np.zeros_like(all_), 0
+    asked = d.some(held) if len(held) else None
+    losses: list[float] = []
+    batch = min(64, max(8, len(rows) // 8))
     for _ in range(epochs):
-        order = random.permutation(len(rows))
+        order = rows[random.permutation(len(rows))]
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
             model.weights, model.factors = all_[:, 0], all_[:, 1:]
-            b, v = np.concatenate([buckets[i] for i in pick]), np.concatenate([values[i] for i in pick])
-            first = np.concatenate([[0], np.cumsum([len(buckets[i]) for i in pick])])
+            b, v, first = d.some(pick)
             odds, sums = model.parts(b, v, first, x[pick])
-            error = (1 / (1 + np.exp(-np.clip(odds, -35, 35))) - label[pick]) / len(pick)
+            error = weight[pick] * (1 / (1 + np.exp(-np.clip(odds, -35, 35))) - label[pick]) / len(pick)
             spread_ = np.repeat(np.arange(len(pick)), np.diff(first))
             hit, place = np.unique(b, return_inverse=True)
             gradient = np.zeros((len(hit) + STATISTICS, 1 + factors), np.float64)
@@ -123,14 +147,46 @@ def fit(rows: list, factors: int = 6, epochs: int = 12, batch: int = 64, rate: f
             gradient[len(hit) :, 0] = own.sum(axis=0)
             gradient[len(hit) :, 1:] = own.T @ sums - ((x[pick] ** 2) * error[:, None]).sum(axis=0)[:, None] * all_[BUCKETS:, 1:]
             touched = np.concatenate([hit, np.arange(BUCKETS, size)])
-            gradient += decay * all_[touched]
+            gradient[: len(hit)] += decay * all_[hit]
+            gradient[len(hit) :] += STATISTICS_DECAY * all_[BUCKETS:]
             step += 1
             m[touched] = 0.9 * m[touched] + 0.1 * gradient
             s[touched] = 0.99 * s[touched] + 0.01 * gradient**2
             all_[touched] -= (rate * (m[touched] / (1 - 0.9**step)) / (np.sqrt(s[touched] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             model.bias -= rate * float(error.sum())
+        model.weights, model.factors = all_[:, 0], all_[:, 1:]
+        if asked is not None:
+            odds = model.parts(*asked, x[held])[0]
+            losses.append(float((weight[held] * np.logaddexp(0, np.where(label[held] == 1, -odds, odds))).mean()))
+            if len(losses) - 1 - int(np.argmin(losses)) >= PATIENCE:
+                break
     model.weights, model.factors = np.ascontiguousarray(all_[:, 0]), np.ascontiguousarray(all_[:, 1:])
-    return model
+    return model, losses
+
+
+def fit(rows: list, epochs: int = 24) -> FactorisationMachine:
+    """The model of rows (buckets, values and statistics as the bytes of arrays, label), in numpy. Factors, decay and number of epochs are
+    those of least loss on rows that are held back in turn (four folds of each value, one of them where there are many rows)."""
+    label = np.array([r["label"] for r in rows], np.float64)
+    n_least = int(min((label == 0).sum(), (label == 1).sum())) if len(label) else 0
+    if not n_least:
+        size = BUCKETS + STATISTICS
+        share = min(max(label.mean() if len(label) else 0.5, 1e-6), 1 - 1e-6)
+        return FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, 1), np.float32), np.zeros(STATISTICS), np.ones(STATISTICS))
+    d, everything = _Sample.of(rows), np.arange(len(rows))
+    factors, decay, best = *SETTINGS[0], epochs // 2
+    if n_least >= FOLDS:
+        fold = np.zeros(len(rows), np.int64)
+        for value in (0, 1):
+            fold[label == value] = np.arange((label == value).sum()) % FOLDS
+        turns = range(FOLDS if len(rows) < MANY_ROWS else 1)
+        least = np.inf
+        for tried in SETTINGS:
+            runs = [_trained(d, everything[fold != k], everything[fold == k], *tried, epochs)[1] for k in turns]
+            losses = np.mean([r[: min(map(len, runs))] for r in runs], axis=0)
+            if losses.min() < least:
+                (factors, decay), least, best = tried, losses.min(), int(losses.argmin()) + 1
+    return _trained(d, everything, everything[:0], factors, decay, best)[0]
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -157,8 +213,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> lis
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "label", "buckets", "values", "statistics"])
 
     made_rows = rows.mapInArrow(made, "doc_id long, label int, buckets binary, values binary, statistics binary")
-    found = made_rows.limit(max_rows).collect()
-    return sorted(found, key=lambda r: (r["doc_id"], len(r["buckets"])))
+    # an id may have many rows, so the bound is taken again, in an order that does not depend on how the rows are stored
+    order = [F.xxhash64("doc_id"), "doc_id", F.md5("buckets"), F.md5("statistics")]
+    return made_rows.orderBy(*order).limit(max_rows).collect()
 
 
 def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:

@@ -38,3 +38,30 @@ def test_fit_without_two_classes():
     assert quality.fit([]).bias == 0
     row = {"buckets": np.int32([1]).tobytes(), "values": np.float32([1]).tobytes(), "statistics": np.zeros(10, np.float32).tobytes(), "label": 1}
     assert quality.fit([row]).bias > 10
+
+
+def test_the_sample_is_the_same_however_rows_are_stored(spark):
+    rows = [(i % 7, f"text {i} of many {i % 3}") for i in range(60)]
+    labels = spark.createDataFrame([(i % 7, i % 2) for i in range(14)], "doc_id long, quality int")
+    samples = []
+    for order in (rows, rows[::-1], sorted(rows)):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(5)
+        samples.append(quality.sample(docs, labels, "quality", 6))
+    assert len(samples[0]) == 6 and samples[0] == samples[1] == samples[2]
+
+
+def test_a_rare_label_counts():
+    random = np.random.default_rng(2)
+    rows = []
+    for i in range(80):
+        bad = i % 20 == 0
+        statistics = random.normal(0, 1, quality.STATISTICS).astype(np.float32)
+        statistics[3] += 6 * bad
+        buckets = np.sort(random.choice(quality.BUCKETS, 30, replace=False)).astype(np.int32)
+        rows.append({"label": int(not bad), "buckets": buckets.tobytes(), "values": np.full(30, 30**-0.5, np.float32).tobytes(), "statistics": statistics.tobytes()})
+    model = quality.fit(rows[:60])
+    x = np.stack([np.frombuffer(r["statistics"], np.float32) for r in rows[60:]])
+    words = np.concatenate([np.frombuffer(r["buckets"], np.int32) for r in rows[60:]])
+    scores = model.score(words, np.full(len(words), 30**-0.5, np.float32), np.arange(21) * 30, x)
+    good = np.array([r["label"] for r in rows[60:]]) == 1
+    assert scores[good].min() > scores[~good].max() and scores[~good].max() < quality.THRESHOLD
