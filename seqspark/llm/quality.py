@@ -30,11 +30,12 @@ from seqspark.llm.common import held_out, small_batches, spread
 BUCKETS = 1 << 15
 THRESHOLD = 0.7
 STATISTICS = 10
-#: Tried pairs of factors and of the decay of words; the decay of statistics.
+#: Tried pairs of factors and of the decay of words; the decay of statistics; the rate of factors to that of weights.
 SETTINGS = ((6, 1e-4), (2, 1e-4), (6, 1e-2))
 STATISTICS_DECAY = 1e-3
+FACTOR_RATE = 0.25
 #: Parts that are held back in turn; of a sample of MANY_ROWS, only the first is.
-FOLDS, MANY_ROWS, PATIENCE = 4, 1000, 3
+FOLDS, MANY_ROWS, PATIENCE = 4, 1000, 4
 
 
 def features(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +126,8 @@ def _trained(d: _Sample, rows: np.ndarray, held: np.ndarray, factors: int, decay
     x = model.scaled(d.statistics)
     all_ = np.concatenate([model.weights[:, None], model.factors], axis=1)
     m, s, step = np.zeros_like(all_), np.zeros_like(all_), 0
+    # products of factors move twice as fast as weights, and there are many of them
+    rates = np.array([rate] + [FACTOR_RATE * rate] * factors)
     asked = d.some(held) if len(held) else None
     losses: list[float] = []
     batch = min(64, max(8, len(rows) // 8))
@@ -152,7 +155,7 @@ def _trained(d: _Sample, rows: np.ndarray, held: np.ndarray, factors: int, decay
             step += 1
             m[touched] = 0.9 * m[touched] + 0.1 * gradient
             s[touched] = 0.99 * s[touched] + 0.01 * gradient**2
-            all_[touched] -= (rate * (m[touched] / (1 - 0.9**step)) / (np.sqrt(s[touched] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            all_[touched] -= (rates * (m[touched] / (1 - 0.9**step)) / (np.sqrt(s[touched] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             model.bias -= rate * float(error.sum())
         model.weights, model.factors = all_[:, 0], all_[:, 1:]
         if asked is not None:
@@ -164,9 +167,9 @@ def _trained(d: _Sample, rows: np.ndarray, held: np.ndarray, factors: int, decay
     return model, losses
 
 
-def fit(rows: list, epochs: int = 24) -> FactorisationMachine:
+def fit(rows: list) -> FactorisationMachine:
     """The model of rows (buckets, values and statistics as the bytes of arrays, label), in numpy. Factors, decay and number of epochs are
-    those of least loss on rows that are held back in turn (four folds of each value, one of them where there are many rows)."""
+    those of least loss on rows that are held back in turn (FOLDS parts of each value, the first of them where there are many rows)."""
     label = np.array([r["label"] for r in rows], np.float64)
     n_least = int(min((label == 0).sum(), (label == 1).sum())) if len(label) else 0
     if not n_least:
@@ -174,12 +177,14 @@ def fit(rows: list, epochs: int = 24) -> FactorisationMachine:
         share = min(max(label.mean() if len(label) else 0.5, 1e-6), 1 - 1e-6)
         return FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, 1), np.float32), np.zeros(STATISTICS), np.ones(STATISTICS))
     d, everything = _Sample.of(rows), np.arange(len(rows))
+    epochs = 24 if len(rows) < MANY_ROWS else 12
     factors, decay, best = *SETTINGS[0], epochs // 2
-    if n_least >= FOLDS:
+    folds = min(FOLDS, n_least)
+    if folds > 1:
         fold = np.zeros(len(rows), np.int64)
         for value in (0, 1):
-            fold[label == value] = np.arange((label == value).sum()) % FOLDS
-        turns = range(FOLDS if len(rows) < MANY_ROWS else 1)
+            fold[label == value] = np.arange((label == value).sum()) % folds
+        turns = range(folds if len(rows) < MANY_ROWS else 1)
         least = np.inf
         for tried in SETTINGS:
             runs = [_trained(d, everything[fold != k], everything[fold == k], *tried, epochs)[1] for k in turns]
