@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 #: Java / RE2 class for the words that most contracts use: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Batches that go to Python hold few rows, as rows can be long.
-ARROW_ROWS = 512
+#: Application -> its temporary folder, for local sessions that name none.
+_LOCAL: dict[str, str] = {}
+#: Table made by cut -> its folder.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="seqspark-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[application]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,7 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the folders of tables made by cut. Only for those that nothing reads any more: what was made of them is written too."""
+    for table in tables:
+        path = None if table is None else _FOLDERS.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -42,11 +59,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for the plans built from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def id_text(doc_id: Column) -> Column:
     return doc_id.cast("string")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import cut
+from seqspark.llm.common import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates two steps until nothing changes: each node links its larger neighbours to its smallest one, then its
     smaller neighbours and itself. Every step is an aggregation and a join on a node, so a node with very many
-    edges meets no task as a whole, and each round is written to the shared folder.
+    edges meets no task as a whole, and each round is written to the shared folder, which holds two rounds at a time.
+
+    Repeated edges and edges of a node with itself change nothing, edges with a null are left out, no edges give no nodes; other columns are
+    left alone.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -25,7 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        links = cut(small.distinct())
+        before, links = links, cut(small.distinct())
+        discard(before)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

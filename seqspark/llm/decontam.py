@@ -6,25 +6,29 @@ word the length of the longest run that ends there and occurs in an item is know
 the last ``window`` words are an occurrence of an item window; an item of fewer words is one window as a whole.
 ``clean`` removes the hit words' spans, or the document where they cover too much of it.
 
-The items are cut into blocks of at most ``block_words`` words, so the automaton that is broadcast has a bound whatever
-the benchmark's size; each block is one pass over the documents' words, and a document's passes are joined by its row. No
-document meets another.
+The items are cut into blocks of about ``block_words`` words (a longer item is a block of its own), so what is broadcast has a bound
+whatever the benchmark's size; a worker process builds a block's automaton once and keeps it for its other tasks. Each block is one pass
+over the documents' words, and a document's passes are joined by its row before anything is decided, so results do not depend on
+the blocks nor on the order of the items. No document meets another.
 
 Edge cases: null and empty texts have no words and no hits; items without words are left out; repeated items each
-count; repeated rows are separate rows; an empty benchmark hits nothing; other columns pass through ``clean``.
+count; repeated rows are separate rows; an empty benchmark hits nothing; other columns pass through ``clean`` (``_row``, ``_last`` and ``_last_row`` excepted,
+which are for its own use).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import cut, small_batches, spread
+from seqspark.llm.common import cut, discard, spread
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -149,11 +153,23 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield block
 
 
+#: The automaton that this worker process has built last, by the name of its block.
+_BUILT: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(name: str, block: Broadcast, window: int) -> SuffixAutomaton:
+    """A block's automaton, built once a worker process, which keeps one at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = SuffixAutomaton(block.value, window)
+    return _BUILT[name]
+
+
 def _scanned(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton(shared.value, window)
+        automaton = _automaton(name, shared, window)
         schema = pa.schema([
             ("row", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
             ("hits", pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))),
@@ -177,32 +193,35 @@ def _scanned(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int)
     return docs.select("row", "doc_id", "text").mapInArrow(scan, SPANS)
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, row: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, hits (merged ranges of hit words, with the byte range each spans in the UTF-8 text), items
-    (sorted item ids). ``row`` names a column that tells rows apart; it is only needed for a benchmark of several blocks."""
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
+def _spans(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(row, doc_id, n_words, hits, items of docs with a column row; the written passes that they are made of)"""
     blocks = _blocks(benchmark, block_words)
     first = next(blocks, [])
     second = next(blocks, None)
+    rows = docs.select(F.col("row").cast("string"), F.col("doc_id").cast("long"), "text")
     if second is None:
-        rows = spread(docs.select(F.lit("").alias("row") if row is None else F.col(row).cast("string").alias("row"), F.col("doc_id").cast("long"), "text"))
-        return _scanned(rows, first, window).drop(*(["row"] if row is None else []))
-    if row is None:
-        docs = cut(docs.select("doc_id", "text").withColumn("_row", F.uuid()))
-    rows = docs.select(F.col(row or "_row").cast("string").alias("row"), F.col("doc_id").cast("long"), "text")
-    passes = cut(_scanned(rows, first, window))
-    for block in [second]:
-        passes = passes.unionByName(cut(_scanned(rows, block, window)))
-    for block in blocks:
-        passes = passes.unionByName(cut(_scanned(rows, block, window)))
-    whole = passes.groupBy("row").agg(
+        return _scanned(spread(rows), first, window), []
+    passes = [cut(_scanned(rows, block, window)) for block in chain([first, second], blocks)]
+    every = passes[0]
+    for one in passes[1:]:
+        every = every.unionByName(one)
+    whole = every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         _merged(F.array_sort(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return whole.drop(*(["row"] if row is None else []))
+    return whole, passes
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, hits (merged ranges of hit words, with the byte range each spans in the UTF-8 text), items
+    (sorted item ids). ``row`` names a column that tells rows apart and is kept; it spares a copy of the texts where the benchmark has several blocks."""
+    if row is not None:
+        return _spans(docs.withColumn("row", F.col(row)), benchmark, window, block_words)[0]
+    one_block = next(islice(_blocks(benchmark, block_words), 1, None), None) is None
+    texts = docs.select("doc_id", "text", (F.lit("") if one_block else F.uuid()).alias("row"))
+    return _spans(texts if one_block else cut(texts), benchmark, window, block_words)[0].drop("row")
 
 
 def _merged(hits):
@@ -245,29 +264,64 @@ def without_hits(automaton: SuffixAutomaton, text: str | None) -> tuple[str | No
     return left, hit / max(total, 1)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without their hit spans (from the first hit word's first byte to the last one's last); documents of which hit words
-    are more than max_coverage of all words are left out. Columns and other rows stay as they are. Items of a further
-    block are looked for in what the blocks before have left."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = spread(docs)
-    blocks, columns = _blocks(benchmark, BLOCK_WORDS), docs.columns
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def cleaned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(shared.value, window)
-            at_text = columns.index("text")
-            for batch in batches:
-                texts, keep = [], []
-                for text in batch.column(at_text):
-                    text, covered = without_hits(automaton, text.as_py())
-                    texts.append(text)
-                    keep.append(covered <= max_coverage)
-                arrays = list(batch.columns)
-                arrays[at_text] = pa.array(texts, batch.schema.field(at_text).type)
-                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        rows = rows.mapInArrow(cleaned, docs.schema)
-    return rows
+    are more than max_coverage of all words are left out. Columns and other rows stay as they are. What a cut brings together is looked at
+    again, until nothing is hit."""
+    if next(islice(_blocks(benchmark, block_words), 1, None), None) is None:
+        return _clean_of_one(docs, next(_blocks(benchmark, block_words), []), max_coverage, window)
+    # all blocks' hits of a row are known before it is cut; only rows that were cut are scanned again
+    rows = cut(docs.withColumn("_row", F.uuid()))
+    pending = rows.select(F.col("_row").alias("row"), "doc_id", "text", F.lit(0).cast("long").alias("hit"), F.lit(None).cast("long").alias("total"))
+    rounds: list[DataFrame] = []
+    while True:
+        spans, passes = _spans(pending, benchmark, window, block_words)
+        spans = spans.where(F.size("hits") > 0).select("row", "n_words", "hits")
+        n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
+        found = pending.join(spans, "row").select(
+            "row", "doc_id", _without(F.col("text"), F.col("hits")).alias("text"), (F.col("hit") + n_hit).alias("hit"), F.coalesce("total", "n_words").alias("total"),
+        )
+        pending = cut(found)
+        discard(*passes)
+        if pending.isEmpty():
+            break
+        rounds.append(pending.withColumn("round", F.lit(len(rounds))))
+    if not rounds:
+        return rows.drop("_row")
+    every = rounds[0]
+    for one in rounds[1:]:
+        every = every.unionByName(one)
+    last = every.groupBy(F.col("row").alias("_last_row")).agg(F.max_by(F.struct("text", "hit", "total"), "round").alias("_last"))
+    out = rows.join(last, F.col("_row") == F.col("_last_row"), "left")
+    out = out.where(F.col("_last").isNull() | (F.col("_last.hit") / F.greatest("_last.total", F.lit(1)) <= max_coverage))
+    text = F.when(F.col("_last").isNotNull(), F.col("_last.text")).otherwise(F.col("text"))
+    return out.withColumn("text", text).select(*docs.columns)
+
+
+def _without(text: Column, hits: Column) -> Column:
+    """A text without the byte ranges of its hits, which begin and end at borders of words and so of characters."""
+    data = F.encode(text, "UTF-8")
+    after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(hits, i - 1)["end"])
+    pieces = F.transform(hits, lambda x, i: F.decode(F.substring(data, after(i) + 1, x["start"] - after(i)), "UTF-8"))
+    rest = F.decode(F.substring(data, F.element_at(hits, -1)["end"] + 1, F.length(data)), "UTF-8")
+    return F.concat(F.array_join(pieces, ""), rest)
+
+
+def _clean_of_one(docs: DataFrame, block: list[tuple[str, list[bytes]]], max_coverage: float, window: int) -> DataFrame:
+    """clean for a benchmark of one block: all rounds of a text in one place."""
+    shared, name, columns = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, docs.columns
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, shared, window)
+        at_text = columns.index("text")
+        for batch in batches:
+            texts, keep = [], []
+            for text in batch.column(at_text):
+                text, covered = without_hits(automaton, text.as_py())
+                texts.append(text)
+                keep.append(covered <= max_coverage)
+            arrays = list(batch.columns)
+            arrays[at_text] = pa.array(texts, batch.schema.field(at_text).type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+    return spread(docs).mapInArrow(cleaned, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import textnp
-from seqspark.llm.common import held_out, small_batches, spread
+from seqspark.llm.common import held_out, spread
 
 HIDDEN = 8
 STEPS = 128
@@ -188,7 +188,6 @@ def fit(docs: DataFrame, per_language: int = 300) -> ByteTagger | None:
 
 def languages(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     """doc_id, lang_pred, score (the pooled probability of that language), share (of the bytes that are labelled so)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ascii_letters = np.zeros(256, bool)
     ascii_letters[65:91] = ascii_letters[97:123] = True

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import textnp
-from seqspark.llm.common import cut, small_batches, spread
+from seqspark.llm.common import cut, spread
 from seqspark.llm.components import connected_components
 
 _SCATTER = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -87,7 +87,6 @@ def circulant_minhash(elements: np.ndarray, first: np.ndarray, coordinates: int)
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, one hash for each band, and the sketch: a byte of each coordinate."""
-    small_batches(docs.sparkSession)
     factors = textnp._RUN_FACTORS[:rows]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import rules, textnp
-from seqspark.llm.common import held_out, small_batches, spread
+from seqspark.llm.common import held_out, spread
 
 BUCKETS = 1 << 15
 THRESHOLD = 0.7
@@ -201,7 +201,6 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> list:
     """Features and labels of at most max_rows labelled documents that are not held out."""
-    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -225,7 +224,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> lis
 
 def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """doc_id, score of every document."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +246,6 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> DataFrame:
     """The documents, all columns, without those that the classifier rejects; scored in one pass over the rows."""
     model = fit(sample(docs, labels, "quality", max_rows))
-    small_batches(docs.sparkSession)
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import textnp
-from seqspark.llm.common import small_batches, spread
+from seqspark.llm.common import spread
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper")
 
@@ -96,7 +96,6 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and failures (a long of bits; 1 << i: rule i fails)."""
-    small_batches(docs.sparkSession)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

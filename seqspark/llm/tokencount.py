@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import small_batches, spread
+from seqspark.llm.common import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that the vocabulary is made for.
@@ -166,7 +166,6 @@ def counter(vocabulary: bytes) -> tuple[regex.Pattern, Callable[[list[str]], lis
 def count_edited(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_pretokens of each text, n_tokens_edited after its edits (array of struct start, delete, insert, applied one
     after the other), n_recounted (pre-tokens counted for them)."""
-    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     names = ("n_tokens", "n_pretokens", "n_tokens_edited", "n_recounted")

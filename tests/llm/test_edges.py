@@ -132,6 +132,26 @@ def test_spans_of_several_blocks_agree_with_one(spark, docs, benchmark):
     assert one == many
 
 
+def test_cleaning_does_not_depend_on_blocks_or_the_order_of_items(spark):
+    items = ["a b c d e f g h i j k l", "m n o p q r s t u v w x", "tiny item", "l m n o p q r s t u", "yes y1 y2 y3 y4 y5 y6 y7 y8 y9 y10", "k x k x k x k x k x k x"]
+    texts = [
+        "Start a b c d e f g h i j, then m n o p q r s t u v and nothing else at all here",  # each 38 %, both more than half
+        "one two three a b c d e m n o p q r s t u v f g h i j k l four five six seven eight nine ten eleven twelve thirteen fourteen é " + "more " * 20,  # a cut brings an item together
+        "a tiny item in a text of many other words, Tiny, ITEM! again; tiny tiny item item and the rest of it stays as it is",
+        "x a b c d e f g h i j k l m n o p q r s t u v w x y and some more words to keep the share low " + "word " * 40,
+        "ünïcode a b c d e f g h i j ünïcode l m n o p q r s t u 日本 " + "lang " * 30, "k x " * 8 + "end of it " * 12, None, "", "nothing",
+    ]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, row string")
+    results = []
+    for order in (items, items[::-1], items[3:] + items[:3]):
+        table = spark.createDataFrame(list(enumerate(order)), "item_id long, text string").coalesce(1)
+        for words in (decontam.BLOCK_WORDS, 5, 15, 25):
+            results.append(sorted(decontam.clean(docs, table, block_words=words).collect(), key=lambda r: r["doc_id"]))
+    assert all(r == results[0] for r in results)
+    left = {r["doc_id"]: r["text"] for r in results[0]}
+    assert 0 not in left and left[6] is None and "a b c d e" not in left[1] and "tiny item" not in left[2].lower() and left[8] == "nothing"
+
+
 def test_cleaning_leaves_other_text_alone(docs, benchmark):
     out = {r["doc_id"]: r["text"] for r in decontam.clean(docs, benchmark, max_coverage=0.9).collect()}
     assert out[5] == "Before.  after it all" and out[4] == LONG and out[2] is None and out[7] == ROWS[8][1]
