@@ -1,51 +1,60 @@
 """Personal data replaced by keyed surrogates of the same type, script, gender and format. DataFrame functions only.
 
 Found are e-mail addresses, IPv4 addresses, secrets (assigned tokens, keys, passwords and some well-known key formats), payment
-cards, phone and social security numbers, IBANs, and names after a title. Each match has one or more units (a name has one a word) in
-a canonical form: lower case, digits without separators. A unit's surrogate depends on the key, its kind and its canonical
-form only, so every mention of one entity gets the same surrogate, in its own mention's separators and letter case.
+cards (numbers whose check digit holds), phone and social security numbers, IBANs, and names after one or more titles: all the capitalised
+words and initials that follow. A name found in a text is replaced wherever one of its words stands in that text, with or without a title. Each
+match has one or more units (a name has one a word) in a canonical form: lower case, digits without separators. A unit's surrogate depends on
+the key, its kind and its canonical form only, so every mention of one entity gets the same surrogate, in its own mention's separators and
+letter case.
 
 * Digits: a Feistel permutation of the numbers of that length, so different numbers stay different. A card keeps its first digit and
-  whether its check digit holds, a phone number with a plus sign its first digit. IPv4: the same over 32 bits.
+  its check digit holds again, a phone number with a plus sign keeps its first digit. IPv4: the same over 32 bits.
 * Secrets, IBANs and e-mail addresses: letters for letters of the same script, digits for digits; hexadecimal stays so. Domains end in
   the reserved ``.example``.
-* Names: given names follow the title's gender, family names none; syllables of the same script.
+* Names: syllables of the same script. In one text a word is a given name if it stands before another one of its name, else a family name.
+  A given name follows the gender of the titles that it has in the text; none or both give a neutral one. Initials are shifted by the key.
 
 Collisions are checked over all distinct units: where units share a surrogate, or a surrogate is itself a unit of
 the corpus, all but one (or all) are drawn again with the next attempt, until none is left; if that does not end, an error says so. Where all short
 forms may be taken, later attempts make addresses, secrets and names longer. Only those exceptions are joined to the
-documents; the rest is computed where the text is, so no text is shuffled unless there are exceptions.
+documents, by a digest of the text; the rest is computed where the text is, so no text is shuffled unless there are more exceptions than
+Spark broadcasts.
 
-Edge cases: null stays null, a text without entities stays as it is; rows of equal text get equal results; an empty table
-gives an empty result; other columns pass through (``n_entities`` is replaced).
+The key is a secret: an argument, or the session's ``seqspark.pii.key``. There is none by default.
+
+Edge cases: null stays null, a text without entities stays as it is; rows of equal text get equal results, whatever their ids; an empty table
+gives an empty result; other columns pass through (``n_entities`` is replaced; ``_found``, ``_named``, ``_h`` and ``_attempts`` are for its own use).
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import cut
+from seqspark.llm.common import cut, discard
 
 #: Titles by the gender of the given name that follows ("" for none).
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Dr": "", "Prof": ""}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_NAME = r"(?:\p{Lu}['’]\p{Lu}\p{Ll}+|\p{Lu}\p{Ll}+(?:['’-]?\p{Lu}\p{Ll}+)*)"
+_TITLE = rf"(?:{'|'.join(TITLES)})\.?"
+_PARTICLE = r"(?:von|van|zu|de|der|den|di|da|del|la|le|el|al|bin|ben) "
 _ASSIGNED = r"(?:(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
 #: Each pattern of the first group begins with a letter, each of the second with none.
 PATTERNS = {
     "secret": _ASSIGNED + r"[A-Za-z0-9_\-+/=.]{8,}",
     "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"{_TITLE} (?:{_TITLE} )*(?:\p{{Lu}}\. )*(?:{_PARTICLE}){{0,2}}{_NAME}(?: \p{{Lu}}\.(?= )| (?:{_PARTICLE}){{0,2}}{_NAME}){{0,4}}(?![\p{{L}}])",
     "ip": rf"(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d|\.\d)",
     "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<!\d[.-])\d{3}[-.]\d{3}[-.]\d{4})(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<!\d[.-])\d{3}[-.]\d{3}[-.]\d{4}"
+    + r"|(?<![\d$€£#] |\d[.,-])[2-9]\d{2} [2-9]\d{2} \d{4}|(?<![$€£#.,-])[2-9]\d{2}[2-9]\d{6})(?!\d|[.,-]\d)",
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]+)+",
 }
 _LETTERED, _NUMBERED = ("secret", "key", "iban", "name"), ("ip", "card", "ssn", "phone")
@@ -55,6 +64,12 @@ ENTITY = (
     + r")|(?<![.%+-])(?:" + PATTERNS["email"] + "))"
 )
 
+#: In a text with names, each capitalised word may be one of them.
+ENTITY_OR_WORD = ENTITY[:-1] + rf"|{_NAME}(?!\p{{L}}))"
+
+#: The session's setting for the key; a key for tests and examples, which protects nothing.
+KEY_SETTING, TEST_KEY = "seqspark.pii.key", "a key for tests"
+
 #: Attempts after which a surrogate gets a character more.
 GROW = 4
 
@@ -68,13 +83,16 @@ SYLLABLES = {
 }
 
 
-def kind_of(match: Column) -> Column:
-    """The kind of a whole match."""
+def kind_of(match: Column, named: Column) -> Column:
+    """The kind of a whole match; "none" for digits that only look like a card and for words that are no name of the text."""
     whole = lambda kind: match.rlike(rf"^(?:{PATTERNS[kind]})$")
     out = F.when(F.contains(match, F.lit("@")) & ~match.rlike(r"[=:]"), "email")
-    for kind in ("secret", "key", "ip", "iban", "ssn", "card", "name"):
+    for kind in ("secret", "key", "ip", "iban", "ssn"):
         out = out.when(whole(kind), kind)
-    return out.otherwise("phone")
+    digits = _digits(match)
+    valid = _check_digit(digits.substr(F.lit(1), F.length(digits) - 1)).cast("string") == F.right(digits, F.lit(1))
+    out = out.when(whole("card"), F.when(valid, "card").otherwise("none")).when(whole("name"), "name")
+    return out.when(match.rlike(rf"^{_NAME}$"), F.when(_name_kind(named, F.lower(match)).isNotNull(), "name").otherwise("none")).otherwise("phone")
 
 
 def _secret_start(match: Column) -> Column:
@@ -85,33 +103,57 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def _gender(match: Column) -> Column:
-    title = F.regexp_extract(match, r"^(\p{L}+)", 1)
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])[title], F.lit(""))
-
-
 def _let(value: Column, body) -> Column:
     """body of a value that is computed once. It keeps both the work and the plan small: a column that is used twice is there twice."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def units_of(match: Column) -> Column:
-    """array<struct<kind, canon>>: what a match is looked up and checked by."""
-    words = F.slice(F.split(match, " "), 2, 9)
+def _is_name_word(word: Column) -> Column:
+    return word.rlike(rf"^{_NAME}$") & ~word.isin(*TITLES)
+
+
+def named_in(matches: Column) -> Column:
+    """struct<m, f, given, family>: the words of the names with titles among a text's matches, in lower case. m and f: given names after a
+    title of that gender."""
+    genders = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
+
+    def parts(match: Column) -> Column:
+        words = F.split(match, " ")
+        titles = F.transform(words, lambda w: F.coalesce(genders[F.regexp_replace(w, r"\.$", "")], F.lit("")))
+        return F.struct(F.array_max(titles).alias("gender"), F.transform(F.filter(words, _is_name_word), F.lower).alias("words"))
+
+    names = F.transform(F.filter(matches, lambda m: m.rlike(rf"^{_TITLE} ")), parts)
+    given = lambda of: F.array_distinct(F.flatten(F.transform(of, lambda x: F.slice(x["words"], 1, F.greatest(F.size(x["words"]) - 1, F.lit(0))))))
+    family = F.array_distinct(F.transform(names, lambda x: F.element_at(x["words"], -1)))
+    by = lambda g: given(F.filter(names, lambda x: x["gender"] == g))
+    return F.struct(by("m").alias("m"), by("f").alias("f"), given(names).alias("given"), family.alias("family"))
+
+
+def _name_kind(named: Column, word: Column) -> Column:
+    """The kind of a lower-case word by a text's names, null for none of them."""
+    has = lambda part: F.array_contains(named[part], word)
+    kind = F.when(has("m") & has("f"), "given").when(has("m"), "givenm").when(has("f"), "givenf").when(has("given"), "given")
+    return kind.when(has("family"), "family")
+
+
+def unit_of(kind: Column, match: Column) -> Column:
+    """struct<kind, canon> of a match other than a name: what it is looked up and checked by."""
+    canon = (
+        F.when(kind == "secret", F.lower(match.substr(_secret_start(match) + 1, F.length(match))))
+        .when(kind.isin("email", "key", "ip"), F.lower(match))
+        .when(kind == "iban", F.lower(F.regexp_replace(match, " ", "")))
+        .otherwise(_digits(match))
+    )
+    own = F.when((kind == "phone") & match.startswith("+"), F.lit("phone+")).otherwise(kind)
+    return F.struct(own.alias("kind"), canon.alias("canon"))
 
-    def of(kind: Column) -> Column:
-        gender, last = _gender(match), F.size(words) - 1
-        names = F.transform(words, lambda w, i: F.struct(F.when(i == last, F.lit("family")).otherwise(F.concat(F.lit("given"), gender)).alias("kind"), F.lower(w).alias("canon")))
-        canon = (
-            F.when(kind == "secret", F.lower(match.substr(_secret_start(match) + 1, F.length(match))))
-            .when(kind.isin("email", "key", "ip"), F.lower(match))
-            .when(kind == "iban", F.lower(F.regexp_replace(match, " ", "")))
-            .otherwise(_digits(match))
-        )
-        own = F.when((kind == "phone") & match.startswith("+"), F.lit("phone+")).otherwise(kind)
-        return F.when(kind == "name", names).otherwise(F.array(F.struct(own.alias("kind"), canon.alias("canon"))))
 
-    return _let(kind_of(match), of)
+def units_in(matches: Column, named: Column) -> Column:
+    """array<struct<kind, canon>>: the distinct units of a text."""
+    with_kind = F.transform(matches, lambda m: F.struct(kind_of(m, named).alias("k"), m.alias("m")))
+    others = F.transform(F.filter(with_kind, lambda x: ~x["k"].isin("name", "none")), lambda x: unit_of(x["k"], x["m"]))
+    names = F.transform(F.array_union(named["given"], named["family"]), lambda w: F.struct(_name_kind(named, w).alias("kind"), w.alias("canon")))
+    return F.array_distinct(F.concat(others, names))
 
 
 def _number(digest: Column, start: int = 1) -> Column:
@@ -204,7 +246,7 @@ def _grown(kind: Column, canon: Column, attempt: Column) -> Column:
 
 
 def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The canonical form of a unit's surrogate."""
+    """The canonical form of a unit's surrogate, names left out."""
     n = F.length(canon)
     body, last = canon.substr(F.lit(1), n - 1), canon.substr(n, F.lit(1)).cast("int")
     # numbers: the digits in the middle are permuted; a card ends in a check digit
@@ -222,12 +264,12 @@ def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Colu
     domain = F.regexp_replace(F.split_part(canon, F.lit("@"), F.lit(2)), r"\.[^.]*$", "")
     address = lambda t: F.concat(F.split_part(t, F.lit("@"), F.lit(1)), F.lit("@"), _substituted(key, F.lit("domain"), F.lit(0), domain), F.lit(".example"))
     text = _let(changed, lambda t: F.when(kind == "email", address(t)).when(kind == "iban", F.concat(canon.substr(F.lit(1), F.lit(2)), t)).otherwise(t))
-    return (
-        F.when(kind.isin("email", "secret", "key", "iban"), text)
-        .when(kind == "ip", ip)
-        .when(kind.isin("card", "phone", "phone+", "ssn"), number)
-        .otherwise(_name(key, kind, attempt, canon))
-    )
+    return F.when(kind.isin("email", "secret", "key", "iban"), text).when(kind == "ip", ip).otherwise(number)
+
+
+def any_surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """The same for units of every kind, names too."""
+    return F.when(kind.startswith("given") | (kind == "family"), _name(key, kind, attempt, canon)).otherwise(surrogate_of(key, kind, canon, attempt))
 
 
 def _filled(pattern: Column, mark: str, characters: Column) -> Column:
@@ -244,32 +286,41 @@ def _cased(like: Column, text: Column) -> Column:
     return F.when((like == F.upper(like)) & (like != F.lower(like)), F.upper(text)).otherwise(text)
 
 
-def replacement(key: str, match: Column, attempts: Column | None) -> Column:
-    """A match in its surrogate form. attempts: map of kind and canonical form to the attempt, null for none."""
+def replacement(key: str, match: Column, named: Column, attempts: Column | None) -> Column:
+    """A match in its surrogate form. named: the names of its text; attempts: map of kind and canonical form to the attempt, null for none."""
+
+    def drawn(kind: Column, canon: Column) -> Column:
+        n = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws(" ", kind, canon)], F.lit(0))
+        return surrogate_of(key, kind, canon, n)
+
+    shift = int(hashlib.sha256(f"{key}\x1finitial".encode()).hexdigest()[:8], 16) % 25 + 1
 
-    def drawn(unit: Column) -> Column:
-        n = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws(" ", unit["kind"], unit["canon"])], F.lit(0))
-        return surrogate_of(key, unit["kind"], unit["canon"], n)
+    def name(match: Column) -> Column:
+        def one(word: Column) -> Column:
+            kind, initial = _name_kind(named, F.lower(word)), word.rlike(r"^[A-Z]\.$")
+            moved = F.concat(F.char((F.ascii(word) - 65 + shift) % 26 + 65), F.lit("."))
+            capital = _let(_name_drawn(kind, F.lower(word)), lambda s: F.concat(F.upper(s.substr(F.lit(1), F.lit(1))), s.substr(F.lit(2), F.length(s))))
+            return F.when(_is_name_word(word) & kind.isNotNull(), capital).when(initial, moved).otherwise(word)
 
-    def put(units: Column) -> Column:
-        """All units are drawn in one place; a match other than a name has one."""
-        kind = F.element_at(units, 1)["kind"]
-        return _let(F.transform(units, drawn), lambda values: filled(kind, values))
+        return F.array_join(F.transform(F.split(match, " "), one), " ")
 
-    def filled(kind: Column, values: Column) -> Column:
-        value, start = F.element_at(values, 1), _secret_start(match)
-        initial = lambda s: F.concat(F.upper(s.substr(F.lit(1), F.lit(1))), s.substr(F.lit(2), F.length(s)))
-        name = F.concat_ws(" ", F.slice(F.split(match, " "), 1, 1), F.transform(values, initial))
-        return (
-            F.when(kind.startswith("given") | (kind == "family"), name)
-            .when(kind == "secret", F.concat(match.substr(F.lit(1), start), _cased(match.substr(start + 1, F.length(match)), value)))
+    def _name_drawn(kind: Column, canon: Column) -> Column:
+        n = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws(" ", kind, canon)], F.lit(0))
+        return _name(key, kind, n, canon)
+
+    def filled(kind: Column) -> Column:
+        start = _secret_start(match)
+        put = lambda value: (
+            F.when(kind == "secret", F.concat(match.substr(F.lit(1), start), _cased(match.substr(start + 1, F.length(match)), value)))
             .when(kind == "iban", _filled(match, "[A-Za-z0-9]", F.upper(value)))
             .when(kind.isin("email", "ip"), _cased(match, value))
             .when(kind == "key", _filled_like(match, value))
             .otherwise(_filled(match, "[0-9]", value))
         )
+        other = _let(unit_of(kind, match), lambda u: _let(drawn(u["kind"], u["canon"]), put))
+        return F.when(kind == "none", match).when(kind == "name", name(match)).otherwise(other)
 
-    return _let(units_of(match), put)
+    return _let(kind_of(match, named), filled)
 
 
 def _filled_like(match: Column, value: Column) -> Column:
@@ -283,18 +334,24 @@ def _filled_like(match: Column, value: Column) -> Column:
     return F.array_join(F.transform(F.split(match, ""), one), "")
 
 
-def _matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with _found (the matches of a text) and _named (its names). Only a text with names is looked through once more, for their words."""
+    rows = docs.withColumn("_found", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
+    rows = rows.withColumn("_named", named_in(F.col("_found")))
+    return rows.withColumn("_found", F.when(_has_names(), F.regexp_extract_all("text", F.lit(ENTITY_OR_WORD), F.lit(0))).otherwise(F.col("_found")))
+
+
+def _has_names() -> Column:
+    return F.size("_named.family") > 0
 
 
 def exceptions(docs: DataFrame, key: str, rounds: int = 100) -> DataFrame:
-    """(kind, canon, attempt) of the distinct units whose first surrogate collides. Each round keeps one unit of those
+    """(kind, canon, attempt) of the distinct units whose first surrogate collides, as a written table. Each round keeps one unit of those
     that share a surrogate; a surrogate that is a unit of the corpus is never kept. An error if some still collide after all rounds."""
-    found = docs.select(F.explode(_matches(F.col("text"))).alias("match")).groupBy("match").count()
-    units = found.select(F.explode(units_of(F.col("match"))).alias("u")).select("u.kind", "u.canon").distinct()
-    now = cut(units.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate_of(key, F.col("kind"), F.col("canon"), F.lit(0))))
-    settled = None
-    real = now.select("kind", F.col("canon").alias("surrogate"))
+    units = _marked(docs.select("text")).select(F.explode(units_in(F.col("_found"), F.col("_named"))).alias("u")).select("u.kind", "u.canon").distinct()
+    first = cut(units.withColumn("attempt", F.lit(0)).withColumn("surrogate", any_surrogate(key, F.col("kind"), F.col("canon"), F.lit(0))))
+    real = first.select("kind", F.col("canon").alias("surrogate"))
+    now, settled = first, None
     for i in itertools.count(1):
         pool = now if settled is None else settled.unionByName(now)
         shared = pool.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
@@ -306,28 +363,37 @@ def exceptions(docs: DataFrame, key: str, rounds: int = 100) -> DataFrame:
         if i > rounds:
             raise RuntimeError(f"surrogates still collide after {rounds} rounds")
         kept = now.join(lost.select("kind", "canon"), ["kind", "canon"], "left_anti")
-        settled = cut(kept if settled is None else settled.unionByName(kept))
-        now = lost.select("kind", "canon").withColumn("attempt", F.lit(i))
-        now = cut(now.withColumn("surrogate", surrogate_of(key, F.col("kind"), F.col("canon"), F.lit(i))))
-    return now.select("kind", "canon", "attempt") if settled is None else settled.unionByName(now).select("kind", "canon", "attempt").where("attempt > 0")
+        before, settled = settled, cut(kept if settled is None else settled.unionByName(kept))
+        again = lost.select("kind", "canon").withColumn("attempt", F.lit(i))
+        old, now = now, cut(again.withColumn("surrogate", any_surrogate(key, F.col("kind"), F.col("canon"), F.lit(i))))
+        discard(before, lost, None if old is first else old)
+    out = cut((now if settled is None else settled.unionByName(now)).select("kind", "canon", "attempt").where("attempt > 0"))
+    discard(first, lost, settled, now)
+    return out
 
 
-def pseudonymised(docs: DataFrame, key: str = "seqspark") -> DataFrame:
+def key_of(spark: SparkSession) -> str | None:
+    return spark.conf.get(KEY_SETTING, None)
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with surrogates in text, and n_entities."""
+    key = key or key_of(docs.sparkSession)
+    if not key:
+        raise ValueError(f"surrogates need a secret key: an argument, or {KEY_SETTING} in the session")
     columns = [c for c in docs.columns if c != "n_entities"]
-    bumped = cut(exceptions(docs, key).where("attempt > 0"))
-    rows, attempts = docs.select(*columns), None
+    bumped = exceptions(docs, key)
+    rows, attempts = _marked(docs.select(*columns)), None
     if not bumped.isEmpty():
-        met = docs.select("doc_id", F.explode(F.flatten(F.transform(_matches(F.col("text")), units_of))).alias("u"))
-        met = met.select("doc_id", "u.kind", "u.canon").distinct().join(bumped, ["kind", "canon"])
-        maps = met.groupBy(F.col("doc_id").alias("_id")).agg(
-            F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon"), "attempt"))).alias("_attempts")
-        )
-        rows = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        met = _marked(docs.select("text")).select(F.xxhash64("text").alias("_h"), F.explode(units_in(F.col("_found"), F.col("_named"))).alias("u"))
+        met = met.select("_h", "u.kind", "u.canon").join(bumped, ["kind", "canon"]).distinct()
+        maps = met.groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon"), "attempt"))).alias("_attempts"))
+        # written, so that Spark knows its size and broadcasts it where it is small
+        rows = rows.withColumn("_h", F.xxhash64("text")).join(cut(maps), "_h", "left")
         attempts = F.col("_attempts")
-    rows = rows.withColumn("_found", _matches(F.col("text")))
-    gaps = F.split("text", ENTITY, -1)
-    new = F.transform(F.col("_found"), lambda m: replacement(key, m, attempts))
+    gaps = F.when(_has_names(), F.split("text", ENTITY_OR_WORD, -1)).otherwise(F.split("text", ENTITY, -1))
+    new = F.transform(F.col("_found"), lambda m: replacement(key, m, F.col("_named"), attempts))
     text = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    rows = rows.withColumn("text", F.when(F.size("_found") > 0, text).otherwise(F.col("text")))
-    return rows.select(*columns, F.coalesce(F.size("_found"), F.lit(0)).alias("n_entities"))
+    n_entities = F.size(F.filter("_found", lambda m: kind_of(m, F.col("_named")) != "none"))
+    rows = rows.withColumn("n_entities", F.coalesce(F.when(F.col("text").isNotNull(), n_entities), F.lit(0)))
+    return rows.withColumn("text", F.when(F.size("_found") > 0, text).otherwise(F.col("text"))).select(*columns, "n_entities")

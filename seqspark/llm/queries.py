@@ -37,7 +37,7 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    return pii.pseudonymised(documents(spark, sf_dir), pii.key_of(spark) or pii.TEST_KEY).select("doc_id", "text", "n_entities")
 
 
 def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def operators(docs, labels, benchmark):
         "near": lambda: neardup.near_duplicates(docs),
         "leaks": lambda: decontam.report(docs, benchmark),
         "rules": lambda: rules.verdicts(docs),
-        "pii": lambda: pii.pseudonymised(docs),
+        "pii": lambda: pii.pseudonymised(docs, "k"),
         "mix": lambda: mixing.mix(docs),
     }
 
@@ -80,7 +80,7 @@ def test_defined_results(docs, labels, benchmark):
     assert mix[2]["taken"] == 0 and all(r["taken"] <= 3 * r["size"] for r in mix.values())
     tokens = {r["doc_id"]: r for r in tokencount.count_edited(docs, tokencount.revisions()).collect()}
     assert tokens[2]["n_tokens"] == tokens[3]["n_tokens"] == 0 and tokens[4]["n_recounted"] < 100
-    private = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    private = {r["doc_id"]: r for r in pii.pseudonymised(docs, "k").collect()}
     assert private[2]["text"] is None and "ann@mail" not in private[None]["text"] and private[4]["text"] == LONG and private[None]["size"] == "x"
     scans = licenses.scan(docs).collect()
     assert [(r["doc_id"], r["license"]) for r in scans] == [(9, "GPL-3.0")]
@@ -173,7 +173,7 @@ def test_edits_against_a_new_count():
 def test_surrogates_keep_types_distinctness_and_mentions(spark):
     texts = [f"card {4000000000000000 + i} mail u{i}@x.example.org ip 10.0.0.{i % 250} and again u{i}@x.example.org" for i in range(300)]
     texts += ["Mrs. Anna Berg met Mr. Berg. Herr Иван Петров wrote token = 'abcdef0123456789abcd'."]
-    out = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     words = [t.split() for t in out[:300]]
     assert len({w[1] for w in words}) == len({w[3] for w in words}) == 300 and len({w[5] for w in words}) == 250
     assert all(w[3] == w[8] and w[3].endswith(".example") and len(w[1]) == 16 for w in words)
@@ -186,8 +186,8 @@ def test_colliding_surrogates_are_drawn_again(spark):
     # two-letter names have few surrogates, so that some collide at first
     rows = [(i, f"Mr. {a}{b}ski went") for i, (a, b) in enumerate(itertools.product("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeiouylnrst"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert pii.exceptions(docs, "seqspark").where("attempt > 0").count() > 0
-    assert pii.pseudonymised(docs).select("text").distinct().count() == len(rows)
+    assert pii.exceptions(docs, "k").where("attempt > 0").count() > 0
+    assert pii.pseudonymised(docs, "k").select("text").distinct().count() == len(rows)
 
 
 def test_chat_tree_shares_and_reads_back(spark):
