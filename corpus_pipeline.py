@@ -7,11 +7,13 @@ or a failed stage costs no more than that stage.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.llm import decontam, mixing, neardup, pii, quality
-from seqspark.llm.common import cut, documents
+from seqspark.llm.common import cut, discard, documents
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -22,27 +24,35 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored by their statistics; without labels of both values all
+    have one score; of repeated rows all stay or none."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays. Texts without words and rows without an id are no duplicates; of rows of equal id and
+    text one stays."""
     return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items are cut out; documents that consist of them for the most part go."""
+    """Passages of benchmark items are cut out; documents that consist of them for the most part go. Null and empty texts stay, as do all with an
+    empty benchmark; repeated rows are cut alike."""
     return _measured(decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets surrogates."""
-    return _measured(pii.pseudonymised(docs).select(*docs.columns))
+    """Personal data gets surrogates under the session's key; without one, under a key for tests, which protects nothing and is warned of.
+    A null text stays null."""
+    key = pii.key_of(spark)
+    if key is None:
+        warnings.warn(f"no {pii.KEY_SETTING}: surrogates are made with a key for tests", stacklevel=2)
+    return _measured(pii.pseudonymised(docs, key or pii.TEST_KEY).select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of which the mix of sources takes words, with size, source_size, target and taken."""
+    """The documents of which the mix of sources takes words, with size, source_size, target and taken. Texts without words give none and go; a
+    null source is one of its own; repeated rows have a place each."""
     return mixing.mixed_documents(docs)
 
 
@@ -61,7 +71,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            discard(before)
     return docs
