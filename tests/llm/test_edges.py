@@ -194,7 +194,7 @@ def test_chat_tree_shares_and_reads_back(spark):
     rows = [(c, t, r, x) for c in range(4) for t, (r, x) in enumerate([("system", "be <|kind|>"), ("user", "hi"), ("assistant", f"answer {c % 2} </s> <\\|")])]
     rows += [(9, None, None, None), (None, 0, "user", "lost"), (None, 0, "user", "lost")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("shard", F.lit("x"))
-    tree = chatfmt.prefix_tree(conversations, shards=1)
+    tree = chatfmt.prefix_tree(conversations)
     nodes = tree.nodes.collect()
     assert sum(n["role"] == "system" for n in nodes) == 1 and sum(n["role"] == "assistant" for n in nodes) == 2
     for n in nodes:
@@ -204,6 +204,34 @@ def test_chat_tree_shares_and_reads_back(spark):
     assert chatfmt.read_back(chatfmt.prefix_tree(conversations.where("false"))).collect() == []
 
 
+def test_a_chat_tree_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(chatfmt, "BLOCK", 16)
+    long = "very long " * 20_000
+    rows = [(c, t, r, x) for c in range(200) for t, (r, x) in enumerate([("system", "be kind"), ("user", f"hi {c % 40}"), ("assistant", f"answer {c % 90}")][: 1 + c % 3])]
+    rows += [(500, 0, "system", "be kind"), (500, 1, "user", long), (501, 0, "system", "be kind"), (501, 1, "user", long)]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    was, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 8, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            tree = chatfmt.prefix_tree(conversations.repartition(n), shard_tokens=500)
+            seen.append((sorted(tree.nodes.collect(), key=lambda r: r["start"]), sorted(tree.paths.collect(), key=lambda r: r["conv_id"])))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2]
+    nodes, paths = seen[0]
+    assert sum(n["role"] == "system" for n in nodes) == 1 and sum(len(n["text"]) > 100_000 for n in nodes) == 1
+    # one stream without gaps, cut into shards, and no beginning twice
+    assert nodes[0]["start"] == 0 and all(a["end"] == b["start"] for a, b in zip(nodes[:-1], nodes[1:])) and nodes[-1]["shard"] > 3
+    turns = {}
+    for c, t, r, x in sorted(rows):
+        turns.setdefault(c, []).append((r, x))
+    assert len(nodes) == len({tuple(v[: i + 1]) for v in turns.values() for i in range(len(v))}) and len(paths) == len(turns)
+    # depth first: a node's descendants follow it before anything else does
+    for p in paths:
+        assert p["nodes"] == sorted(p["nodes"])
+
+
 def test_ledger_ablations(docs):
     rows = rules.ledger(docs).persist()
     table = {(r["version"], r["without"]): (r["n_docs"], r["n_kept"]) for r in rules.ablations(rows).collect()}
