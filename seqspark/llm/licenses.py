@@ -10,10 +10,14 @@ A template of fewer words than a shingle is looked up as a run of words at every
 (``\\n``-split) its place is the line and no word.
 
 A candidate is confirmed where at least ``CONTAINMENT`` of the template's distinct shingles lie within ``PAD`` words of the
-window, on either side, and for a template of more words than that within as many more as it has; of the templates that a window confirms, those with the most count. The headers of sibling licenses differ in
-a few words only. So a template that shares at least ``SIBLING`` of its shingles with a template of another license is decided by the
+window, on either side, and for a template of more words than that within as many more as it has; of the templates that a window confirms,
+those with the most count. The headers of sibling licenses differ in a few words only. So a template that shares at least ``SIBLING`` of the shingles of either with one of another license is decided by the
 shingles in which the two differ: ``CONTAINMENT`` of its own must be there in one copy, or a greater share of them than of the other's. (The SQL has
-the same templates without this rule; they agree where no text is nearer to two siblings than to one of them.) Templates are compared in blocks of at most ``BLOCK_TEMPLATES``, which bounds what is broadcast.
+the same templates without this rule; they agree where no text is nearer to two siblings than to one of them.)
+
+The templates are a table (license, template), such as ``read_templates`` makes of a folder of texts; without one they are the usual notices and
+the license texts in ``templates/``. They are compared in blocks of about ``BLOCK_WINDOWS`` windows, so what is broadcast has a bound; a longer
+template is a block of its own.
 
 Edge cases: null and empty texts and templates match nothing; repeated rows are
 reported alike, each; documents of equal id and text count as one; an empty table of either kind gives an empty result; other
@@ -23,17 +27,19 @@ columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import cut
+from seqspark.llm.common import cut, discard
 
 SHINGLE, WINDOW, STRIDE, BANDS = 5, 4, 2, 32
 CONTAINMENT = 0.8
 SIBLING = 0.5
 PAD = 256
-BLOCK_TEMPLATES = 500
+BLOCK_WINDOWS = 25_000
+TEXTS = Path(__file__).parent / "templates"
 
 #: The usual notices of common licenses.
 TEMPLATES = (
@@ -93,8 +99,28 @@ def _windows(rows: DataFrame, words: str, stride: int, keep: Sequence[str]) -> D
     return some.select(*keep, "at", F.xxhash64("band", F.least(*hashed)).alias("band_key"))
 
 
-def templates_table(spark, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template_id int, license string, template string")
+def known_templates() -> list[tuple[str, str]]:
+    """(license, template) of the usual notices and of the license texts of this library."""
+    return [*TEMPLATES, *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt")))]
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """license (the file's stem), template of a folder of texts."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return files.select(F.regexp_extract("file", r"([^/]+?)(?:\.[a-z]+)?$", 1).alias("license"), F.col("value").alias("template"))
+
+
+def _numbered(spark: SparkSession, templates: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
+    """template_id, license, template, block. Ids follow license and template; the window holds their lengths and digests, not the texts."""
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(list(templates), "license string, template string")
+    rows = templates.select("license", "template").where("template IS NOT NULL").distinct().withColumn("_digest", F.sha2("template", 256))
+    rows = cut(rows.withColumn("_windows", F.size(_words(F.col("template")))))
+    order = Window.partitionBy(F.lit(1)).orderBy("license", "_digest")
+    ids = rows.select("license", "_digest", "_windows").withColumn("template_id", F.row_number().over(order) - 1)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ids = ids.withColumn("block", F.floor((F.sum("_windows").over(upto) - F.col("_windows")) / BLOCK_WINDOWS).cast("int")).drop("_windows")
+    return rows.drop("_windows").join(ids, ["license", "_digest"]).select("template_id", "license", "template", "block")
 
 
 def _template_shingles(templates: DataFrame) -> DataFrame:
@@ -106,11 +132,14 @@ def _template_shingles(templates: DataFrame) -> DataFrame:
 
 
 def _with_siblings(known: DataFrame) -> DataFrame:
-    """known with siblings: for each sibling of another license the shingles of the template that it lacks, and the other way round."""
-    one = known.select("template_id", "license", "shingles", F.explode("shingles").alias("s"))
-    two = known.select(F.col("template_id").alias("_id"), F.col("license").alias("_license"), F.col("shingles").alias("_shingles"), F.explode("shingles").alias("s"))
-    pairs = one.join(two, "s").where("license != _license").groupBy("template_id", "_id")
-    pairs = pairs.agg(F.count("*").alias("n"), F.first("shingles").alias("mine"), F.first("_shingles").alias("theirs")).where(F.col("n") >= SIBLING * F.size("mine"))
+    """known with siblings: for each sibling of another license the shingles of the template that it lacks, and the other way round. Siblings share
+    SIBLING of the shingles of either, so a whole license is none of a notice."""
+    one = known.select("template_id", "license", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    two = one.select(F.col("template_id").alias("_id"), F.col("license").alias("_license"), F.col("size").alias("_size"), "s")
+    pairs = one.join(two, "s").where("license != _license").groupBy("template_id", "_id", "size", "_size").agg(F.count("*").alias("n"))
+    pairs = pairs.where(F.col("n") >= SIBLING * F.greatest("size", "_size")).select("template_id", "_id")
+    pairs = pairs.join(known.select("template_id", F.col("shingles").alias("mine")), "template_id")
+    pairs = pairs.join(known.select(F.col("template_id").alias("_id"), F.col("shingles").alias("theirs")), "_id")
     differ = F.struct(F.array_except("mine", "theirs").alias("mine"), F.array_except("theirs", "mine").alias("theirs"))
     return known.join(pairs.groupBy("template_id").agg(F.collect_list(differ).alias("siblings")), "template_id", "left")
 
@@ -138,13 +167,15 @@ def _place(text: Column, at: Column, n: int) -> Column:
     return F.aggregate(sizes, start, step, lambda s: F.coalesce(-1 - s["whole"], at))
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license, n_places (windows at which one of its templates is confirmed), first_word (null for short lines alone), containment (the best)."""
-    out = None
+    known = cut(_template_shingles(_numbered(docs.sparkSession, known_templates() if templates is None else templates)))
     # siblings may be in different blocks
-    known = cut(_with_siblings(_template_shingles(templates_table(docs.sparkSession, templates))))
-    for i in range(0, max(len(templates), 1), BLOCK_TEMPLATES):
-        part = _scanned(docs, known.where(F.col("template_id").between(i, i + BLOCK_TEMPLATES - 1)))
+    known = cut(_with_siblings(known))
+    blocks = sorted(r["block"] for r in known.select("block").distinct().collect())
+    out = None
+    for i in blocks or [0]:
+        part = _scanned(docs, known.where(F.col("block") == i))
         out = part if out is None else out.unionByName(part)
     keys = ["doc_id", "h", "copies", "license"]
     out = out.groupBy(*keys).agg(F.countDistinct("at").alias("n_places"), F.min(F.when(F.col("at") >= 0, F.col("at"))).alias("first_word"), F.max("containment").alias("containment"))

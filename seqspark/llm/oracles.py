@@ -131,20 +131,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(n)::BIGINT AS formatted_chars FROM said GROUP BY conv_id
 """
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.known_templates()))
 
 OP9 = rf"""
 WITH templates AS (SELECT id, license, regexp_extract_all(lower(template), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {_TEMPLATES}) AS t(id, license, template)),
 wanted AS (
   SELECT DISTINCT id, license, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM templates)),
 sizes AS (SELECT id, count(*) AS m FROM wanted GROUP BY id),
+reaches AS (SELECT id, CASE WHEN len(w) > 256 THEN len(w) + 256 ELSE 256 END AS reach FROM templates),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 runs AS (SELECT r, doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM docs)),
 held AS (SELECT r, doc_id, p, id, license, s FROM runs JOIN wanted USING (s)),
 windows AS (SELECT DISTINCT r, id, q AS place FROM (SELECT r, id, p, unnest(range(greatest(p - 3, 0), p + 1)) AS q FROM held) WHERE q % 2 = 0),
 near AS (
   SELECT h.r, h.doc_id, h.license, place, count(DISTINCT s) / any_value(m) AS containment
-  FROM windows x JOIN held h ON x.r = h.r AND x.id = h.id AND h.p BETWEEN place - 256 AND place + 256 JOIN sizes z ON h.id = z.id GROUP BY h.r, h.doc_id, h.license, h.id, place),
+  FROM windows x JOIN reaches y ON x.id = y.id JOIN held h ON x.r = h.r AND x.id = h.id AND h.p BETWEEN place - reach AND place + reach JOIN sizes z ON h.id = z.id GROUP BY h.r, h.doc_id, h.license, h.id, place),
 lines AS (
   SELECT r, doc_id, n, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+') AS w FROM (
     SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM docs)),

@@ -62,7 +62,7 @@ HEADERS = [
 ]
 
 
-def found(spark, texts, templates=licenses.TEMPLATES):
+def found(spark, texts, templates=None):
     out = {i: [] for i in range(len(texts))}
     for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect():
         out[r["doc_id"]].append(r["license"])
@@ -76,7 +76,7 @@ def test_headers_of_sibling_licenses(spark):
 
 
 def test_siblings_in_different_blocks(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "BLOCK_TEMPLATES", 1)
+    monkeypatch.setattr(licenses, "BLOCK_WINDOWS", 1)
     three = [t for t in licenses.TEMPLATES if t[1].startswith("This program") and t[0] in ("GPL-2.0", "GPL-3.0", "AGPL-3.0")]
     assert found(spark, [HEADERS[k][2] for k in (0, 1, 5)], three) == [["GPL-2.0"], ["GPL-3.0"], ["AGPL-3.0"]]
 
@@ -99,3 +99,23 @@ def test_a_long_template(spark):
     long = " ".join(f"w{i}" for i in range(1500))
     cut = " ".join(f"w{i}" for i in range(1000))
     assert found(spark, [f"before it {long} after it", long, cut], [("Long", long)]) == [["Long"], ["Long"], []]
+
+
+def test_whole_licenses(spark):
+    """The texts of this library, whole and without a tenth of their lines, between other words; and a table of templates made of a folder."""
+    names = ["Apache-2.0", "GPL-2.0", "MPL-2.0"]
+    whole = [(licenses.TEXTS / f"{n}.txt").read_text() for n in names]
+    most = ["\n".join(x for i, x in enumerate(t.splitlines()) if i % 200 < 180) for t in whole]
+    half = ["\n".join(t.splitlines()[: len(t.splitlines()) // 2]) for t in whole]
+    assert all(len(t.split()) > 1500 for t in whole)
+    table = licenses.read_templates(spark, str(licenses.TEXTS))
+    got = found(spark, [f"some words before {whole[0]} and after", most[1], most[2], half[0], half[2]], table)
+    assert got == [[n] for n in names] + [[]] * 2
+
+
+def test_repeated_rows_and_templates_are_reported_each(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, notice), (1, notice), (2, notice), (None, notice), (None, notice), (3, None), (4, "")]
+    templates = spark.createDataFrame([("MIT", notice), ("MIT", notice), ("None", None), ("Empty", "")], "license string, template string")
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), templates).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["1", "1", "2", "None", "None"] and all(r["license"] == "MIT" and r["containment"] == 1 for r in out)
