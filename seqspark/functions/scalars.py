@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The grids that amounts are snapped to, and the pot fractions that count as round.
+#: The grids that amounts are snapped to, the pot fractions that count as round, and the code letters.
 EXACT_GRID = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 36.0, 56.0, 84.0, 126.0)
 VISIBLE_GRID = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0, 100.0)
 FRACTION_GRID = (0.0, 0.33, 0.5, 0.66, 0.75, 1.0, 1.5, 2.0)
@@ -61,6 +61,15 @@ def snapped(x: Column, grid: Sequence[float]) -> Column:
     return F.array_min(F.transform(points, lambda g, i: F.struct(F.abs(g - x).alias("d"), i.alias("i"), g.alias("g"))))["g"]
 
 
+def snapped_by_join(rows: DataFrame, value: str, grid: Sequence[float], to: str) -> DataFrame:
+    """rows with the nearest grid point of a column, as a range join: the grid is a small table of (low, high] intervals, which is broadcast."""
+    points = [float(g) for g in grid]
+    edges = [float("-inf"), *((a + b) / 2 for a, b in zip(points[:-1], points[1:], strict=True)), float("inf")]
+    table = rows.sparkSession.createDataFrame(list(zip(edges[:-1], edges[1:], points, strict=True)), f"_low double, _high double, {to} double")
+    within = (F.col(value) > F.col("_low")) & (F.col(value) <= F.col("_high"))
+    return rows.join(F.broadcast(table), within, "left").drop("_low", "_high")
+
+
 def ratio(amount: Column, pot: Column) -> Column:
     """amount / pot, null unless both are above 0."""
     return F.when((amount > 0) & (pot > 0), amount / pot)

@@ -43,21 +43,22 @@ STATS = ("mean", "std", "q25", "q75")
 ACTOR_STATS = ("mean", "std", "min", "max", "q10", "q50", "q90")
 
 
-def _statistic(stat: str, column: str) -> Column:
-    known = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-    return known[stat](column) if stat in known else F.percentile(column, int(stat[1:]) / 100)
+def _statistics(features: DataFrame, stats: tuple[str, ...], columns: list[str], prefix: str = "", approximate: bool = False) -> DataFrame:
+    """Statistics of columns by group. All quantiles of a column come from one sorted copy of its values (or one sketch)."""
+    plain = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    quantiles = [s for s in stats if s not in plain]
+    points = F.array(*[F.lit(int(s[1:]) / 100) for s in quantiles])
+    at = (lambda c: F.percentile_approx(c, points, 10_000)) if approximate else (lambda c: F.percentile(c, points))
+    sums = [plain[s](c).cast("double").alias(f"{prefix}{s}_{c}") for s in stats if s in plain for c in columns]
+    out = features.groupBy("group_id").agg(*sums, *[at(c).alias(f"_q_{c}") for c in columns])
+    named = {f"{prefix}{s}_{c}": F.get(f"_q_{c}", F.lit(i)).cast("double") for i, s in enumerate(quantiles) for c in columns}
+    return out.select("group_id", *[named.get(n, F.col(n)).alias(n) for n in (f"{prefix}{s}_{c}" for s in stats for c in columns)])
 
 
 def hand_statistics(features: DataFrame, approximate: bool = False) -> DataFrame:
     """Mean, deviation and quartiles of the 44 hand features by group. ``approximate`` takes sketches of the quartiles, for groups too
     large to sort."""
-
-    def one(stat: str, c: str) -> Column:
-        if approximate and stat[0] == "q":
-            return F.percentile_approx(c, int(stat[1:]) / 100, 10_000)
-        return _statistic(stat, c)
-
-    return features.groupBy("group_id").agg(*[one(s, c).cast("double").alias(f"{s}_{c}") for s in STATS for c in HAND_FEATURES])
+    return _statistics(features, STATS, HAND_FEATURES, approximate=approximate)
 
 
 def consistency(features: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def policy(seq: Sequences) -> DataFrame:
 
 def actor_statistics(features: DataFrame) -> DataFrame:
     """Seven statistics of the 28 actor features by group."""
-    return features.groupBy("group_id").agg(*[_statistic(s, c).cast("double").alias(f"hf_{s}_{c}") for s in ACTOR_STATS for c in ACTOR_FEATURES])
+    return _statistics(features, ACTOR_STATS, ACTOR_FEATURES, "hf_")
 
 
 def _line(column: str) -> Column:
@@ -127,7 +128,7 @@ def actor_group(seq: Sequences) -> DataFrame:
     units = seq.hands.select(*KEYS, "bb")
     stacks = seq.players.where("starting_stack IS NOT NULL AND starting_stack <> 0").join(units, KEYS).withColumn("s", F.col("starting_stack") / F.col("bb"))
     stacks = stacks.groupBy("group_id").agg(
-        F.avg("s").alias("hf_stack_mean_bb"), F.stddev_pop("s").alias("hf_stack_std_bb"), (F.percentile("s", 0.75) - F.percentile("s", 0.25)).alias("hf_stack_iqr_bb")
+        F.avg("s").alias("hf_stack_mean_bb"), F.stddev_pop("s").alias("hf_stack_std_bb"), F.aggregate(F.percentile("s", F.array(F.lit(0.75), F.lit(0.25))), F.lit(None).cast("double"), lambda a, q: F.coalesce(a - q, q)).alias("hf_stack_iqr_bb")
     )
     rows = actor_steps(seq)
     role = F.when(F.col("hero"), "H").otherwise("o")
@@ -154,7 +155,7 @@ def actor_group(seq: Sequences) -> DataFrame:
     return out.join(stacks, "group_id", "left").fillna(0.0, ["hf_stack_mean_bb", "hf_stack_std_bb", "hf_stack_iqr_bb"])
 
 
-def group_features(seq: Sequences) -> DataFrame:
+def group_features(seq: Sequences, with_compression: bool = True) -> DataFrame:
     """The whole vector: 176 statistics and 36 measures of the hero's play (0 where no hero is known), 214 of all actors, 7 of redundancy."""
     hands = hand_features(seq)
     out = seq.hands.select("group_id").distinct()
@@ -163,4 +164,4 @@ def group_features(seq: Sequences) -> DataFrame:
     for part in (hand_statistics(hands), measures, pooled_sizes(seq), policy(seq), actor_statistics(actor_features(seq)), actor_group(seq)):
         out = out.join(part, "group_id", "left")
     out = out.fillna(0.0)
-    return out.join(redundancy.redundancy_features(seq), "group_id", "left")
+    return out.join(redundancy.redundancy_features(seq, with_compression), "group_id", "left")

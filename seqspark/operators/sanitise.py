@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import scalars as S
+from seqspark.sources.tables import flatten_actions
 from seqspark.operators.hands import KEYS
 
 
@@ -40,3 +41,9 @@ def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     if lost:
         raise ValueError(f"{lost} keys without a partner")
     return a.join(b, key)
+
+
+def sanitised_groups(groups: DataFrame) -> DataFrame:
+    """The sanitised actions of loaded groups (group_id, hands, and what tells them apart), with their release, split and label."""
+    keep = [c for c in ("release", "split", "label") if c in groups.columns]
+    return sanitised(flatten_actions(groups)).join(groups.select("group_id", *keep), "group_id")

@@ -111,3 +111,8 @@ def worst_case(metrics: DataFrame) -> DataFrame:
         "*", F.greatest("wf_hard_fpr", "oof_hard_fpr").alias("hard_fpr"), F.least("wf_safety", "oof_safety").alias("safety"),
         F.least("wf_hard_recall", "oof_hard_recall").alias("hard_recall"), F.least("wf_positive_rate", "oof_positive_rate").alias("positive_rate"),
     )
+
+
+def decisions(promoted: DataFrame, at: str) -> DataFrame:
+    """The record of a promotion (promotion's result): one row a candidate with its figures, reasons, verdict and time, to be appended to a history."""
+    return promoted.select(F.lit(at).cast("timestamp").alias("decided_at"), "model", "reward", "hard_fpr", "reasons", "regression", "forced", "accepted")

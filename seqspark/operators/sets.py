@@ -14,9 +14,10 @@ def content_key(groups: DataFrame) -> Column:
 
 
 def first_of_each(rows: DataFrame, key: str, order: str, limit: int | None = None, seen: DataFrame | None = None) -> DataFrame:
-    """The first row of each key that is not in ``seen`` (its keys), at most ``limit`` by order."""
-    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    out = rows.join(first.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_first"))).drop("_key", "_first")
+    """The first row of each key that is not in ``seen`` (its keys), at most ``limit`` by order; of rows that tie, the least."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(whole, F.struct(order, whole)).alias("_row"))
+    out = first.select("_row.*")
     if seen is not None:
         out = out.join(seen.select(F.col(key).alias("_seen")), F.col(key) == F.col("_seen"), "left_anti")
     return out.orderBy(order).limit(limit) if limit is not None else out

@@ -1,26 +1,14 @@
-"""DuckDB SQL for the registered queries. Windows, joins and shapes are written out here; lists of plain aggregate expressions are taken
-from the operators' tables of them."""
+"""DuckDB SQL for the registered queries, written out from the definitions of the features; only the fixed grids are shared with the library."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from seqspark.functions.scalars import EXACT_GRID, FRACTION_GRID, ROUND_FRACTIONS, VISIBLE_GRID
-from seqspark.operators import groups as G
-from seqspark.operators import hands as H
 
 PARTS = ("stack", "mono", "mlp", "drse")
 
 
-def _duck(expression: str) -> str:
-    return expression.replace("bround(", "round_even(").replace("count_if(", "count(*) FILTER (")
-
-
-def _aggregates(spec: dict[str, str], digits: int | None = 6) -> str:
-    cast = "round(CAST({0} AS DOUBLE), {1})" if digits else "CAST({0} AS DOUBLE)"
-    return ", ".join(f"{cast.format(_duck(e), digits)} AS {name}" for name, e in spec.items())
-
-
 def _nearest(x: str, grid: Sequence[float], index: bool = False) -> str:
     """The nearest point, the lower one of two that are equally near."""
     cases = " ".join(f"WHEN {x} <= {(a + b) / 2!r} THEN {i if index else a!r}" for i, (a, b) in enumerate(zip(grid[:-1], grid[1:], strict=True)))
@@ -73,24 +61,90 @@ sized AS (
 steps AS (
   SELECT *, CASE WHEN size_bb IS NOT NULL THEN CASE WHEN abs(round_even(size_bb * 2, 0) / 2 - size_bb) < 0.02 OR (pot_ratio > 0 AND ({_ROUND})) THEN 1.0 ELSE 0.0 END END::DOUBLE AS round_flag FROM sized)"""
 
-HAND_TABLE = f"""
-summed_hands AS (SELECT group_id, hand_id, {_aggregates(H.HAND_AGGREGATES, None)} FROM steps GROUP BY 1, 2),
-hand_table AS (SELECT *, {_aggregates(H.HAND_DERIVED, None)} FROM summed_hands JOIN hands USING (group_id, hand_id))"""
+def _concentration(source: str, keys: str, value: str) -> str:
+    """keys, entropy, modal of a value's distribution."""
+    return f"""(SELECT {keys}, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS entropy, max(c) / sum(c) AS modal
+      FROM (SELECT {keys}, {value}, count(*) AS c FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL) GROUP BY {keys})"""
+
 
+HAND_COLUMNS = (
+    "n_actions vpip pfr vpip_pfr_gap folded_pre n_pre_raises fold_rate call_rate check_rate raise_rate bet_rate aggression aggr_frac pre_aggr flop_aggr turn_aggr river_aggr postflop_aggr "
+    "fold_to_bet faced_bet max_street saw_flop saw_turn saw_river saw_showdown n_board_streets won stack_bb rel_pos n_players total_pot_bb mean_size_bb std_size_bb size_cv min_size_bb "
+    "max_size_bb mean_pot_ratio std_pot_ratio roundness n_aggr_actions check_raise bet_fold call_raise limp_reraise"
+).split()
+#: Of the hero's actions: how many, of each kind, on each street, and the sizes of bets and raises; then the 44 features.
+HAND_TABLE = """
+hero_counts AS (
+  SELECT group_id, hand_id, count(*) FILTER (hero) AS n,
+    count(*) FILTER (hero AND action_type = 'fold') AS folds, count(*) FILTER (hero AND action_type = 'call') AS calls, count(*) FILTER (hero AND action_type = 'check') AS checks,
+    count(*) FILTER (hero AND action_type = 'raise') AS raises, count(*) FILTER (hero AND action_type = 'bet') AS bets,
+    count(*) FILTER (hero AND street = 'preflop') AS n_pre, count(*) FILTER (hero AND street = 'flop') AS n_flop,
+    count(*) FILTER (hero AND street = 'turn') AS n_turn, count(*) FILTER (hero AND street = 'river') AS n_river,
+    count(*) FILTER (hero AND street = 'preflop' AND action_type IN ('bet', 'raise')) AS a_pre, count(*) FILTER (hero AND street = 'flop' AND action_type IN ('bet', 'raise')) AS a_flop,
+    count(*) FILTER (hero AND street = 'turn' AND action_type IN ('bet', 'raise')) AS a_turn, count(*) FILTER (hero AND street = 'river' AND action_type IN ('bet', 'raise')) AS a_river,
+    count(*) FILTER (hero AND street = 'preflop' AND action_type = 'call') AS pre_calls, count(*) FILTER (hero AND street = 'preflop' AND action_type = 'fold') AS pre_folds,
+    count(*) FILTER (hero AND street = 'preflop' AND action_type = 'raise') AS pre_raises,
+    count(*) FILTER (facing) AS faced, count(*) FILTER (facing AND action_type = 'fold') AS faced_folds, coalesce(max(street_no) FILTER (hero), 0) AS top,
+    list(size_bb) FILTER (size_bb IS NOT NULL) AS sizes, list(pot_ratio) FILTER (pot_ratio IS NOT NULL) AS shares, avg(round_flag) AS rounds,
+    count(*) FILTER (before = 'check' AND action_type IN ('bet', 'raise')) AS check_raises, count(*) FILTER (before = 'call' AND action_type = 'raise') AS call_raises,
+    count(*) FILTER (before = 'call' AND action_type = 'raise' AND street = 'preflop') AS limps,
+    min(action_idx) FILTER (hero AND action_type = 'bet') AS first_bet, max(action_idx) FILTER (hero AND action_type = 'fold') AS last_fold
+  FROM steps GROUP BY 1, 2),
+hand_rates AS (
+  SELECT *, greatest(n, 1) AS m, bets + raises AS aggressive, coalesce(a_pre / nullif(n_pre, 0), 0) AS r_pre, coalesce(a_flop / nullif(n_flop, 0), 0) AS r_flop,
+    coalesce(a_turn / nullif(n_turn, 0), 0) AS r_turn, coalesce(a_river / nullif(n_river, 0), 0) AS r_river,
+    coalesce(list_avg(sizes), 0) AS size_mean, coalesce(list_stddev_pop(sizes), 0) AS size_dev, coalesce(list_min(sizes), 0) AS size_low, coalesce(list_max(sizes), 0) AS size_high
+  FROM hero_counts),
+hand_table AS (
+  SELECT group_id, hand_id, n::DOUBLE AS n_actions, (pre_calls + a_pre > 0)::INT::DOUBLE AS vpip, (a_pre > 0)::INT::DOUBLE AS pfr, (pre_calls + a_pre > 0)::INT - (a_pre > 0)::INT::DOUBLE AS vpip_pfr_gap,
+    (pre_folds > 0)::INT::DOUBLE AS folded_pre, pre_raises::DOUBLE AS n_pre_raises, folds / m AS fold_rate, calls / m AS call_rate, checks / m AS check_rate, raises / m AS raise_rate, bets / m AS bet_rate,
+    aggressive / greatest(1, calls + checks) AS aggression, aggressive / m AS aggr_frac, r_pre AS pre_aggr, r_flop AS flop_aggr, r_turn AS turn_aggr, r_river AS river_aggr,
+    (r_flop + r_turn + r_river) / 3 AS postflop_aggr, coalesce(faced_folds / nullif(faced, 0), 0) AS fold_to_bet, faced::DOUBLE AS faced_bet, top::DOUBLE AS max_street,
+    (top >= 1)::INT::DOUBLE AS saw_flop, (top >= 2)::INT::DOUBLE AS saw_turn, (top >= 3)::INT::DOUBLE AS saw_river, showdown::INT::DOUBLE AS saw_showdown, n_board::DOUBLE AS n_board_streets, hero_won::INT::DOUBLE AS won,
+    hero_stack / bb AS stack_bb, ((hero_seat - button_seat) % n_seats + n_seats) % n_seats / n_seats AS rel_pos, n_seats::DOUBLE AS n_players, total_pot / bb AS total_pot_bb,
+    size_mean AS mean_size_bb, size_dev AS std_size_bb, CASE WHEN size_mean > 0 THEN size_dev / size_mean ELSE 0 END AS size_cv, size_low AS min_size_bb, size_high AS max_size_bb,
+    coalesce(list_avg(shares), 0) AS mean_pot_ratio, coalesce(list_stddev_pop(shares), 0) AS std_pot_ratio, coalesce(rounds, 0) AS roundness, aggressive::DOUBLE AS n_aggr_actions,
+    check_raises::DOUBLE AS check_raise, coalesce(first_bet < last_fold, false)::INT::DOUBLE AS bet_fold, call_raises::DOUBLE AS call_raise, limps::DOUBLE AS limp_reraise
+  FROM hand_rates JOIN hands USING (group_id, hand_id))"""
+
+ACTOR_COLUMNS = (
+    "action_entropy actor_entropy street_entropy action_switch actor_switch action_run actor_run pot_delta_mean pot_growth pot_monotonic hero_share n_distinct_actors n_streets n_actions "
+    "bucket_amt_mean nonzero_amt_share call_share check_share fold_share bet_share raise_share aggr_share preflop_share postflop_share bucket_entropy bucket_amt_std pot_before_bb pot_after_bb"
+).split()
+_BY_HAND = "group_id, hand_id"
 ACTORS = f"""
-counted AS (
-  SELECT *, count(*) OVER h AS n, row_number() OVER (PARTITION BY group_id, hand_id ORDER BY action_idx) AS action_idx_in,
-    count(*) OVER (PARTITION BY group_id, hand_id, action_type) AS n_same_action, count(*) OVER (PARTITION BY group_id, hand_id, seat) AS n_same_seat,
-    count(*) OVER (PARTITION BY group_id, hand_id, street) AS n_same_street,
-    action_type IS DISTINCT FROM lag(action_type) OVER o AS action_changed, seat IS DISTINCT FROM lag(seat) OVER o AS seat_changed,
-    CASE WHEN norm_bb > 0 THEN {_nearest('norm_bb', EXACT_GRID)} END::DOUBLE AS bucket, pot_before / bb AS pot_before_bb, pot_after / bb AS pot_after_bb
-  FROM steps WINDOW h AS (PARTITION BY group_id, hand_id), o AS (PARTITION BY group_id, hand_id ORDER BY action_idx)),
-islands AS (
-  SELECT *, sum(action_changed::INT) OVER o AS action_run, sum(seat_changed::INT) OVER o AS seat_run, count(bucket) OVER (PARTITION BY group_id, hand_id) AS n_bucketed,
-    count(*) OVER (PARTITION BY group_id, hand_id, bucket) AS n_same_bucket FROM counted WINDOW o AS (PARTITION BY group_id, hand_id ORDER BY action_idx)),
 actor_steps AS (
-  SELECT *, count(*) OVER (PARTITION BY group_id, hand_id, action_run) AS action_run_length, count(*) OVER (PARTITION BY group_id, hand_id, seat_run) AS seat_run_length FROM islands),
-actor_table AS (SELECT group_id, hand_id, {_aggregates(H.ACTOR_AGGREGATES, None)} FROM actor_steps GROUP BY 1, 2)"""
+  SELECT *, row_number() OVER o AS i, (action_type IS DISTINCT FROM lag(action_type) OVER o)::INT AS new_action, (seat IS DISTINCT FROM lag(seat) OVER o)::INT AS new_seat,
+    CASE WHEN norm_bb > 0 THEN {_nearest('norm_bb', EXACT_GRID)} END::DOUBLE AS bucket, pot_before / bb AS before_bb, pot_after / bb AS after_bb
+  FROM steps WINDOW o AS (PARTITION BY group_id, hand_id ORDER BY action_idx)),
+islands AS (SELECT *, sum(new_action) OVER o AS action_run, sum(new_seat) OVER o AS seat_run FROM actor_steps WINDOW o AS (PARTITION BY group_id, hand_id ORDER BY action_idx)),
+action_runs AS (SELECT {_BY_HAND}, max(c) AS longest FROM (SELECT {_BY_HAND}, action_run, count(*) AS c FROM islands GROUP BY ALL) GROUP BY ALL),
+seat_runs AS (SELECT {_BY_HAND}, max(c) AS longest FROM (SELECT {_BY_HAND}, seat_run, count(*) AS c FROM islands GROUP BY ALL) GROUP BY ALL),
+actor_sums AS (
+  SELECT {_BY_HAND}, count(*) AS n, coalesce(avg(new_action) FILTER (i > 1), 0) AS action_switch, coalesce(avg(new_seat) FILTER (i > 1), 0) AS actor_switch,
+    avg(after_bb - before_bb) AS pot_delta_mean, coalesce(arg_max(after_bb, i) / nullif(greatest(arg_min(before_bb, i), 0), 0), 0) AS pot_growth, avg((after_bb >= before_bb)::INT) AS pot_monotonic,
+    avg(hero::INT) AS hero_share, count(DISTINCT seat)::DOUBLE AS n_distinct_actors, count(DISTINCT street)::DOUBLE AS n_streets, coalesce(avg(bucket), 0) AS bucket_amt_mean,
+    coalesce(stddev_pop(bucket), 0) AS bucket_amt_std, avg((norm_bb > 0)::INT) AS nonzero_amt_share, greatest(1, count(*) FILTER (action_type IN ('call', 'check', 'fold', 'bet', 'raise'))) AS m,
+    count(*) FILTER (action_type = 'call') AS calls, count(*) FILTER (action_type = 'check') AS checks, count(*) FILTER (action_type = 'fold') AS folds, count(*) FILTER (action_type = 'bet') AS bets,
+    count(*) FILTER (action_type = 'raise') AS raises, avg((street = 'preflop')::INT) AS preflop_share, avg(before_bb) AS pot_before_bb, avg(after_bb) AS pot_after_bb
+  FROM islands GROUP BY ALL),
+actor_table AS (
+  SELECT s.*, n::DOUBLE AS n_actions, a.entropy AS action_entropy, b.entropy AS actor_entropy, c.entropy AS street_entropy, coalesce(d.entropy, 0) AS bucket_entropy, x.longest / n AS action_run, y.longest / n AS actor_run,
+    calls / m AS call_share, checks / m AS check_share, folds / m AS fold_share, bets / m AS bet_share, raises / m AS raise_share, (bets + raises) / m AS aggr_share, 1 - preflop_share AS postflop_share
+  FROM actor_sums s JOIN action_runs x USING ({_BY_HAND}) JOIN seat_runs y USING ({_BY_HAND}) JOIN {_concentration('islands', _BY_HAND, 'action_type')} a USING ({_BY_HAND})
+    JOIN {_concentration('islands', _BY_HAND, 'seat')} b USING ({_BY_HAND}) JOIN {_concentration('islands', _BY_HAND, 'street')} c USING ({_BY_HAND})
+    LEFT JOIN {_concentration('islands', _BY_HAND, 'bucket')} d USING ({_BY_HAND}))"""
+
+_RATES = ("fold_rate", "call_rate", "check_rate", "raise_rate", "bet_rate")
+_CV = "coalesce(stddev_pop({0}) FILTER ({0} > 0) / avg({0}) FILTER ({0} > 0), 0)"
+#: Columns of the group's consistency, over hand_table.
+CONSISTENCY = f"""count(*)::DOUBLE AS group_hands, sum(n_actions) AS total_actions, round(avg(vpip), 6) AS vpip_mean, round(stddev_pop(vpip), 6) AS vpip_std, round(avg(roundness), 6) AS mean_roundness,
+  round(avg(saw_showdown), 6) AS showdown_rate, round(avg(won), 6) AS win_rate, round(1 - stddev_pop(aggr_frac), 6) AS aggr_consistency,
+  round(coalesce(count(DISTINCT round_even(mean_size_bb, 2)) FILTER (mean_size_bb > 0) / nullif(count(*) FILTER (mean_size_bb > 0), 0), 0), 6) AS distinct_size_frac,
+  round(-coalesce(list_sum(list_transform(list_filter([{', '.join(f'avg({r})' for r in _RATES)}], lambda x: x > 0), lambda x: x / ({' + '.join(f'avg({r})' for r in _RATES)}) * ln(x / ({' + '.join(f'avg({r})' for r in _RATES)})))), 0), 6) + 0 AS action_entropy,
+  round({_CV.format('mean_size_bb')}, 6) AS size_bb_global_cv, round({_CV.format('mean_pot_ratio')}, 6) AS pot_ratio_global_cv"""
+STATS = ("mean", "std", "q25", "q75")
+ACTOR_STATS = ("mean", "std", "min", "max", "q10", "q50", "q90")
 
 
 def _statistic(stat: str, c: str) -> str:
@@ -102,30 +156,33 @@ def _statistics(stats: Sequence[str], columns: Sequence[str], prefix: str = "",
     return ", ".join(f"round({_statistic(s, c)}, {digits}) AS {prefix}{s}_{c}" for s in stats for c in columns)
 
 
-def _concentration(source: str, keys: str, value: str) -> str:
-    """keys, entropy, modal of a value's distribution."""
-    return f"""(SELECT {keys}, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS entropy, max(c) / sum(c) AS modal
-      FROM (SELECT {keys}, {value}, count(*) AS c FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL) GROUP BY {keys})"""
+_HIST = ", ".join(f"pot_hist_{i}" for i in range(5))
+_POOLED = "pot_hist_0 pot_hist_1 pot_hist_2 pot_hist_3 pot_hist_4 distinct_pot_frac distinct_size_bb_frac n_aggr_pool coarse_bucket_diversity".split()
 
 
-_HIST = ", ".join(f"pot_hist_{i}" for i in range(5))
-POOLED = f"""
-WITH {HOURLY}, {STEPS},
+def _pooled(view: str) -> str:
+    return f"""
+WITH {view}, {STEPS},
 rows AS (
   SELECT group_id, pot_ratio, size_bb, CASE WHEN size_bb IS NOT NULL THEN {_nearest('size_bb', VISIBLE_GRID)} END::DOUBLE AS visible,
-    CASE WHEN pot_ratio IS NOT NULL THEN {_nearest('pot_ratio', FRACTION_GRID)} END::DOUBLE AS fraction, round_even(size_bb, 1) AS size_tenth
+    CASE WHEN pot_ratio IS NOT NULL THEN {_nearest('pot_ratio', FRACTION_GRID)} END::DOUBLE AS fraction, round_even(size_bb, 1) AS size_tenth,
+    CASE WHEN pot_ratio < 0.4 THEN 0 WHEN pot_ratio < 0.6 THEN 1 WHEN pot_ratio < 0.8 THEN 2 WHEN pot_ratio < 1.1 THEN 3 WHEN pot_ratio IS NOT NULL THEN 4 END AS bin
   FROM steps WHERE size_bb IS NOT NULL OR pot_ratio IS NOT NULL),
-base AS (SELECT group_id, {_aggregates(G.POOLED, None)} FROM rows GROUP BY 1)
-SELECT group_id, {_rounded(list(G.POOLED))}, round(greatest({_HIST}), 6) AS pot_modal_dominance,
-  round(-({' + '.join(f'CASE WHEN pot_hist_{i} > 0 THEN pot_hist_{i} * ln(pot_hist_{i}) ELSE 0 END' for i in range(5))}), 6) + 0 AS pot_ratio_entropy,
+base AS (
+  SELECT group_id, {', '.join(f'coalesce(avg((bin = {i})::INT), 0) AS pot_hist_{i}' for i in range(5))}, count(pot_ratio)::DOUBLE AS n_aggr_pool,
+    coalesce(count(DISTINCT round_even(pot_ratio, 1)) / nullif(count(pot_ratio), 0), 0) AS distinct_pot_frac, coalesce(count(DISTINCT size_tenth) / nullif(count(size_bb), 0), 0) AS distinct_size_bb_frac,
+    coalesce(count(DISTINCT visible) / nullif(count(size_bb), 0), 0) AS coarse_bucket_diversity FROM rows GROUP BY 1)
+SELECT group_id, {_rounded(_POOLED)}, round(greatest({_HIST}), 6) AS pot_modal_dominance, round(coalesce(h.entropy, 0), 6) + 0 AS pot_ratio_entropy,
   round(coalesce(v.entropy, 0), 6) AS coarse_bucket_ent, round(coalesce(v.modal, 0), 6) AS coarse_bucket_modal,
   CASE WHEN distinct_size_bb_frac > 0 THEN round(coalesce(f.entropy, 0), 6) ELSE 0 END AS coarse_potfrac_ent,
   CASE WHEN distinct_size_bb_frac > 0 THEN round(coalesce(f.modal, 0), 6) ELSE 0 END AS coarse_potfrac_modal, round(coalesce(t.entropy, 0), 6) AS size_bb_entropy
 FROM base LEFT JOIN {_concentration('rows', 'group_id', 'visible')} v USING (group_id) LEFT JOIN {_concentration('rows', 'group_id', 'fraction')} f USING (group_id)
-  LEFT JOIN {_concentration('rows', 'group_id', 'size_tenth')} t USING (group_id)"""
+  LEFT JOIN {_concentration('rows', 'group_id', 'size_tenth')} t USING (group_id) LEFT JOIN {_concentration('rows', 'group_id', 'bin')} h USING (group_id)"""
+
 
-POLICY = f"""
-WITH {HOURLY}, {STEPS},
+def _policy(view: str) -> str:
+    return f"""
+WITH {view}, {STEPS},
 hero AS (SELECT group_id, hand_id, action_idx, street, facing, pot_bucket, action_type, lead(action_type) OVER (PARTITION BY group_id, hand_id ORDER BY action_idx) AS after FROM steps WHERE hero),
 contexts AS (
   SELECT group_id, street, facing, pot_bucket, sum(c) AS n, max(c) AS top, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h
@@ -147,9 +204,10 @@ stacks AS (
 lines AS (SELECT *, CASE WHEN hero THEN 'H' ELSE 'o' END AS role, {_nearest('norm_bb', EXACT_GRID, True)}::VARCHAR AS cell FROM actor_steps),
 per AS (
   SELECT group_id, hand_id, {', '.join(f"string_agg({c}, '.' ORDER BY action_idx) AS {s}" for s, c in _SIGS.items())}, count(raise_to) AS raises, count(call_to) AS calls, count(*) AS n,
-    avg(ln(n) - ln(n_same_action)) AS entropy, avg((action_type IN ('bet', 'raise'))::INT) AS aggr, bool_or(hero) AS hero FROM lines GROUP BY 1, 2),
+    avg((action_type IN ('bet', 'raise'))::INT) AS aggr, bool_or(hero) AS hero FROM lines GROUP BY 1, 2),
+per_hand AS (SELECT p.*, e.entropy FROM per p JOIN {_concentration('lines', _BY_HAND, 'action_type')} e USING (group_id, hand_id)),
 base AS (
-  SELECT group_id, sum(raises) / sum(n) AS r, sum(calls) / sum(n) AS c, avg((aggr > 0.5)::INT) AS ha, avg((entropy < 0.5)::INT) AS le, avg((NOT hero)::INT) AS zh, count(*)::DOUBLE AS hc FROM per GROUP BY 1)
+  SELECT group_id, sum(raises) / sum(n) AS r, sum(calls) / sum(n) AS c, avg((aggr > 0.5)::INT) AS ha, avg((entropy < 0.5)::INT) AS le, avg((NOT hero)::INT) AS zh, count(*)::DOUBLE AS hc FROM per_hand GROUP BY 1)
 SELECT group_id, round(r, 6) AS hf_raise_to_share, round(c, 6) AS hf_call_to_share, round(ha, 6) AS hf_high_aggr_rate, round(le, 6) AS hf_low_entropy_rate, round(zh, 6) AS hf_zero_hero_rate,
   hc AS hf_hand_count, round(ln(1 + hc), 6) AS hf_hand_count_log, {', '.join(f'round({s}.top, 6) AS hf_{s}_top, round({s}.uniq, 6) AS hf_{s}_uniq' for s in _SIGS)},
   round(coalesce(m, 0), 6) AS hf_stack_mean_bb, round(coalesce(d, 0), 6) AS hf_stack_std_bb, round(coalesce(q, 0), 6) AS hf_stack_iqr_bb
@@ -255,7 +313,7 @@ _REWARD = "0.35 * ap + 0.3 * recall_at_fpr + 0.35 * greatest(0, 1 - hard_fpr / 0
 REPORT = f"""report AS (
   SELECT a.*, hard_fpr, hard_recall, positive_rate, {_REWARD} AS reward FROM {_ranking('scored', 'release')} a JOIN {_hard('scored', 'release')} b USING (release)
   WHERE n_rows >= 20 AND n_pos > 0 AND n_pos < n_rows)"""
-LONG = "long AS (SELECT release, label, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM (SELECT *, unnest(range(0, 16)) AS k FROM scored))"
+LONG = "long AS (SELECT release, label, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM (SELECT *, unnest(range(0, 64)) AS k FROM scored))"
 SHIFT = """shift AS (
   SELECT feature, avg(value) FILTER (release = '7') AS mu_live, avg(value) FILTER (release <> '7') AS mu_bench, stddev_pop(value) FILTER (release <> '7') AS sd_bench,
     abs(avg(value) FILTER (release = '7') - avg(value) FILTER (release <> '7')) / (stddev_pop(value) FILTER (release <> '7') + 1e-9) AS z FROM long GROUP BY 1)"""
@@ -281,19 +339,22 @@ drawn AS (
   SELECT release, label, size, draw, (start + i)::BIGINT AS place, group_id, hand_id FROM taken JOIN numbered USING (release, label, group_id) WHERE start < size AND start + i < size)"""
 
 _GRID = """grid AS (
-  SELECT 0 AS candidate, 4 AS stack, 3 AS mono, 1 AS mlp, 2 AS drse
+  SELECT 0 AS candidate, 15 AS stack, 11 AS mono, 14 AS mlp, 10 AS drse
   UNION ALL SELECT row_number() OVER (ORDER BY stack, mono, mlp, drse), * FROM (
-    SELECT stack, mono, mlp, 10 - stack - mono - mlp AS drse FROM (SELECT unnest(range(2, 7)) AS stack), (SELECT unnest(range(1, 5)) AS mono), (SELECT unnest(range(0, 4)) AS mlp))
-  WHERE drse BETWEEN 0 AND 3 AND NOT (stack = 4 AND mono = 3 AND mlp = 1 AND drse = 2))"""
-_BLEND = _SIGMOID.format("(" + " + ".join(f"g.{p} * {_LOGIT.format('s.' + p)}" for p in PARTS) + ") / 10")
+    SELECT stack, mono, mlp, 50 - stack - mono - mlp AS drse FROM (SELECT unnest(range(10, 21)) AS stack), (SELECT unnest(range(5, 16)) AS mono), (SELECT unnest(range(10, 22)) AS mlp))
+  WHERE drse BETWEEN 5 AND 15 AND NOT (stack = 15 AND mono = 11 AND mlp = 14 AND drse = 10))"""
+_BLEND = _SIGMOID.format("(" + " + ".join(f"g.{p} * {_LOGIT.format('s.' + p)}" for p in PARTS) + ") / 50")
 WEIGHTS = f"""
 WITH {SCORED}, {_GRID},
 blended AS (SELECT candidate, idx, label, {_BLEND} AS score FROM scored s, grid g),
 cuts AS (SELECT candidate, coalesce(quantile_cont(score, 0.95) FILTER (label = 0), 0.5) AS threshold FROM blended GROUP BY 1),
 bounded AS (SELECT candidate, greatest(least(threshold, 0.999999), 0.000001) AS t FROM cuts),
 centred AS (SELECT candidate, idx, label, {_RECENTRE.format('score', 't')} AS score FROM blended JOIN bounded USING (candidate)),
-{_served('centred', 'candidate', 'true', 'candidate, idx, label')}
-SELECT g.*, round(threshold, 5) AS threshold, round({_REWARD}, 5) AS reward FROM grid g JOIN cuts USING (candidate) JOIN {_ranking('served', 'candidate')} r USING (candidate) JOIN {_hard('served', 'candidate')} h USING (candidate)"""
+{_served('centred', 'candidate', 'true', 'candidate, idx, label')},
+rewards AS (SELECT g.*, round(threshold, 5) AS threshold, round({_REWARD}, 5) AS reward FROM grid g JOIN cuts USING (candidate) JOIN {_ranking('served', 'candidate')} r USING (candidate) JOIN {_hard('served', 'candidate')} h USING (candidate)),
+best AS (SELECT candidate, reward FROM rewards ORDER BY reward DESC, candidate LIMIT 1),
+pick AS (SELECT CASE WHEN b.reward > p.reward + 0.002 THEN b.candidate ELSE 0 END AS chosen FROM best b, rewards p WHERE p.candidate = 0)
+SELECT rewards.*, candidate = chosen AS is_chosen FROM rewards, pick"""
 
 MODELS = f"""
 models AS (UNPIVOT (SELECT idx, label, stack, mono, mlp, drse FROM scored) ON stack, mono, mlp, drse INTO NAME model VALUE score),
@@ -301,14 +362,20 @@ model_metrics AS (
   SELECT a.*, hard_fpr, hard_recall, positive_rate, greatest(0, 1 - hard_fpr) AS safety, {_REWARD} AS reward FROM {_ranking('models', 'model')} a JOIN {_hard('models', 'model')} b USING (model))"""
 
 ORACLES = {
-    "hand_features": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, hand_id, {_rounded(H.HAND_FEATURES, 9)} FROM hand_table",
-    "actor_features": f"WITH {HOURLY}, {STEPS}, {ACTORS} SELECT group_id, hand_id, {_rounded(H.ACTOR_FEATURES, 9)} FROM actor_table",
-    "hand_statistics": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {_statistics(G.STATS, H.HAND_FEATURES, digits=9)} FROM hand_table GROUP BY 1",
-    "group_consistency": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {_aggregates(G.CONSISTENCY)} FROM hand_table GROUP BY 1",
-    "pooled_sizes": POOLED,
-    "policy": POLICY,
-    "actor_statistics": f"WITH {HOURLY}, {STEPS}, {ACTORS} SELECT group_id, {_statistics(G.ACTOR_STATS, H.ACTOR_FEATURES, 'hf_', 9)} FROM actor_table GROUP BY 1",
+    "hand_features": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, hand_id, {_rounded(HAND_COLUMNS, 9)} FROM hand_table",
+    "actor_features": f"WITH {HOURLY}, {STEPS}, {ACTORS} SELECT group_id, hand_id, {_rounded(ACTOR_COLUMNS, 9)} FROM actor_table",
+    "hand_statistics": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {_statistics(STATS, HAND_COLUMNS, digits=9)} FROM hand_table GROUP BY 1",
+    "group_consistency": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {CONSISTENCY} FROM hand_table GROUP BY 1",
+    "pooled_sizes": _pooled(HOURLY),
+    "policy": _policy(HOURLY),
+    "actor_statistics": f"WITH {HOURLY}, {STEPS}, {ACTORS} SELECT group_id, {_statistics(ACTOR_STATS, ACTOR_COLUMNS, 'hf_', 9)} FROM actor_table GROUP BY 1",
     "actor_group": ACTOR_GROUP,
+    "group_vectors": f"""WITH h AS (WITH {SHORT}, {STEPS}, {HAND_TABLE} SELECT group_id, {_statistics(STATS, HAND_COLUMNS)} FROM hand_table GROUP BY 1),
+c AS (WITH {SHORT}, {STEPS}, {HAND_TABLE} SELECT group_id, {CONSISTENCY} FROM hand_table GROUP BY 1), p AS ({_pooled(SHORT)}), o AS ({_policy(SHORT)}),
+a AS (WITH {SHORT}, {STEPS}, {ACTORS} SELECT group_id, {_statistics(ACTOR_STATS, ACTOR_COLUMNS, 'hf_')} FROM actor_table GROUP BY 1), g AS ({ACTOR_GROUP}), r AS ({REDUNDANCY}),
+groups AS (SELECT DISTINCT event_id // 200 AS group_id FROM events)
+SELECT groups.group_id, coalesce(COLUMNS(* EXCLUDE (group_id, mean_roundness)), 0), coalesce(c.mean_roundness, 0) AS mean_roundness_of_hands, coalesce(h.mean_roundness, 0) AS mean_roundness
+FROM groups LEFT JOIN h USING (group_id) LEFT JOIN c USING (group_id) LEFT JOIN p USING (group_id) LEFT JOIN o USING (group_id) LEFT JOIN a USING (group_id) LEFT JOIN g USING (group_id) LEFT JOIN r USING (group_id)""",
     "hand_tensor": f"""WITH {SHORT}, {STEPS}, {HAND_TABLE},
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY hand_id) AS place FROM hand_table) WHERE place <= 40),
 m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in ('n_actions', 'aggr_frac', 'stack_bb', 'total_pot_bb'))} FROM first WHERE n_actions <> 0 OR aggr_frac <> 0 OR stack_bb <> 0 OR total_pot_bb <> 0)
@@ -378,7 +445,7 @@ SELECT group_id, hand_id FROM (SELECT *, sum(stays::INT) OVER (PARTITION BY grou
     "weight_rewards": WEIGHTS,
     "linear_sweep": f"""WITH {SCORED}, b AS (SELECT w, label, (1 - w) * stack + w * mlp AS score FROM scored, (SELECT unnest([0.2, 0.3, 0.4, 0.5])::DOUBLE AS w)) SELECT w, round(auc, 6) AS auc FROM {_ranking('b', 'w')}""",
     "promotion": f"""WITH {SCORED}, {MODELS}, base AS (SELECT reward AS b, hard_fpr AS f FROM model_metrics WHERE model = 'stack'),
-c AS (SELECT model, reward, hard_fpr, model = 'drse' AS forced, concat_ws(',', CASE WHEN safety <= 0 THEN 'safety' END, CASE WHEN hard_fpr >= 0.6 THEN 'hard_fpr' END, CASE WHEN positive_rate < 0.02 THEN 'positive_rate' END,
+c AS (SELECT model, reward, hard_fpr, model = 'drse' AS forced, concat_ws(',', CASE WHEN safety <= 0 THEN 'safety' END, CASE WHEN hard_fpr >= 0.06 THEN 'hard_fpr' END, CASE WHEN positive_rate < 0.02 THEN 'positive_rate' END,
   CASE WHEN hard_recall <= 0 THEN 'hard_recall' END) AS reasons, b - reward > 0.002 AND NOT (f - hard_fpr >= 0.01 AND b - reward <= 0.01) AS regression FROM model_metrics, base WHERE model <> 'stack')
 SELECT model, round(reward, 6) AS reward, round(hard_fpr, 6) AS hard_fpr, reasons, regression, forced OR (reasons = '' AND NOT regression) AS accepted FROM c""",
     "newest_snapshots": "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10",
@@ -401,4 +468,14 @@ SELECT model, round(min(1 - hard_fpr), 6) AS safety, round(max(hard_fpr), 6) AS
     "streamed_scores": f"""WITH s AS (SELECT vec_id % 5 AS batch_id, vec_id AS idx, CASE WHEN vec_id % 13 <> 0 THEN round(1 / (1 + exp(-10 * embedding[1]::DOUBLE)), 9) ELSE 0.5 END AS score FROM embeddings),
 r AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n, row_number() OVER (PARTITION BY batch_id ORDER BY score, idx) - 1 AS i FROM s)
 SELECT batch_id, idx, round(CASE WHEN n < 4 THEN score ELSE {_CLAMP.format("0.5 - 0.875 * 0.56 + i / (n - 1) * 0.56")} END, 6) AS score FROM r""",
+    "single_group_scores": "SELECT vec_id AS batch_id, round(CASE WHEN vec_id % 17 <> 0 THEN 1 / (1 + exp(-10 * embedding[2]::DOUBLE)) ELSE 0.5 END, 6) AS score FROM embeddings",
+    "captured_drift": f"WITH {SCORED}, {LONG}, {SHIFT} SELECT feature, round(z, 6) AS z FROM shift ORDER BY shift.z DESC, feature LIMIT 12",
+    "range_snapped": f"WITH e AS (SELECT event_id, CAST(round(value * 100) AS BIGINT) / 1000 AS u FROM events) SELECT event_id, {_nearest('u', EXACT_GRID)}::DOUBLE AS point FROM e",
+    "promotion_history": f"""WITH {SCORED}, {MODELS}, base AS (SELECT reward AS b, hard_fpr AS f FROM model_metrics WHERE model = 'stack'),
+c AS (SELECT model, model = 'drse' AS forced, concat_ws(',', CASE WHEN safety <= 0 THEN 'safety' END, CASE WHEN hard_fpr >= 0.06 THEN 'hard_fpr' END, CASE WHEN positive_rate < 0.02 THEN 'positive_rate' END,
+  CASE WHEN hard_recall <= 0 THEN 'hard_recall' END) AS reasons, b - reward > 0.002 AND NOT (f - hard_fpr >= 0.01 AND b - reward <= 0.01) AS regression FROM model_metrics, base WHERE model <> 'stack')
+SELECT day, model, reasons, forced OR (reasons = '' AND NOT regression) AS accepted FROM c, (SELECT unnest(['2026-01-01', '2026-01-02']) AS day)""",
+    "live_groups": "SELECT vec_id AS idx, vec_id % 9 <> 0 AS is_live FROM embeddings WHERE vec_id % 8 <> 0",
+    "best_candidate": f"WITH {SCORED}, {MODELS} SELECT model, round(auc, 6) AS auc, round(ap, 6) AS ap FROM model_metrics ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1",
+    "kept_features": f"WITH {SCORED}, {LONG}, {SHIFT} SELECT feature FROM shift WHERE round(z, 6) <= 0.1",
 }

@@ -17,6 +17,7 @@ from pyspark.ml.linalg import Matrices
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.functions import scalars as S
 from seqspark.operators import metrics, scores, selection, sets
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -293,10 +294,35 @@ def four_parts(columns: Sequence[str], signs: Mapping[str, int], k: int = 3) ->
     }
 
 
+def hybrid(tabular: Callable[[DataFrame], Scorer], pooled: Callable[[DataFrame], Scorer], weight: float = 0.6) -> Callable[[DataFrame], Scorer]:
+    """A linear blend of a learner on group features (adds tabular) and one on pooled hand features (adds pooled)."""
+
+    def fitted(train: DataFrame) -> Scorer:
+        one, two = tabular(train), pooled(train)
+        return lambda rows: served_by(two(one(rows)), "hybrid", {"tabular": weight, "pooled": 1 - weight}).drop("tabular", "pooled")
+
+    return fitted
+
+
 def blend_kind(kind: str, weights: Mapping[str, float]):
-    """The column that serves a model of a kind: one score, a vote, a rank blend, or log odds."""
+    """The column that serves a model of a kind: one score, a vote, a hybrid of two, a rank blend, or log odds."""
     if kind == "single":
         return F.col(next(iter(weights)))
-    return {"vote": scores.soft_vote, "rank_blend": scores.rank_blend, "log_odds": scores.log_odds_blend}[kind](weights)
+    kinds = {"vote": scores.soft_vote, "hybrid": scores.soft_vote, "rank_blend": scores.rank_blend, "log_odds": scores.log_odds_blend}
+    if kind not in kinds:
+        raise ValueError(f"no model is of kind {kind}; there are single, {', '.join(kinds)}")
+    return kinds[kind](weights)
+
+
+def served_by(rows: DataFrame, kind: str, weights: Mapping[str, float]) -> DataFrame:
+    """rows with the score of a model of a kind, from the columns of its members."""
+    return rows.withColumn("score", blend_kind(kind, weights))
 
 
+def served_from(rows: DataFrame, model: PipelineModel, serving: Mapping) -> DataFrame:
+    """rows scored and recentred as a written model's row of metadata says (read_model's two results); a single model scores alone."""
+    weights = serving["weights"]
+    if serving["kind"] == "single":
+        rows = scored(model, rows, next(iter(weights)))
+    out = served_by(rows, serving["kind"], weights)
+    return out.withColumn("score", S.recentred(F.col("score"), F.lit(float(serving["threshold"]))))

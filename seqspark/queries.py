@@ -9,7 +9,7 @@ from seqspark.functions import scalars as S
 from seqspark.operators import blends, groups, hands, metrics, redundancy, sanitise, scores, selection, sets
 from seqspark.oracles import ORACLES  # noqa: F401
 from seqspark.plans import learners
-from seqspark.sources import views
+from seqspark.sources import io, views
 from seqspark.streaming import jobs
 
 FLAGSHIP = "signature_scores"
@@ -76,8 +76,8 @@ def actor_group(spark, sf_dir):
 
 @query
 def group_vectors(spark, sf_dir):
-    """GX10, GX11, RP6, RP7: the whole vector of 433 columns (rows only: two of them are compressed sizes)."""
-    return groups.group_features(views.short(spark, sf_dir))
+    """GX10, GX11: the whole vector but for its two compressed sizes, which ``compression_measures`` has."""
+    return rounded(groups.group_features(views.short(spark, sf_dir), with_compression=False))
 
 
 @query
@@ -246,13 +246,13 @@ def score_correlation(spark, sf_dir):
 
 def _long(spark, sf_dir, keys: list[str]) -> DataFrame:
     m = views.scored(spark, sf_dir)
-    wide = m.select(*keys, *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(16)])
-    return metrics.feature_long(wide, keys, [f"f{k}" for k in range(16)])
+    wide = m.select(*keys, *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(64)])
+    return metrics.feature_long(wide, keys, [f"f{k}" for k in range(64)])
 
 
 @query
 def feature_shift(spark, sf_dir):
-    """AG11, SM4's batch twin, PRJ18: shift of each feature between the newest release and the rest."""
+    """AG11, PRJ18: shift of each feature between the newest release and the rest."""
     rows = _long(spark, sf_dir, ["release"])
     shift = metrics.feature_shift(rows.where("release = '7'"), rows.where("release <> '7'"))
     return rounded(shift.withColumn("kept", F.col("z") <= 5))
@@ -262,7 +262,7 @@ def feature_shift(spark, sf_dir):
 def most_shifted(spark, sf_dir):
     """WN10: the twelve features that have shifted most."""
     rows = _long(spark, sf_dir, ["release"])
-    return rounded(metrics.feature_shift(rows.where("release = '7'"), rows.where("release <> '7'")).select("feature", "z").orderBy(F.desc("z")).limit(12))
+    return rounded(metrics.feature_shift(rows.where("release = '7'"), rows.where("release <> '7'")).select("feature", "z").orderBy(F.desc("z"), "feature").limit(12))
 
 
 @query
@@ -308,7 +308,7 @@ def release_folds(spark, sf_dir):
 
 @query
 def holdout_rows(spark, sf_dir):
-    """FLT4, FLT5: the newest release is held out."""
+    """FLT5: the newest release is held out."""
     m = views.scored(spark, sf_dir).withColumn("split", F.lit("train"))
     return selection.holdout(m).groupBy("release", "is_holdout").agg(F.count("*").alias("n"))
 
@@ -345,18 +345,20 @@ def hand_dropout(spark, sf_dir):
     return sets.hand_dropout(rows)
 
 
-GRID = {"stack": (10, 30), "mono": (5, 20), "mlp": (0, 15), "drse": (0, 15)}
-PRIOR = {"stack": 20, "mono": 15, "mlp": 5, "drse": 10}
+#: Weights in steps of .02: the range of each part, and the weights that serve now.
+GRID = {"stack": (10, 20), "mono": (5, 15), "mlp": (10, 21), "drse": (5, 15)}
+PRIOR = {"stack": 15, "mono": 11, "mlp": 14, "drse": 10}
 
 
 @query
 def weight_rewards(spark, sf_dir):
-    """ST8, JN10, ML20: every candidate weight vector thresholded, served and rewarded by itself."""
-    coarse = sets.weight_grid(spark, {k: (a // 5, b // 5) for k, (a, b) in GRID.items()}, {k: w // 5 for k, w in PRIOR.items()}, 10)
-    blended = blends.candidate_scores(views.scored(spark, sf_dir), coarse, list(views.PARTS))
-    rewards = blends.rewarded(blended)
-    out = coarse.join(rewards.select("candidate", "threshold", "reward"), "candidate")
-    return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("candidate", *GRID)}), 5)
+    """ST8, JN10, ML20: every candidate weight vector thresholded, served and rewarded by itself, and the one that is chosen."""
+    grid = sets.weight_grid(spark, GRID, PRIOR)
+    rewards = blends.rewarded(blends.candidate_scores(views.scored(spark, sf_dir), grid, list(views.PARTS)))
+    out = rounded(grid.join(rewards.select("candidate", "threshold", "reward"), "candidate"), 5)
+    pick = blends.chosen(out).select(F.col("candidate").alias("chosen"))
+    out = out.crossJoin(F.broadcast(pick)).withColumn("is_chosen", F.col("candidate") == F.col("chosen")).drop("chosen")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("candidate", *GRID)})
 
 
 @query
@@ -375,16 +377,16 @@ def _model_metrics(spark, sf_dir) -> DataFrame:
 
 @query
 def promotion(spark, sf_dir):
-    """PG1-PG3, JN11, AG10, ML23: which model may replace the first one."""
+    """PG1-PG3, JN11: which model may replace the first one."""
     rows = _model_metrics(spark, sf_dir)
-    candidates = selection.gate_reasons(rows.where("model <> 'stack'").withColumn("forced", F.col("model") == "drse"), max_fpr=0.6)
+    candidates = selection.gate_reasons(rows.where("model <> 'stack'").withColumn("forced", F.col("model") == "drse"))
     out = selection.promotion(candidates, rows.where("model = 'stack'"))
     return rounded(out.select("model", "reward", "hard_fpr", F.array_join("reasons", ",").alias("reasons"), "regression", "accepted"))
 
 
 @query
 def newest_snapshots(spark, sf_dir):
-    """PG5, WN9: the ten newest orders stand for snapshots."""
+    """PG5: the ten newest orders stand for snapshots."""
     return selection.newest(views.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
@@ -426,7 +428,7 @@ def gate_figures(spark, sf_dir):
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     m = views.scored(spark, sf_dir)
-    columns = [f"f{k}" for k in range(12)]
+    columns = [f"f{k}" for k in range(64)]
     return m.select("group_id", "release", "label", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(columns)]), columns
 
 
@@ -462,15 +464,15 @@ def streamed_counts(spark, sf_dir):
 
 @query
 def captured_stream(spark, sf_dir):
-    """SM1: the first row of each user and type that a stream shows, kept over restarts."""
+    """SM1: the first row of each user and type that a stream shows, kept over restarts; the keys held are those of the last 60 days."""
     events = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event*.parquet")
-    keyed = events.select(F.concat_ws("/", "user_id", "event_type").alias("key"))
-    return jobs.collected(jobs.captured(keyed, "key"), "append")
+    keyed = events.select(F.concat_ws("/", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return jobs.collected(jobs.captured(keyed, "key", ("ts", "60 days")), "append").select("key")
 
 
 @query
 def streamed_scores(spark, sf_dir):
-    """SM2, SM3, SM5: vectors arrive as a stream; each request's scores are remapped by rank, failures are neutral first."""
+    """SM2, SM3: vectors arrive as a stream; each request's scores are remapped by rank, failures are neutral first."""
     vectors = spark.readStream.schema(views.table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embedding*.parquet")
     rows = vectors.select((F.col("vec_id") % 5).alias("batch_id"), F.col("vec_id").alias("idx"), "embedding")
 
@@ -481,3 +483,139 @@ def streamed_scores(spark, sf_dir):
     path, mark = jobs.scratch(spark, "scores"), jobs.scratch(spark, "mark")
     jobs.score_batches(rows, score, path, mark).start().awaitTermination()
     return rounded(spark.read.parquet(path).select("batch_id", "idx", "score"))
+
+
+@query
+def single_group_scores(spark, sf_dir):
+    """SM5: each group arrives as a request of its own, so that ranks change nothing; failures are neutral."""
+    vectors = spark.readStream.schema(views.table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embedding*.parquet")
+    rows = vectors.select(F.col("vec_id").alias("batch_id"), F.lit(0).alias("idx"), "embedding")
+
+    def score(batch: DataFrame) -> DataFrame:
+        p = 1 / (1 + F.exp(-10 * F.col("embedding")[1].cast("double")))
+        return batch.select("batch_id", "idx", F.when(F.col("batch_id") % 17 != 0, F.round(p, 9)).alias("score"))
+
+    path, mark = jobs.scratch(spark, "scores"), jobs.scratch(spark, "mark")
+    jobs.score_batches(rows, score, path, mark).start().awaitTermination()
+    return rounded(spark.read.parquet(path).select("batch_id", "score"))
+
+
+@query
+def captured_drift(spark, sf_dir):
+    """SM4, WN10: a stream's vectors are captured, each once; then the twelve features of the newest release that have shifted most."""
+    schema = views.table(spark, sf_dir, "embeddings").schema
+    vectors = spark.readStream.schema(schema).parquet(f"{sf_dir}/embedding*.parquet")
+    keyed = vectors.where("vec_id % 8 = 7").select("vec_id", "embedding")
+    path, mark = jobs.scratch(spark, "pool"), jobs.scratch(spark, "mark")
+    for _ in range(2):  # the second run goes on from the checkpoint and captures nothing again
+        jobs.capture_job(keyed, "vec_id", path, mark).start().awaitTermination()
+    names = [f"f{k}" for k in range(64)]
+    wide = lambda df: df.select(*[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    bench = views.table(spark, sf_dir, "embeddings").where("vec_id % 8 <> 7")
+    return rounded(jobs.drift_report(wide(spark.read.parquet(path)), wide(bench), names).select("feature", "z"))
+
+
+@query
+def range_snapped(spark, sf_dir):
+    """JN5: every event's value at the nearest point of the grid, by a range join."""
+    e = views.table(spark, sf_dir, "events").select("event_id", (F.round(F.col("value") * 100).cast("long") / 1000).alias("units"))
+    return S.snapped_by_join(e, "units", S.EXACT_GRID, "point").select("event_id", "point")
+
+
+@query
+def promotion_history(spark, sf_dir):
+    """PG4, SNK5: decisions appended to a history, which is read again."""
+    rows = _model_metrics(spark, sf_dir)
+    candidates = selection.gate_reasons(rows.where("model <> 'stack'").withColumn("forced", F.col("model") == "drse"))
+    decided = selection.promotion(candidates, rows.where("model = 'stack'"))
+    path = jobs.scratch(spark, "history")
+    for at in ("2026-01-01 00:00:00", "2026-01-02 00:00:00"):
+        io.write_table(selection.decisions(decided, at), path, append=True)
+    out = spark.read.parquet(path)
+    return out.select(F.date_format("decided_at", "yyyy-MM-dd").alias("day"), "model", F.array_join("reasons", ",").alias("reasons"), "accepted")
+
+
+@query
+def live_groups(spark, sf_dir):
+    """FLT9, JN8: groups with a feature that is not 0, without those that the first release has shown."""
+    m = views.scored(spark, sf_dir).select("idx", "release", F.when(F.col("idx") % 9 != 0, F.col("stack")).alias("a"), F.lit(0.0).alias("b"))
+    live = selection.empty_groups(m, ["a", "b"])
+    return sets.not_seen(live, m.where("release = '0'"), "idx").select("idx", "is_live")
+
+
+@query
+def best_candidate(spark, sf_dir):
+    """WN9: the part score of the highest area, then of the highest precision."""
+    rows = rounded(_model_metrics(spark, sf_dir))
+    return selection.best(rows, F.desc("auc"), F.desc("ap"), "model").select("model", "auc", "ap")
+
+
+@query
+def kept_features(spark, sf_dir):
+    """PRJ18: the features of which the shift is at most half a deviation, and how their number compares."""
+    rows = _long(spark, sf_dir, ["release"])
+    shift = metrics.feature_shift(rows.where("release = '7'"), rows.where("release <> '7'"))
+    return metrics.steady_features(rounded(shift), 0.1)
+
+
+@query
+def platt_scores(spark, sf_dir):
+    """ML5 (rows only): a logistic regression calibrated on its out-of-fold scores."""
+    rows, columns = _vectors(spark, sf_dir)
+    return learners.calibrated(learners.learner("logistic", columns), 2)(rows)(rows).select("group_id", "release", "label", "score")
+
+
+@query
+def stacked_scores(spark, sf_dir):
+    """ML16, ML7, ML8 (rows only): a logistic regression over the out-of-fold scores of two learners."""
+    rows, columns = _vectors(spark, sf_dir)
+    members = {"_l": learners.learner("logistic", columns, to="_l"), "_f": learners.learner("forest", columns, to="_f")}
+    return learners.stacked(members, 2)(rows)(rows).select("group_id", "release", "label", "score")
+
+
+@query
+def signed_scores(spark, sf_dir):
+    """ML13 (rows only): a committee whose coefficients keep the steady signs of the features."""
+    rows, columns = _vectors(spark, sf_dir)
+    signs = metrics.steady_signs(metrics.rank_correlations(metrics.feature_long(rows.drop("group_id"), ["release", "label"], columns)))
+    known = {r["feature"]: r["sign"] for r in signs.collect()}
+    return learners.signed_committee(columns, known)(rows)(rows).select("group_id", "release", "label", "score")
+
+
+@query
+def subspace_scores(spark, sf_dir):
+    """ML14, ST6 (rows only): trees on samples of the rows and shares of the features."""
+    rows, columns = _vectors(spark, sf_dir)
+    return learners.subspace_ensemble(columns, n=2)(rows)(rows).select("group_id", "release", "label", "score")
+
+
+@query
+def deployed_scores(spark, sf_dir):
+    """ML26 (rows only): the winner fitted on all rows, recentred at the threshold of its out-of-fold scores."""
+    rows, columns = _vectors(spark, sf_dir)
+    score, threshold = learners.deployed(learners.learner("logistic", columns), rows, 2)
+    return score(rows).select("group_id", "release", "label", S.recentred(F.col("score"), F.lit(threshold)).alias("score"))
+
+
+@query
+def hybrid_scores(spark, sf_dir):
+    """ML24, ML25, AG15 (rows only): a learner on group measures and one on pooled hands, blended."""
+    seq = views.short(spark, sf_dir)
+    rows = hands.hand_features(seq)
+    facts = groups.consistency(rows).select("group_id", "vpip_mean", "aggr_consistency", "action_entropy", (F.col("group_id") % 3).cast("string").alias("release"), (F.col("group_id") % 2).cast("int").alias("label"))
+    pooled = learners.pooled_hands(rows.select("group_id", "aggr_frac", "total_pot_bb", "n_actions"), facts, ["total_pot_bb", "n_actions"], "aggr_frac")
+    one = learners.learner("logistic", ["vpip_mean", "aggr_consistency", "action_entropy"], to="tabular")
+    two = learners.learner("logistic", ["att_total_pot_bb", "att_n_actions", "avg_total_pot_bb", "avg_n_actions"], to="pooled")
+    return learners.hybrid(one, two)(pooled)(pooled).select("group_id", "release", "label", "score")
+
+
+@query
+def four_part_scores(spark, sf_dir):
+    """ML27, JN9, ML18, PRJ17 (rows only): the four components on their views, blended in log odds by the weights that serve."""
+    rows, columns = _vectors(spark, sf_dir)
+    signs = metrics.steady_signs(metrics.rank_correlations(metrics.feature_long(rows.drop("group_id"), ["release", "label"], columns)))
+    parts = learners.four_parts(columns, {r["feature"]: r["sign"] for r in signs.collect()}, 2)
+    out = rows
+    for fit_one in parts.values():
+        out = fit_one(rows)(out)
+    return learners.served_by(out, "log_odds", PRIOR).select("group_id", "release", "label", "score")

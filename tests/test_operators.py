@@ -137,3 +137,28 @@ def test_dropout_keeps_small_groups(spark, rate):
     rows = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(40)], "group_id string, hand_id int")
     left = {r["group_id"]: r["n"] for r in sets.hand_dropout(rows, rate).groupBy("group_id").agg(F.count("*").alias("n")).collect()}
     assert left["a"] == 4 and (left["b"] == 40 if rate in (0.0, 1.0) else 5 <= left["b"] < 40)
+
+
+def test_loaded_groups_are_sanitised(spark, tmp_path):
+    import json
+
+    from seqspark.operators import sanitise
+    from seqspark.sources import io
+
+    action = lambda seat, kind: {"actor_seat": seat, "action_type": kind, "street": "preflop", "normalized_amount_bb": 2.6}
+    hand = {"metadata": {"hero_seat": 4, "bb": 1.0}, "actions": [action(4, "call"), action(9, "raise"), action(4, "fold")]}
+    (tmp_path / "2026-01-01.json").write_text(json.dumps({"chunks": [{"split": "train", "chunks": [[hand], [hand, hand]], "groundTruth": [0, 1]}]}))
+    rows = sanitise.sanitised_groups(io.read_releases(spark, str(tmp_path))).collect()
+    assert len(rows) == 9 and {r["seat"] for r in rows} == {0, 1} and {r["release"] for r in rows} == {"2026-01-01"} and {r["label"] for r in rows} == {0, 1}
+    assert all(abs(r["norm_bb"] - 3) <= 0.15 for r in rows)
+
+
+def test_first_of_each_breaks_ties(spark):
+    rows = spark.createDataFrame([("a", 1, "y"), ("a", 1, "x"), ("b", 2, "z"), (None, 0, "n")], "k string, o int, v string")
+    assert sorted(tuple(r) for r in sets.first_of_each(rows, "k", "o").collect()) == [("a", 1, "x"), ("b", 2, "z")]
+
+
+def test_equal_groups_have_equal_keys(spark):
+    groups = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["b", "a"])], "group_id int, hands array<string>")
+    keys = {r["group_id"]: r["k"] for r in groups.select("group_id", sets.content_key(groups).alias("k")).collect()}
+    assert keys[1] == keys[2] != keys[3]

@@ -71,3 +71,30 @@ def test_four_parts_and_deployment(rows):
     assert {"mono", "mlp"} <= set(out.columns)
     score, threshold = learners.deployed(learners.learner("logistic", X), rows)
     assert 0 < threshold < 1 and score(rows).count() == 240
+
+
+@pytest.mark.parametrize("name", ["platt_scores", "stacked_scores", "signed_scores", "subspace_scores", "deployed_scores", "hybrid_scores", "four_part_scores"])
+def test_learner_queries_score_every_row(name, spark):
+    from seqspark.queries import QUERIES
+    from tests.compare import DATA
+
+    rows = QUERIES[name](spark, DATA).collect()
+    groups = 500 if name != "hybrid_scores" else len({r["group_id"] for r in rows})
+    assert len(rows) == groups > 1 and all(0 <= r["score"] <= 1 for r in rows) and len({r["score"] for r in rows}) > 1
+
+
+def test_a_written_model_is_served_by_its_kind(spark, tmp_path):
+    from seqspark.sources import io
+
+    rows = spark.createDataFrame([(i, str(i % 3), i % 2, float(i % 2) + i / 100) for i in range(60)], "group_id long, release string, label int, a double")
+    model = learners.fit("logistic", rows, ["a"])
+    io.write_model(model, str(tmp_path / "m"), "single", ["a"], 0.5, {"score": 1.0})
+    again, serving = io.read_model(spark, str(tmp_path / "m"))
+    direct = {r["group_id"]: r["score"] for r in learners.scored(model, rows).collect()}
+    served = {r["group_id"]: r["score"] for r in learners.served_from(rows, again, serving).collect()}
+    assert all(abs(direct[k] - served[k]) < 1e-9 for k in direct)
+    parts = rows.select("group_id", F.lit(0.2).alias("tabular"), F.lit(0.6).alias("pooled"))
+    out = learners.served_from(parts, None, {"kind": "hybrid", "weights": {"tabular": 0.6, "pooled": 0.4}, "threshold": 0.5})
+    assert abs(out.first()["score"] - 0.36) < 1e-9
+    with pytest.raises(ValueError):
+        learners.blend_kind("unknown", {"a": 1.0})
