@@ -3,13 +3,13 @@
 The network is small (``HIDDEN`` units a direction), is trained in numpy by backpropagation through time, and gives every
 byte of a text a distribution over the languages. A document's probabilities are the mean over its bytes.
 
-Training uses at most ``per_language`` documents of each language (those of lowest hash of doc_id) and one stretch of
-``TRAIN_BYTES`` bytes of each; those stretches are all that reaches the driver. Every document is then labelled whole, in
-stretches of ``STEPS`` bytes that start from the zero state, thousands of them side by side.
+Training uses at most ``per_language`` documents of each language (those of lowest hash of doc_id) and at most ``max_rows`` in all, shared
+evenly by the languages, and one stretch of ``train_bytes`` bytes of each; those stretches are all that reaches the driver. Every language is
+learned; more than ``max_rows`` of them are an error. Every document is then labelled whole, in stretches of ``STEPS`` bytes, thousands of them
+side by side; either network starts ``WARM`` bytes before its stretch (or at the text's end), so it has read what stands there.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row every text is ``und``; at
-most ``MAX_LANGUAGES`` languages are learned, the most frequent ones (ties by name); repeated rows get equal labels; an
-empty table gives an empty result.
+Edge cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row every text is ``und``; repeated rows get
+equal labels; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ from seqspark.llm import textnp
 from seqspark.llm.common import held_out, spread
 
 HIDDEN = 8
-STEPS = 128
-TRAIN_BYTES = 1024
-MAX_LANGUAGES = 64
+STEPS, WARM = 224, 32
+TRAIN_BYTES, PER_LANGUAGE, MAX_ROWS = 1024, 300, 20_000
 #: Stretches that are labelled side by side.
-_WIDE = 2048
+_WIDE = 1024
 
 
 def _gru(table: np.ndarray, u: np.ndarray, bias: np.ndarray, steps: np.ndarray, cache: list | None = None) -> np.ndarray:
@@ -92,10 +91,14 @@ class ByteTagger:
         self.params += [small(256, 3 * hidden), small(3 * hidden, hidden), np.zeros(hidden, np.float32)]
         self.params += [small(len(languages), 2 * hidden), np.zeros(len(languages), np.float32)]
 
-    def states(self, steps: np.ndarray, caches: tuple[list, list] | tuple[None, None] = (None, None)) -> np.ndarray:
+    def states(self, steps: np.ndarray, lengths: np.ndarray | None = None, caches: tuple[list, list] | tuple[None, None] = (None, None)) -> np.ndarray:
+        """lengths: of the stretches, where they differ; the backward network begins at each one's last byte."""
         ahead = _gru(*self.params[:3], steps, caches[0])
-        back = _gru(*self.params[3:6], steps[::-1], caches[1])[::-1]
-        return np.concatenate([ahead, back], axis=1)
+        if lengths is None:
+            return np.concatenate([ahead, _gru(*self.params[3:6], steps[::-1], caches[1])[::-1]], axis=1)
+        turned = (lengths - 1 - np.arange(len(steps))[:, None]) % len(steps)
+        back = _gru(*self.params[3:6], np.take_along_axis(steps, turned, 0))
+        return np.concatenate([ahead, np.take_along_axis(back, turned[:, None, :], 0)], axis=1)
 
     def probabilities(self, states: np.ndarray) -> np.ndarray:
         """[time, languages, stretches]"""
@@ -106,7 +109,7 @@ class ByteTagger:
         return odds
 
     def fit(self, stretches: np.ndarray, labels: np.ndarray, updates: int = 400, batch: int = 128, steps: int = 48, rate: float = 0.02, seed: int = 4) -> ByteTagger:
-        """stretches: [rows, TRAIN_BYTES] of bytes, filled with 0. Adam on the mean cross entropy of all positions."""
+        """stretches: [rows, bytes], filled with 0. Adam on the mean cross entropy of all positions."""
         random = np.random.default_rng(seed)
         m, s = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
         h = self.params[2].size
@@ -116,7 +119,7 @@ class ByteTagger:
             start = (random.random(batch) * np.maximum(length[pick] - steps, 1)).astype(np.int64)
             byte = stretches[pick[:, None], start[:, None] + np.arange(steps)].T
             caches: tuple[list, list] = ([], [])
-            states = self.states(byte, caches)
+            states = self.states(byte, caches=caches)
             d_odds = self.probabilities(states)
             d_odds[:, labels[pick], np.arange(batch)] -= 1
             d_odds *= (byte > 0)[:, None, :] / max(1, int((byte > 0).sum()))
@@ -141,47 +144,54 @@ class ByteTagger:
         owner = np.repeat(np.arange(n), pieces)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = offsets[owner] + within * STEPS
-        length = np.minimum(offsets[owner + 1] - start, STEPS)
-        padded = np.concatenate([data, np.zeros(STEPS, np.uint8)])
+        end = np.minimum(offsets[owner + 1], start + STEPS)
+        # what is read: the stretch and what stands around it in its own text
+        low, high = np.maximum(offsets[owner], start - WARM), np.minimum(offsets[owner + 1], end + WARM)
+        order = np.argsort(high - low, kind="stable")
+        padded = np.concatenate([data, np.zeros(STEPS + 2 * WARM, np.uint8)])
         for at in range(0, len(owner), _WIDE):
-            rows, size = slice(at, at + _WIDE), length[at : at + _WIDE]
-            live = np.arange(STEPS)[:, None] < size
-            byte = np.where(live, padded[start[rows] + np.arange(STEPS)[:, None]], 0)[: int(size.max())]
-            p = self.probabilities(self.states(byte))
+            rows = order[at : at + _WIDE]
+            t = np.arange(int((high - low)[rows].max()))[:, None]
+            byte = np.where(t < high[rows] - low[rows], padded[low[rows] + t], 0)
+            p = self.probabilities(self.states(byte, high[rows] - low[rows]))
+            live = (t >= start[rows] - low[rows]) & (t < end[rows] - low[rows])
             best = p.argmax(axis=1)
-            p *= live[: len(byte), None, :]
+            p *= live[:, None, :]
             np.add.at(sums, owner[rows], p.sum(axis=0).T)
             for k in range(c):
-                np.add.at(votes[:, k], owner[rows], ((best == k) & live[: len(byte)]).sum(axis=0))
+                np.add.at(votes[:, k], owner[rows], ((best == k) & live).sum(axis=0))
         return sums, votes
 
 
-def training_stretches(docs: DataFrame, per_language: int) -> tuple[list[str], list[tuple[str, bytes]]]:
+def training_stretches(docs: DataFrame, per_language: int, max_rows: int, train_bytes: int) -> tuple[list[str], list[tuple[str, bytes]]]:
     """(languages, rows of (language, bytes)) of documents that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows + 1).collect()
+    if len(counts) > max_rows:
+        raise ValueError(f"more than {max_rows} languages: set max_rows")
     if not counts:
         return [], []
-    rates = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * per_language / r["n"])))])
+    each = min(per_language, max_rows // len(counts))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.2 * each / r["n"])) for r in counts], "lang string, rate double")
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
-    known = known.where(draw < F.coalesce(rates[F.col("lang")], F.lit(0.0)))
-    at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - TRAIN_BYTES, F.lit(1))) + 1
-    stretch = F.substring(F.col("text").substr(at.cast("int"), F.lit(TRAIN_BYTES)).cast("binary"), 1, TRAIN_BYTES)
-    known = known.select("doc_id", "lang", stretch.alias("stretch"), draw.alias("draw"))
-    found = known.orderBy("draw", "doc_id", "lang", "stretch").limit(2 * per_language * len(counts)).collect()
+    at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - train_bytes, F.lit(1))) + 1
+    stretch = F.substring(F.col("text").substr(at.cast("int"), F.lit(train_bytes)).cast("binary"), 1, train_bytes)
+    known = known.select("doc_id", "lang", "text", draw.alias("draw")).join(F.broadcast(rates), "lang").where("draw < rate")
+    known = known.select("doc_id", "lang", stretch.alias("stretch"), "draw")
+    found = known.orderBy("draw", "doc_id", "lang", "stretch").limit(2 * each * len(counts)).collect()
     return [r["lang"] for r in sorted(counts, key=lambda r: r["lang"])], [(r["lang"], bytes(r["stretch"])) for r in found if len(r["stretch"]) > 0]
 
 
-def fit(docs: DataFrame, per_language: int = 300) -> ByteTagger | None:
-    languages, rows = training_stretches(docs, per_language)
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, train_bytes: int = TRAIN_BYTES) -> ByteTagger | None:
+    languages, rows = training_stretches(docs, per_language, max_rows, train_bytes)
     if not rows:
         return None
-    stretches = np.zeros((len(rows), TRAIN_BYTES + STEPS), np.uint8)
+    stretches = np.zeros((len(rows), train_bytes + STEPS), np.uint8)
     for i, (_, data) in enumerate(rows):
         stretches[i, : len(data)] = np.frombuffer(data, np.uint8)
     # every language equally often
     labels = np.array([languages.index(lang) for lang, _ in rows])
-    size = np.bincount(labels, minlength=len(languages)).max()
+    size = min(int(np.bincount(labels, minlength=len(languages)).max()), max(1, max_rows // len(languages)))
     even = np.concatenate([np.resize(np.flatnonzero(labels == k), size) for k in range(len(languages)) if (labels == k).any()])
     return ByteTagger(languages).fit(stretches[even], labels[even])
 
@@ -218,6 +228,6 @@ def languages(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     return rows.mapInArrow(labelled, "doc_id long, lang_pred string, score double, share double")
 
 
-def identify(docs: DataFrame, per_language: int = 300) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """languages() of a model fitted on the documents that are not held out, with held_out."""
-    return languages(docs, fit(docs, per_language)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "share")
+    return languages(docs, fit(docs, per_language, max_rows, train_bytes)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "share")

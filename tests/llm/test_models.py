@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from seqspark.llm import langid, quality
 
@@ -65,3 +66,46 @@ def test_a_rare_label_counts():
     scores = model.score(words, np.full(len(words), 30**-0.5, np.float32), np.arange(61) * 30, x)
     good = np.array([r["label"] for r in rows[180:]]) == 1
     assert scores[~good].max() < 0.5 < np.median(scores[good])
+
+
+def test_languages_of_the_query_against_a_plain_network(spark, monkeypatch):
+    """Every byte of the shortest documents, one at a time, with the network that the query has fitted."""
+    from seqspark.llm.common import documents
+    from tests.compare import DATA
+
+    docs = documents(spark, DATA).where("text IS NOT NULL").orderBy("n_chars", "doc_id").limit(60)
+    model = langid.fit(documents(spark, DATA))
+    got = {r["doc_id"]: r for r in langid.languages(docs, model).collect()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(table, u, bias, data):
+        h, out, n = np.zeros(u.shape[1]), [], u.shape[1]
+        for byte in data:
+            a, b = table[byte], u @ h
+            z, r = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+            new = np.tanh(a[2 * n :] + r * (b[2 * n :] + bias))
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    for row in docs.collect():
+        data, total = row["text"].encode(), np.zeros(len(model.languages))
+        for start in range(0, len(data), langid.STEPS):
+            end = min(start + langid.STEPS, len(data))
+            low, high = max(0, start - langid.WARM), min(len(data), end + langid.WARM)
+            ahead, back = run(*model.params[:3], data[low:high]), run(*model.params[3:6], data[low:high][::-1])[::-1]
+            for i in range(start - low, end - low):
+                odds = model.params[6] @ np.concatenate([ahead[i], back[i]]) + model.params[7]
+                total += np.exp(odds - odds.max()) / np.exp(odds - odds.max()).sum()
+        lettered = any(c.isalpha() for c in row["text"])
+        assert got[row["doc_id"]]["lang_pred"] == (model.languages[int(total.argmax())] if lettered else "und")
+        assert not lettered or abs(got[row["doc_id"]]["score"] - total.max() / len(data)) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 90} of language {i % 90}", f"l{i % 90:02}") for i in range(900)], "doc_id long, text string, lang string")
+    names, rows = langid.training_stretches(docs, 300, 20_000, 64)
+    assert len(names) == 90 == len({lang for lang, _ in rows})
+    assert len(langid.training_stretches(docs, 300, 180, 64)[1]) <= 2 * 180
+    with pytest.raises(ValueError):
+        langid.training_stretches(docs, 300, 50, 64)
