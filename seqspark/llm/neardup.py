@@ -7,8 +7,8 @@ sets of similarity s meet in no band with a chance of (1 - s**rows)**bands, 7e-8
 
 Documents with equal sets are one class. In each bucket of a band the classes are compared with one of them (another in
 each band), on their full sets; what is linked forms components. Only pairs of a bucket that lie in different components are
-left. A bucket's members are cut into blocks of about ``BLOCK``, and each pair of blocks is compared inside a task: first by
-set sizes and sketches (a byte of each coordinate; a pair at the threshold agrees in fewer than the asked share with a chance of 1e-7), each
+left: of a bucket's members, those outside its largest component have to meet the others. Both are cut into blocks of about ``BLOCK``, and each
+pair of blocks is compared inside a task: first by set sizes and sketches (a byte of each coordinate; a pair at the threshold agrees in fewer than the asked share with a chance of 1e-7), each
 pair in the first band that it shares; then what is left, on full sets, until their components are joined. Rows are
 members, never pairs, and tasks hold two blocks, so a group of thousands of near copies costs no more than its members' sets in a
 few blocks, and no link between components is lost.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import textnp
-from seqspark.llm.common import cut, spread
+from seqspark.llm.common import cut, discard, spread
 from seqspark.llm.components import connected_components
 
 _SCATTER = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -155,7 +155,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _together(rows: DataFrame) -> DataFrame:
     """The rows of a pair of blocks one after the other in one partition."""
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", *(["asked"] if "asked" in rows.columns else []), "rep")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -182,23 +182,25 @@ def _likely(rows: DataFrame, percent: int, coordinates: int) -> DataFrame:
     """The members of pairs that sizes and sketches do not rule out: key, i, j, rep, component, partners (the others of its pairs). A pair
     belongs to the first band that it shares."""
     share = percent / 100
-    asked = int(coordinates * (share - 5.2 * (share * (1 - share) / coordinates) ** 0.5))
+    least = int(coordinates * (share - 5.2 * (share * (1 - share) / coordinates) ** 0.5))
     schema = "key long, i int, j int, rep long, component long, partners array<long>"
 
     def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-            rep, component, n, own = (table.column(c).to_numpy() for c in ("rep", "component", "n", "own"))
-            if (component == component[0]).all():
+            rep, component, n, out, asks = (table.column(c).to_numpy() for c in ("rep", "component", "n", "out", "asked"))
+            others = np.flatnonzero(~asks)
+            if len(others) in (0, len(asks)):
                 continue
             low = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
             keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             band = int(np.flatnonzero(keys[0] == key)[0])
             pairs: dict[int, list[int]] = {}
-            for a in range(len(rep) - 1):
-                b = np.flatnonzero((component[a + 1 :] != component[a]) & (100 * np.minimum(n[a + 1 :], n[a]) >= percent * np.maximum(n[a + 1 :], n[a]))) + a + 1
-                b = b[own[b] != own[a]] if i != j else b
-                b = b[(low[b] == low[a]).sum(axis=1) >= asked] if len(b) else b
+            for a in np.flatnonzero(asks).tolist():
+                # two that both ask meet once
+                b = others[(component[others] != component[a]) & (~out[others] | (rep[others] > rep[a]))]
+                b = b[100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])]
+                b = b[(low[b] == low[a]).sum(axis=1) >= least] if len(b) else b
                 b = b[~(keys[b, :band] == keys[a, :band]).any(axis=1)] if len(b) and band else b
                 if len(b):
                     pairs[a] = rep[b].tolist()
@@ -220,7 +222,10 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            sets = {r: np.frombuffer(e, np.uint64) for r, e in zip(table.column("rep").to_pylist(), table.column("elements").to_pylist(), strict=True)}
+            # rows of one doc_id may have several sets
+            sets: dict[int, list[np.ndarray]] = {}
+            for r, e in zip(table.column("rep").to_pylist(), table.column("elements").to_pylist(), strict=True):
+                sets.setdefault(r, []).append(np.frombuffer(e, np.uint64))
             component = dict(zip(table.column("rep").to_pylist(), table.column("component").to_pylist(), strict=True))
             root: dict[int, int] = {}
 
@@ -233,7 +238,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             for a, partners in zip(table.column("rep").to_pylist(), table.column("partners").to_pylist(), strict=True):
                 for b in partners:
                     x, y = top(component[a]), top(component[b])
-                    if x != y and alike(sets[a], sets[b], percent):
+                    if x != y and any(alike(p, q, percent) for p in sets[a] for q in sets[b]):
                         root[max(x, y)] = min(x, y)
                         links.append((a, b))
             if links:
@@ -249,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
     member = cut(filled.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep"))
-    placed = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    placed = classes.select("rep", "h1", "h2", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
 
     # of each bucket with two classes or more, one class that all others are compared with
     lowest = F.min(F.col("rep").bitwiseXOR(F.col("key")))
@@ -268,14 +273,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     # the pairs of a bucket that are still in different components
     label = connected_components(links)
     known = met.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = cut(known.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    split = known.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size")).where("c <> d")
-    open_ = known.join(split.select("key", "size"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    open_ = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component")
-    open_ = open_.join(classes.select("rep", "keys", "sketch"), "rep")
+    known = cut(known.select("key", "rep", "h1", "h2", "n", F.coalesce("component", "rep").alias("component")))
+    parts = known.groupBy("key", "component").agg(F.count("*").alias("c"))
+    split = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
+    open_ = known.join(split, "key").withColumn("out", F.col("component") != F.col("main"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("h1", "h2"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    asking = open_.where("out").withColumn("i", own("outside")).withColumn("j", every("size")).withColumn("asked", F.lit(True))
+    others = open_.withColumn("j", own("size")).withColumn("i", every("outside")).withColumn("asked", F.lit(False))
+    open_ = asking.unionByName(others).select("key", "i", "j", "asked", "out", "rep", "h1", "h2", "n", "component")
+    open_ = open_.join(classes.select("h1", "h2", "keys", "sketch"), ["h1", "h2"]).drop("h1", "h2")
     likely = cut(_likely(_together(open_), percent, bands * rows))
     asked = likely.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     more = _joined(_together(asked), percent)
@@ -284,6 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     doubled = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     doubled = member.join(doubled, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     label = connected_components(links.unionByName(more).unionByName(doubled))
+    discard(classes, met, stars, sets, links, known, likely)
 
     found = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,31 @@ def test_a_dense_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_one_id_with_two_texts_in_an_open_bucket(spark, monkeypatch):
+    """Id 0 has two texts; each is a near copy of others, and chains of copies keep buckets open."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    one, two = [f"a{i}" for i in range(120)], [f"b{i}" for i in range(120)]
+    chain = lambda base: [" ".join(f"x{k}" if k <= j < k + 5 else w for j, w in enumerate(base)) for k in range(0, 60, 3)]
+    first, second = chain(one), chain(two)
+    rows = [(0, first[0]), (0, second[0]), *((10 + i, t) for i, t in enumerate(first[1:])), *((50 + i, t) for i, t in enumerate(second[1:])), (90, "some other text of no relation")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, 0 if i < 90 else 90) for i, _ in rows}
+
+
+def test_sketches_rule_out_no_pair_at_the_threshold():
+    """Of pairs just above the threshold, those whose sketches agree in fewer coordinates than is asked: none of many."""
+    random = np.random.default_rng(7)
+    coordinates = 54 * 6
+    least = int(coordinates * (0.8 - 5.2 * (0.8 * 0.2 / coordinates) ** 0.5))
+    found = []
+    for _ in range(400):
+        both, left, right = (random.integers(0, 2**63, k).astype(np.uint64) for k in (160, 20, 20))
+        sets = [np.unique(np.concatenate([both, x])) for x in (left, right)]
+        low = neardup.circulant_minhash(np.concatenate(sets), np.array([0, len(sets[0])]), coordinates).astype(np.uint8)
+        found.append(int((low[0] == low[1]).sum()))
+    assert min(found) >= least and abs(np.mean(found) / coordinates - 0.8) < 0.01
+
+
 def test_spans_of_several_blocks_agree_with_one(spark, docs, benchmark):
     unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     one = {r["doc_id"]: r for r in decontam.report(unique, benchmark).collect()}
