@@ -193,7 +193,44 @@ def test_edits_against_a_new_count():
         for _ in range(4):
             doc.edit(random.randint(0, len(doc.text)), random.randint(0, 8), "".join(random.choices(bits, k=random.randint(0, 5))))
             new = tokencount.CountedText(doc.text, pattern, count)
-            assert (doc.tokens, doc.n, doc.lengths.total) == (new.tokens, new.n, len(doc.text))
+            assert (doc.tokens, doc.n, doc.tree.leaves()) == (new.tokens, new.n, new.tree.leaves()) and doc.tree.root.length == len(doc.text)
+
+
+def test_an_edit_of_a_long_text_costs_little():
+    import time
+
+    pattern, count = tokencount.counter(open(tokencount.VOCABULARY, "rb").read())
+    doc = tokencount.CountedText(" ab cd" * 300_000, pattern, count)
+    times = []
+    for i in range(200):
+        t = time.perf_counter()
+        doc.edit(9_000 * i, i % 7, " new words" * (i % 3))
+        times.append(time.perf_counter() - t)
+    assert doc.n > 590_000 and sorted(times)[100] < 0.01
+    new = tokencount.CountedText(doc.text, pattern, count)
+    assert (doc.tokens, doc.tree.leaves()) == (new.tokens, new.tree.leaves())
+
+
+def test_a_table_of_edits_against_a_new_count(spark):
+    random.seed(8)
+    bits = ["a", " ", "\n", "'s", "9", "é", "don't", "word", "."]
+    text = lambda n: "".join(random.choices(bits, k=random.randint(0, n)))
+    docs = spark.createDataFrame([*((i, text(300)) for i in range(30)), (30, None), (31, ""), (None, "no id"), (3, "again")], "doc_id long, text string")
+    edits = [(i, k, random.randint(0, 200), random.randint(0, 20), text(8)) for i in range(0, 34, 2) for k in range(3)] + [(31, 0, 5, 5, "new"), (3, 0, 0, None, None), (None, 0, 0, 9, "x")]
+    table = spark.createDataFrame(edits, "doc_id long, seq int, start int, delete int, insert string")
+    kept = tokencount.kept_trees(docs)
+    out = tokencount.apply_edits(kept, table)
+    plain = []
+    for r in docs.collect():
+        t = r["text"] or ""
+        for _, _, start, delete, insert in sorted(e for e in edits if e[0] is not None and e[0] == r["doc_id"]):
+            start = min(start, len(t))
+            t = t[:start] + (insert or "") + t[start + (delete or 0) :]
+        plain.append((r["doc_id"], t))
+    new = {(r["doc_id"], r["text"]): r for r in tokencount.kept_trees(spark.createDataFrame(plain, "doc_id long, text string")).collect()}
+    got = out.collect()
+    assert len(got) == len(plain) and all(tuple(r)[:6] == tuple(new[(r["doc_id"], r["text"])]) for r in got)
+    assert all(r["n_recounted"] == 0 for r in got if r["doc_id"] is None or r["doc_id"] % 2 and r["doc_id"] not in (3, 31))
 
 
 def test_surrogates_keep_types_distinctness_and_mentions(spark):
