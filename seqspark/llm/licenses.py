@@ -89,16 +89,32 @@ def _shingle(words: str, at: Column) -> Column:
     return F.when(at <= F.size(words) - SHINGLE, F.xxhash64(*[word(k) for k in range(SHINGLE)]))
 
 
-def _windows(rows: DataFrame, words: str, stride: int, keep: Sequence[str]) -> DataFrame:
+def _banded(windows: DataFrame, words: str, keep: Sequence[str]) -> DataFrame:
     """A row for each window (its first word is ``at``) and band: the columns in keep, at, band_key."""
-    some = rows.where(F.size(words) >= SHINGLE)
-    some = some.withColumn("at", F.explode(F.sequence(F.lit(0), F.size(words) - SHINGLE, F.lit(stride))))
-    some = some.select(*keep, "at", *[_shingle(words, F.col("at") + k).alias(f"s{k}") for k in range(WINDOW)])
+    some = windows.select(*keep, "at", *[_shingle(words, F.col("at") + k).alias(f"s{k}") for k in range(WINDOW)])
     some = some.withColumn("band", F.explode(F.array(*[F.lit(k) for k in range(BANDS)])))
     hashed = [F.when(F.col(f"s{k}").isNotNull(), F.xxhash64(f"s{k}", "band")) for k in range(WINDOW)]
     return some.select(*keep, "at", F.xxhash64("band", F.least(*hashed)).alias("band_key"))
 
 
+def _template_windows(known: DataFrame) -> DataFrame:
+    """template_id, band_key of the windows at every word of the templates."""
+    some = known.where(F.size("words") >= SHINGLE)
+    some = some.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)))
+    return _banded(some, "words", ["template_id"]).select("template_id", "band_key").distinct()
+
+
+def _text_windows(rows: DataFrame, shingles: list[int]) -> DataFrame:
+    """doc_id, h, at, band_key of the windows of texts. One without a shingle of the templates has no MinHash coordinate in common with them, so
+    it is left out before it is banded. shingles: those of a block of templates, whose number has its bound."""
+    some = rows.where(F.size("words") >= SHINGLE)
+    some = some.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)))
+    some = some.where(_shingle("words", F.col("place")).isin(shingles))
+    first = F.greatest(F.col("place") - WINDOW + 1, F.lit(0))
+    starts = F.sequence(first + F.pmod(first, F.lit(STRIDE)), F.col("place") - F.pmod(F.col("place"), F.lit(STRIDE)), F.lit(STRIDE))
+    return _banded(some.withColumn("at", F.explode(starts)), "words", ["doc_id", "h"])
+
+
 def known_templates() -> list[tuple[str, str]]:
     """(license, template) of the usual notices and of the license texts of this library."""
     return [*TEMPLATES, *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt")))]
@@ -185,9 +201,10 @@ def scan(docs: DataFrame, templates: DataFrame | Sequence[tuple[str, str]] | Non
 
 
 def _scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
-    bands = _windows(known, "words", 1, ["template_id"]).select("template_id", "band_key").distinct()
+    bands = _template_windows(known)
+    shingles = [r["s"] for r in known.where(F.size("words") >= SHINGLE).select(F.explode("shingles").alias("s")).distinct().collect()]
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("words"))
-    met = _windows(rows, "words", STRIDE, ["doc_id", "h"]).join(F.broadcast(bands), "band_key")
+    met = _text_windows(rows, shingles).join(F.broadcast(bands), "band_key")
     met = met.groupBy("doc_id", "h", "at", "template_id").count().select("doc_id", "h", "at", "template_id")
     met = cut(met)
     # the texts of the documents that have candidates, once for equal ones; their number has no bound, so they are not broadcast
