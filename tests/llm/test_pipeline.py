@@ -77,6 +77,10 @@ def test_pii(states):
     found = 0
     for r in before:
         private = [m for p in patterns for m in p.findall(r["text"])]
+        # a number of a card's length whose check digit fails is no card and stays
+        no_cards = [m for m in private if m.isdigit() and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(m)))) % 10]
+        assert all(m in new[r["doc_id"]] for m in no_cards)
+        private = [m for m in private if m not in no_cards]
         found += len(private)
         assert not any(m in new[r["doc_id"]] for m in private)
         if not private:
