@@ -89,6 +89,12 @@ def _shingle(words: str, at: Column) -> Column:
     return F.when(at <= F.size(words) - SHINGLE, F.xxhash64(*[word(k) for k in range(SHINGLE)]))
 
 
+def _starts(words: str, n: int) -> Column:
+    """The places of a text at which n words begin, null where it has fewer. A filter on their number would move below the words and build them
+    twice."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
+
+
 def _banded(windows: DataFrame, words: str, keep: Sequence[str]) -> DataFrame:
     """A row for each window (its first word is ``at``) and band: the columns in keep, at, band_key."""
     some = windows.select(*keep, "at", *[_shingle(words, F.col("at") + k).alias(f"s{k}") for k in range(WINDOW)])
@@ -107,8 +113,7 @@ def _template_windows(known: DataFrame) -> DataFrame:
 def _text_windows(rows: DataFrame, shingles: list[int]) -> DataFrame:
     """doc_id, h, at, band_key of the windows of texts. One without a shingle of the templates has no MinHash coordinate in common with them, so
     it is left out before it is banded. shingles: those of a block of templates, whose number has its bound."""
-    some = rows.where(F.size("words") >= SHINGLE)
-    some = some.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)))
+    some = rows.withColumn("place", F.explode(_starts("words", SHINGLE)))
     some = some.where(_shingle("words", F.col("place")).isin(shingles))
     first = F.greatest(F.col("place") - WINDOW + 1, F.lit(0))
     starts = F.sequence(first + F.pmod(first, F.lit(STRIDE)), F.col("place") - F.pmod(F.col("place"), F.lit(STRIDE)), F.lit(STRIDE))
@@ -232,7 +237,7 @@ def _scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", _words(F.col("text")).alias("words"))
     equal = near.where("false")
     for n in lengths:
-        runs = rows.where(F.size("words") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - n)))
+        runs = rows.withColumn("at", F.explode(_starts("words", n)))
         run = F.xxhash64(F.array(*[F.get(F.col("words"), F.col("at") + k) for k in range(n)]))
         runs = runs.withColumn("shingle", run).join(F.broadcast(short.where(F.col("n") == n).drop("n")), "shingle")
         runs = runs.select("doc_id", "h", _place(F.col("text"), F.col("at"), n).alias("at"), "license", "template_id")
