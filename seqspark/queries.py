@@ -480,7 +480,7 @@ def streamed_scores(spark, sf_dir):
         p = 1 / (1 + F.exp(-10 * F.col("embedding")[0].cast("double")))
         return batch.select("batch_id", "idx", F.when(F.col("idx") % 13 != 0, F.round(p, 9)).alias("score"))
 
-    path, mark = jobs.scratch(spark, "scores"), jobs.scratch(spark, "mark")
+    path, mark = io.scratch(spark, "scores"), io.scratch(spark, "mark")
     jobs.score_batches(rows, score, path, mark).start().awaitTermination()
     return rounded(spark.read.parquet(path).select("batch_id", "idx", "score"))
 
@@ -495,7 +495,7 @@ def single_group_scores(spark, sf_dir):
         p = 1 / (1 + F.exp(-10 * F.col("embedding")[1].cast("double")))
         return batch.select("batch_id", "idx", F.when(F.col("batch_id") % 17 != 0, F.round(p, 9)).alias("score"))
 
-    path, mark = jobs.scratch(spark, "scores"), jobs.scratch(spark, "mark")
+    path, mark = io.scratch(spark, "scores"), io.scratch(spark, "mark")
     jobs.score_batches(rows, score, path, mark).start().awaitTermination()
     return rounded(spark.read.parquet(path).select("batch_id", "score"))
 
@@ -506,7 +506,7 @@ def captured_drift(spark, sf_dir):
     schema = views.table(spark, sf_dir, "embeddings").schema
     vectors = spark.readStream.schema(schema).parquet(f"{sf_dir}/embedding*.parquet")
     keyed = vectors.where("vec_id % 8 = 7").select("vec_id", "embedding")
-    path, mark = jobs.scratch(spark, "pool"), jobs.scratch(spark, "mark")
+    path, mark = io.scratch(spark, "pool"), io.scratch(spark, "mark")
     for _ in range(2):  # the second run goes on from the checkpoint and captures nothing again
         jobs.capture_job(keyed, "vec_id", path, mark).start().awaitTermination()
     names = [f"f{k}" for k in range(64)]
@@ -528,7 +528,7 @@ def promotion_history(spark, sf_dir):
     rows = _model_metrics(spark, sf_dir)
     candidates = selection.gate_reasons(rows.where("model <> 'stack'").withColumn("forced", F.col("model") == "drse"))
     decided = selection.promotion(candidates, rows.where("model = 'stack'"))
-    path = jobs.scratch(spark, "history")
+    path = io.scratch(spark, "history")
     for at in ("2026-01-01 00:00:00", "2026-01-02 00:00:00"):
         io.write_table(selection.decisions(decided, at), path, append=True)
     out = spark.read.parquet(path)

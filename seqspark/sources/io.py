@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,21 @@ RELEASE = T.StructType([
 ])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local session may have it anywhere."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what follows reads it, and a lost executor costs nothing that came before."""
+    path = scratch(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
     """One JSON file a release date -> group_id, release (the file's stem), split, label, hands. Groups and labels are paired by place."""
     files = spark.read.schema(RELEASE).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
