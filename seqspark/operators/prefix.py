@@ -7,6 +7,8 @@ range and group. So no task holds more than a range, however large one group is,
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,13 +16,6 @@ from pyspark.sql import functions as F
 from seqspark.sources.io import written
 
 
-def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
-    on = a["_part"] == b["_part"]
-    for c in columns:
-        on = on & a[c].eqNullSafe(b[c])
-    return on
-
-
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, str], totals: Mapping[str, str] | None = None) -> DataFrame:
     """rows with, for each of ``sums`` (name: column), the sum of the column from the group's first row up to this one, and for each of
     ``totals`` the group's sum. ``order`` has to tell the rows of a group apart where it matters which comes first. Null is a group of its own."""
@@ -29,8 +24,9 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: M
     ranges = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_r_{n}") for n, c in {**sums, **totals}.items()])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row a range
     before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*by, "_part", *[F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.sum(f"_r_{n}").over(group).alias(f"_t_{n}") for n in totals])
+    named = {c: f"_k{i}" for i, c in enumerate([*by, "_part"])}
+    ranges = ranges.select(*[F.col(c).alias(k) for c, k in named.items()], *[F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.sum(f"_r_{n}").over(group).alias(f"_t_{n}") for n in totals])
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumns({f"_i_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    both = placed.join(ranges, _same(placed, ranges, by))
-    return both.select(*[placed[c] for c in rows.columns], *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *[F.col(f"_t_{n}").alias(n) for n in totals])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()])
+    return placed.join(ranges, same).select(*rows.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *[F.col(f"_t_{n}").alias(n) for n in totals])
