@@ -154,6 +154,83 @@ SELECT doc_id, license, count(DISTINCT place) AS n_places, min(place) FILTER (pl
 FROM (SELECT r, doc_id, license, place, containment FROM near WHERE containment >= 0.8 QUALIFY containment = max(containment) OVER (PARTITION BY r, place) UNION ALL SELECT * FROM short) GROUP BY r, doc_id, license
 """
 
+#: Unsigned crc32 of an id's decimals: the table by its rule, then a byte at a time.
+_CRC_TABLE = "(SELECT list(list_reduce(list_concat([b], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) AS r(b))"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+OP11 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words, {_crc("doc_id::VARCHAR")} AS h
+  FROM documents, {_CRC_TABLE} AS table_of(t)),
+placed AS (SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a, (h // 10) % 8 AS m FROM docs),
+texts AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i
+    ELSE a + (i - a) % (1 + (n - a) // (3 + m)) END]) END AS w FROM placed),
+grams AS (SELECT r, i, md5(array_to_string(w[i + 1:i + 16], ' ')) AS g FROM (SELECT r, w, unnest(range(n - 15)) AS i FROM texts WHERE n >= 24)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.g = y.g AND y.i > x.i),
+islands AS (SELECT r, q, min(i) AS s, max(i) + 16 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pairs) GROUP BY r, q, k),
+runs AS (SELECT r, s, e - s AS length, min(q) AS q FROM islands WHERE e - s >= 24 AND e - s >= 3 * q GROUP BY r, s, e),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / q DESC, s, q) = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM runs GROUP BY r),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(s + q, s + length)) AS i FROM runs) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, length, q AS period, 1000 * length // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)
+"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join([*[_field(c) for c in ("doc_id", "source", "lang", "n_chars")], _field(text)]) + ")"
+
+
+def _climb(name: str, leaves: str) -> str:
+    """A recursive table of all nodes (tree, level, place, n of the level, digest) above leaves (tree, place, n, digest)."""
+    return f"""{name}(tree, level, place, n, digest) AS (
+  SELECT tree, 0, place, n, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY tree, level, place // 3)"""
+
+
+def _steps(name: str, nodes: str) -> str:
+    """left and right of each node that has a parent."""
+    return f"""{name} AS (
+  SELECT a.tree, a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM {nodes} a JOIN {nodes} b ON a.tree = b.tree AND a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.n > 1 GROUP BY ALL)"""
+
+
+OP12 = rf"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce('s' || source, '') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claimed
+  FROM documents, {_CRC_TABLE} AS table_of(t)),
+leaves AS MATERIALIZED (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM rows),
+{_climb("nodes", "leaves")},
+steps AS MATERIALIZED ({_steps("x", "nodes").split("(", 1)[1]},
+tops AS MATERIALIZED (SELECT tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n, 'all' AS tree FROM nodes WHERE n = 1),
+{_climb("above", "tops")},
+upper_steps AS MATERIALIZED ({_steps("x", "above").split("(", 1)[1]},
+paths AS MATERIALIZED (
+  SELECT a.tree, a.place, s.level, l, r FROM leaves a JOIN steps s ON a.tree = s.tree AND s.place = a.place // pow(3, s.level)::BIGINT
+  UNION ALL
+  SELECT a.tree, a.place, 1000 + s.level, l, r FROM leaves a JOIN tops t ON a.tree = t.name JOIN upper_steps s ON s.place = t.place // pow(3, s.level)::BIGINT),
+proofs AS (SELECT tree, place, list(l ORDER BY level) AS ls, list(r ORDER BY level) AS rs FROM paths GROUP BY tree, place),
+fold(tree, place, k, digest, ls, rs) AS (
+  SELECT tree, place, 0, claimed, coalesce(ls, []), coalesce(rs, []) FROM leaves LEFT JOIN proofs USING (tree, place)
+  UNION ALL
+  SELECT tree, place, k + 1, sha256(ls[k + 1] || digest || rs[k + 1]), ls, rs FROM fold WHERE k < len(ls))
+SELECT a.doc_id, a.leaf, t.digest AS subroot, top.digest AS root, sha256(array_to_string(list_transform(range(len(ls)), lambda i: ls[i + 1] || rs[i + 1]), '')) AS proof_sha256,
+  f.digest AS folded_root, f.digest = top.digest AS verified
+FROM leaves a JOIN tops t ON a.tree = t.name JOIN fold f ON a.tree = f.tree AND a.place = f.place AND f.k = len(f.ls), (SELECT digest FROM above WHERE n = 1) top
+"""
+
 ORACLES = {
     "op4_near_duplicates": OP4,
     "op5_decontaminate": OP5,
@@ -161,4 +238,6 @@ ORACLES = {
     "op8_chat_tree": OP8,
     "op9_license_scan": OP9,
     "op10_source_mix": OP10,
+    "op11_periodic_runs": OP11,
+    "op12_merkle_manifest": OP12,
 }

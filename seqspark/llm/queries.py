@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import chatfmt, decontam, langid, licenses, mixing, neardup, pii, quality, rules, tokencount
+from seqspark.llm import chatfmt, decontam, langid, licenses, merkle, mixing, neardup, novelty, periodic, pii, quality, rules, tokencount
 from seqspark.llm.common import documents
 
 
@@ -55,6 +55,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.collapsed(documents(spark, sf_dir), weave=True)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(documents(spark, sf_dir))
+
+
+def op13_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_gru": op1_language_gru,
     "op2_quality_fm": op2_quality_fm,
@@ -66,4 +78,7 @@ QUERIES = {
     "op8_chat_tree": op8_chat_tree,
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_novelty": op13_secret_novelty,
 }
