@@ -32,19 +32,20 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 SENSITIVE = re.compile(r"(?:passphrase|passw(?:or)?d|passwd|pwd|secret|token|credential|api.?key|access.?key|private.?key|auth|bearer|signature|session)", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Code points after a sensitive word within which a candidate begins, and those of text on either side that it is measured against.
-REACH, AROUND = 48, 200
+REACH, AROUND = 48, 600
 #: Bytes that a candidate adds, per byte of its own, from which it counts as incompressible.
-NOVELTY = 0.6
+NOVELTY = 0.75
 DICTIONARY_WORDS, LEVEL = 8192, 12
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> bytes:
-    """The parts of words and identifiers (letters only, 4 to 24) that save most by count and length over all documents, the best last. Of
-    bounded size: ``words`` words."""
-    parts = spread(docs.select(F.col("text").cast("string").alias("text"))).select(F.explode(F.split("text", r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")).alias("word"))
-    counts = parts.where(F.length("word").between(4, 24)).groupBy("word").agg(F.count("*").alias("n"))
+    """The words and parts of identifiers (4 to 24 letters, lower case) that save most by count and length over all documents, the best last. What
+    has digits is left out with all its parts, so that a secret that is copied often does not explain itself. Of bounded size: ``words`` words."""
+    tokens = spread(docs.select(F.col("text").cast("string").alias("text"))).select(F.explode(F.split("text", "[^A-Za-z0-9]+")).alias("token"))
+    plain = tokens.where(~F.col("token").rlike("[0-9]")).select(F.explode(F.split("token", "(?<=[a-z])(?=[A-Z])")).alias("word"))
+    counts = plain.select(F.lower("word").alias("word")).where(F.length("word").between(4, 24)).groupBy("word").agg(F.count("*").alias("n"))
     best = counts.where("n > 1").orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(words)
     return " ".join(r["word"] for r in reversed(best.collect())).encode()
 
@@ -60,7 +61,8 @@ class Meter:
         self._frames = zstandard.ZstdCompressor(compression_params=of, dict_data=shared)
 
     def added(self, before: str, candidate: str, after: str) -> int:
-        """Bytes that the candidate adds to the text around it, which is freed of the candidate's copies."""
+        """Bytes that the candidate adds to the text around it, which is freed of the candidate's copies. Case tells nothing."""
+        before, candidate, after = before.lower(), candidate.lower(), after.lower()
         before, after = before.replace(candidate, ""), after.replace(candidate, "")
         around = len(self._frames.compress(f"{before} {after}".encode(errors="surrogatepass")))
         return len(self._frames.compress(f"{before}{candidate}{after}".encode(errors="surrogatepass"))) - around
