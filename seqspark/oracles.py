@@ -465,6 +465,7 @@ h AS {_hard('models', 'model, odd')}
 SELECT model, round(min(1 - hard_fpr), 6) AS safety, round(max(hard_fpr), 6) AS hard_fpr, round(min(hard_recall), 6) AS hard_recall, round(min(positive_rate), 6) AS positive_rate FROM h GROUP BY 1""",
     "streamed_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "captured_stream": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
+    "bounded_pool": "SELECT user_id || '/' || event_type AS key, min(event_id) AS event_id FROM events GROUP BY 1 ORDER BY 2, 1 LIMIT 300",
     "streamed_scores": f"""WITH s AS (SELECT vec_id % 5 AS batch_id, vec_id AS idx, CASE WHEN vec_id % 13 <> 0 THEN round(1 / (1 + exp(-10 * embedding[1]::DOUBLE)), 9) ELSE 0.5 END AS score FROM embeddings),
 r AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n, row_number() OVER (PARTITION BY batch_id ORDER BY score, idx) - 1 AS i FROM s)
 SELECT batch_id, idx, round(CASE WHEN n < 4 THEN score ELSE {_CLAMP.format("0.5 - 0.875 * 0.56 + i / (n - 1) * 0.56")} END, 6) AS score FROM r""",

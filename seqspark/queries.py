@@ -10,7 +10,8 @@ from seqspark.operators import blends, groups, hands, metrics, redundancy, sanit
 from seqspark.oracles import ORACLES  # noqa: F401
 from seqspark.plans import learners
 from seqspark.sources import io, views
-from seqspark.streaming import jobs
+from seqspark.streaming import jobs, requests
+from seqspark.streaming import pool as pools
 
 FLAGSHIP = "signature_scores"
 QUERIES: dict = {}
@@ -470,21 +471,45 @@ def captured_stream(spark, sf_dir):
     return jobs.collected(jobs.captured(keyed, "key", ("ts", "60 days")), "append").select("key")
 
 
+def _arriving(df: DataFrame, order: str, n: int) -> DataFrame:
+    """A stream of a table in n files by ranges of a column of whole numbers, one file a trigger, in order."""
+    spark = df.sparkSession
+    path = io.scratch(spark, "arriving")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    for k in range(n if low is not None else 0):
+        part = F.floor((F.col(order) - low) * n / (high - low + 1))
+        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    if low is None:
+        df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query
 def streamed_scores(spark, sf_dir):
-    """SM2, SM3: vectors arrive as a stream; each request's scores are remapped by rank, failures are neutral first."""
-    vectors = spark.readStream.schema(views.table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embedding*.parquet")
-    rows = vectors.select((F.col("vec_id") % 5).alias("batch_id"), F.col("vec_id").alias("idx"), "embedding")
+    """SM2, SM3: the rows of five requests arrive in three pieces each; state holds a request until it is whole, then it is remapped by rank once.
+    Failures are neutral first."""
+    vectors = views.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("batch_id"), F.col("vec_id").alias("idx"), "embedding")
+    sizes = vectors.groupBy("batch_id").agg(F.count("*").alias("n_rows"))
+    rows = _arriving(vectors.join(sizes, "batch_id"), "idx", 3)
 
-    def score(batch: DataFrame) -> DataFrame:
+    def score(rows: DataFrame) -> DataFrame:
         p = 1 / (1 + F.exp(-10 * F.col("embedding")[0].cast("double")))
-        return batch.select("batch_id", "idx", F.when(F.col("idx") % 13 != 0, F.round(p, 9)).alias("score"))
+        return rows.select("batch_id", "idx", "n_rows", F.when(F.col("idx") % 13 != 0, F.round(p, 9)).alias("score"))
 
     path, mark = io.scratch(spark, "scores"), io.scratch(spark, "mark")
-    jobs.score_batches(rows, score, path, mark).start().awaitTermination()
+    requests.score_requests(rows, score, path, mark).awaitTermination()
     return rounded(spark.read.parquet(path).select("batch_id", "idx", "score"))
 
 
+@query
+def bounded_pool(spark, sf_dir):
+    """SM1: a stream of events in three pieces fills a pool of the first row of each user and type that holds 300 at most."""
+    events = views.table(spark, sf_dir, "events").select("event_id", F.concat_ws("/", "user_id", "event_type").alias("key"))
+    path, mark = io.scratch(spark, "pool"), io.scratch(spark, "mark")
+    pools.capture(_arriving(events, "event_id", 3), "key", "event_id", path, mark, cap=300).awaitTermination()
+    return pools.pool(spark, path, events.schema).select("key", "event_id")
+
+
 @query
 def single_group_scores(spark, sf_dir):
     """SM5: each group arrives as a request of its own, so that ranks change nothing; failures are neutral."""
@@ -502,17 +527,15 @@ def single_group_scores(spark, sf_dir):
 
 @query
 def captured_drift(spark, sf_dir):
-    """SM4, WN10: a stream's vectors are captured, each once; then the twelve features of the newest release that have shifted most."""
-    schema = views.table(spark, sf_dir, "embeddings").schema
-    vectors = spark.readStream.schema(schema).parquet(f"{sf_dir}/embedding*.parquet")
-    keyed = vectors.where("vec_id % 8 = 7").select("vec_id", "embedding")
-    path, mark = io.scratch(spark, "pool"), io.scratch(spark, "mark")
-    for _ in range(2):  # the second run goes on from the checkpoint and captures nothing again
-        jobs.capture_job(keyed, "vec_id", path, mark).start().awaitTermination()
+    """SM4, WN10: a stream's vectors are captured, each once, and the moments of their features go on with every micro-batch; then the twelve features
+    of the newest release that have shifted most, from the moments alone."""
     names = [f"f{k}" for k in range(64)]
-    wide = lambda df: df.select(*[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
-    bench = views.table(spark, sf_dir, "embeddings").where("vec_id % 8 <> 7")
-    return rounded(jobs.drift_report(wide(spark.read.parquet(path)), wide(bench), names).select("feature", "z"))
+    wide = views.table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    live, bench = wide.where("vec_id % 8 = 7"), wide.where("vec_id % 8 <> 7")
+    path, mark = io.scratch(spark, "pool"), io.scratch(spark, "mark")
+    pools.capture(_arriving(live, "vec_id", 2), "vec_id", "vec_id", path, mark, features=names).awaitTermination()
+    shift = pools.shift_by_moments(pools.newest_moments(spark, path), pools.moments(bench, names))
+    return rounded(shift.select("feature", "z").orderBy(F.desc("z"), "feature").limit(12))
 
 
 @query
