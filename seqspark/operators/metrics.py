@@ -1,6 +1,7 @@
 """Exact ranking metrics over (label, score), by any grouping.
 
-Everything first sums to one row a distinct score, so ties are exact and what is windowed is no longer than the distinct scores.
+Scores first sum to one row a distinct score, so ties are exact; what stands before a score comes from running sums over ranges
+(``prefix.running_by_value``), so one very large group is no single task. Thresholds and rank correlations are read off the same counts.
 """
 
 from __future__ import annotations
@@ -8,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqspark.operators.prefix import running_by_value
+
 
 def score_steps(scores: DataFrame, by: list[str]) -> DataFrame:
     """A row a distinct score: pos, neg, and cumulative tp, fp from the highest score down; p, n are the totals."""
     steps = scores.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    return steps.withColumn("p", F.sum("pos").over(group)).withColumn("n", F.sum("neg").over(group))
+    return running_by_value(steps, by, "score", {"tp": "pos", "fp": "neg"}, {"p": "pos", "n": "neg"}, descending=True, of=scores)
 
 
 def ranking_metrics(scores: DataFrame, by: list[str], max_fpr: float = 0.05) -> DataFrame:
@@ -45,21 +45,27 @@ def reward(ap: Column, recall: Column, fpr: Column, weights: tuple[float, float,
     return weights[0] * ap + weights[1] * recall + weights[2] * safety
 
 
+def _negative_steps(scores: DataFrame, by: list[str]) -> DataFrame:
+    """by, score, upto (negatives at or below the score), n (negatives) over the distinct scores."""
+    negative = F.when((F.col("label") == 0) & F.col("score").isNotNull(), 1).otherwise(0)
+    steps = scores.groupBy(*by, "score").agg(F.sum(negative).alias("neg"))
+    return running_by_value(steps, by, "score", {"upto": "neg"}, {"n": "neg"}, of=scores)
+
+
 def order_threshold(scores: DataFrame, by: list[str], max_fpr: float = 0.05) -> DataFrame:
     """by, threshold: just above the ceil(n (1 - max_fpr))-th negative; 0.5 without negatives."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    negatives = scores.where("label = 0").withColumn("place", F.row_number().over(group.orderBy("score"))).withColumn("n", F.count("*").over(group))
-    chosen = negatives.where(F.col("place") == F.least(F.col("n"), F.greatest(F.ceil(F.col("n") * (1 - max_fpr)), F.lit(1))))
-    chosen = chosen.select(*by, (F.col("score") + 1e-9).alias("threshold"))
-    groups = scores.select(*by).distinct() if by else scores.select(F.lit(1).alias("_one")).limit(1)
-    out = groups.join(chosen, by, "left") if by else groups.join(chosen, how="left").drop("_one")
-    return out.withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    place = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") * (1 - max_fpr)), F.lit(1)))
+    chosen = F.min(F.when((F.col("n") > 0) & (F.col("upto") >= place), F.col("score"))) + 1e-9
+    return _negative_steps(scores, by).groupBy(*by).agg(F.coalesce(chosen, F.lit(0.5)).alias("threshold"))
 
 
 def quantile_threshold(scores: DataFrame, by: list[str], max_fpr: float = 0.05) -> DataFrame:
     """by, threshold: the interpolated quantile of the negatives; 0.5 without negatives."""
-    quantile = F.percentile(F.when(F.col("label") == 0, F.col("score")), 1 - max_fpr)
-    return scores.groupBy(*by).agg(F.coalesce(quantile, F.lit(0.5)).alias("threshold"))
+    at = (F.col("n") - 1) * (1 - max_fpr)
+    some = F.col("n") > 0
+    low, high = (F.min(F.when(some & (F.col("upto") > edge), F.col("score"))) for edge in (F.floor(at), F.ceil(at)))
+    both = _negative_steps(scores, by).groupBy(*by).agg(low.alias("_low"), high.alias("_high"), F.max(at - F.floor(at)).alias("_part"))
+    return both.select(*by, F.coalesce(F.col("_low") * (1 - F.col("_part")) + F.col("_high") * F.col("_part"), F.lit(0.5)).alias("threshold"))
 
 
 def release_report(scores: DataFrame, min_rows: int = 20) -> DataFrame:
@@ -94,16 +100,21 @@ def steady_features(shift: DataFrame, max_z: float = 5.0) -> DataFrame:
 
 
 def rank_correlations(rows: DataFrame, min_rows: int = 8) -> DataFrame:
-    """feature, release, rho: Spearman's correlation of value and label by average ranks; constant features have none."""
-    group = Window.partitionBy("feature", "release")
-
-    def average_rank(c: str) -> Column:
-        ties = Window.partitionBy("feature", "release", c)
-        return F.rank().over(group.orderBy(c)) + (F.count("*").over(ties) - 1) / 2
-
-    ranked = rows.withColumn("rx", average_rank("value")).withColumn("ry", average_rank("label"))
-    out = ranked.groupBy("feature", "release").agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"), F.stddev_pop("rx").alias("sx"), F.corr("rx", "ry").alias("rho"))
-    return out.where((F.col("n") >= min_rows) & (F.col("classes") >= 2) & (F.col("sx") > 0)).select("feature", "release", "rho")
+    """feature, release, rho: Spearman's correlation of value and label (0 or 1) by average ranks; constant features have none.
+
+    One row a distinct value: its mid-rank is what stands before it and half of itself, and the labels have two ranks, told by their counts."""
+    keys = ["feature", "release"]
+    values = rows.groupBy(*keys, "value").agg(F.count("*").alias("k"), F.sum(F.col("label").cast("long")).alias("k1"))
+    values = running_by_value(values, keys, "value", {"upto": "k"}, {"n": "k", "n1": "k1"}, of=rows)
+    n, n1 = F.col("n"), F.col("n1")
+    x = F.col("upto") - (F.col("k") - 1) / 2 - (n + 1) / 2
+    low, high = -n1 / 2, (n - n1) / 2  # the labels' ranks less the mean rank
+    agreed = F.sum(x * ((F.col("k") - F.col("k1")) * low + F.col("k1") * high))
+    spread = F.sum(F.col("k") * x * x)
+    out = values.groupBy(*keys).agg(F.max("n").alias("n"), F.max("n1").alias("n1"), agreed.alias("sxy"), spread.alias("sxx"))
+    syy = (n - n1) * low * low + n1 * high * high
+    out = out.where((n >= min_rows) & (n1 > 0) & (n1 < n) & (F.col("sxx") > 0))
+    return out.select(*keys, (F.col("sxy") / F.sqrt(F.col("sxx") * syy)).alias("rho"))
 
 
 def steady_signs(correlations: DataFrame, min_releases: int = 4, min_rho: float = 0.04, agree: float = 0.70) -> DataFrame:
