@@ -3,9 +3,10 @@
 The network is small (``HIDDEN`` units a direction), is trained in numpy by backpropagation through time, and gives every
 byte of a text a distribution over the languages. A document's probabilities are the mean over its bytes.
 
-Training uses at most ``per_language`` documents of each language (those of lowest hash of doc_id) and at most ``max_rows`` in all, shared
-evenly by the languages, and one stretch of ``train_bytes`` bytes of each; those stretches are all that reaches the driver. Every language is
-learned; more than ``max_rows`` of them are an error. Every document is then labelled whole, in stretches of ``STEPS`` bytes, thousands of them
+Training uses at most ``per_language`` different documents of each language (those of lowest hash of id and text; repeated rows count once) and at
+most ``max_rows`` in all, shared evenly by the languages, and one stretch of ``train_bytes`` bytes of each; those stretches are all that reaches
+the driver. Every language that has a text is learned; more than ``max_rows`` of them are an error. A character with a byte that no training
+stretch has says nothing: all languages are equally likely there. Every document is then labelled whole, in stretches of ``STEPS`` bytes, thousands of them
 side by side; either network starts ``WARM`` bytes before its stretch (or at the text's end), so it has read what stands there.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row every text is ``und``; repeated rows get
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm import textnp
@@ -87,6 +88,7 @@ class ByteTagger:
         random = np.random.default_rng(seed)
         small = lambda *shape: random.normal(0, 0.3, shape).astype(np.float32)
         self.languages = languages
+        self.seen = np.ones(256, bool)
         self.params = [small(256, 3 * hidden), small(3 * hidden, hidden), np.zeros(hidden, np.float32)]
         self.params += [small(256, 3 * hidden), small(3 * hidden, hidden), np.zeros(hidden, np.float32)]
         self.params += [small(len(languages), 2 * hidden), np.zeros(len(languages), np.float32)]
@@ -111,6 +113,7 @@ class ByteTagger:
     def fit(self, stretches: np.ndarray, labels: np.ndarray, updates: int = 400, batch: int = 128, steps: int = 48, rate: float = 0.02, seed: int = 4) -> ByteTagger:
         """stretches: [rows, bytes], filled with 0. Adam on the mean cross entropy of all positions."""
         random = np.random.default_rng(seed)
+        self.seen = np.bincount(stretches.reshape(-1), minlength=256) > 0
         m, s = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
         h = self.params[2].size
         length = (stretches > 0).sum(axis=1)
@@ -135,6 +138,11 @@ class ByteTagger:
                 p -= (rate * (1 - update / (updates + 1)) * (a / (1 - 0.9**update)) / (np.sqrt(b / (1 - 0.99**update)) + 1e-8)).astype(np.float32)
         return self
 
+    def strange(self, data: np.ndarray) -> np.ndarray:
+        """The bytes of characters with a byte that was not in training."""
+        character = np.cumsum((data & 0xC0) != 0x80)
+        return np.isin(character, character[~self.seen[data]])
+
     def label(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text of a slice: (sums [texts, languages] of the probabilities of its bytes, how many of its bytes are labelled as
         each language)."""
@@ -149,37 +157,44 @@ class ByteTagger:
         low, high = np.maximum(offsets[owner], start - WARM), np.minimum(offsets[owner + 1], end + WARM)
         order = np.argsort(high - low, kind="stable")
         padded = np.concatenate([data, np.zeros(STEPS + 2 * WARM, np.uint8)])
+        strange = np.concatenate([self.strange(data), np.zeros(STEPS + 2 * WARM, bool)])
         for at in range(0, len(owner), _WIDE):
             rows = order[at : at + _WIDE]
             t = np.arange(int((high - low)[rows].max()))[:, None]
             byte = np.where(t < high[rows] - low[rows], padded[low[rows] + t], 0)
             p = self.probabilities(self.states(byte, high[rows] - low[rows]))
             live = (t >= start[rows] - low[rows]) & (t < end[rows] - low[rows])
+            known = ~strange[low[rows] + t]
+            p = np.where(known[:, None, :], p, np.float32(1 / c)) if not known.all() else p
             best = p.argmax(axis=1)
             p *= live[:, None, :]
             np.add.at(sums, owner[rows], p.sum(axis=0).T)
             for k in range(c):
-                np.add.at(votes[:, k], owner[rows], ((best == k) & live).sum(axis=0))
+                np.add.at(votes[:, k], owner[rows], ((best == k) & live & known).sum(axis=0))
         return sums, votes
 
 
 def training_stretches(docs: DataFrame, per_language: int, max_rows: int, train_bytes: int) -> tuple[list[str], list[tuple[str, bytes]]]:
     """(languages, rows of (language, bytes)) of documents that are not held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows + 1).collect()
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("row").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows + 1).collect()
     if len(counts) > max_rows:
         raise ValueError(f"more than {max_rows} languages: set max_rows")
     if not counts:
         return [], []
     each = min(per_language, max_rows // len(counts))
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.2 * each / r["n"])) for r in counts], "lang string, rate double")
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
-    at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - train_bytes, F.lit(1))) + 1
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * each + 30) / max(1, r["n"]))) for r in counts], "lang string, rate double")
+    draw = F.pmod(F.col("row"), F.lit(1_000_003)) / 1_000_003
+    at = F.pmod(F.xxhash64(F.col("row"), F.lit(1)), F.greatest(F.length("text") - train_bytes, F.lit(1))) + 1
     stretch = F.substring(F.col("text").substr(at.cast("int"), F.lit(train_bytes)).cast("binary"), 1, train_bytes)
-    known = known.select("doc_id", "lang", "text", draw.alias("draw")).join(F.broadcast(rates), "lang").where("draw < rate")
-    known = known.select("doc_id", "lang", stretch.alias("stretch"), "draw")
-    found = known.orderBy("draw", "doc_id", "lang", "stretch").limit(2 * each * len(counts)).collect()
-    return [r["lang"] for r in sorted(counts, key=lambda r: r["lang"])], [(r["lang"], bytes(r["stretch"])) for r in found if len(r["stretch"]) > 0]
+    drawn = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "row", stretch.alias("stretch")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("row", F.lit(1_000_003)), "row", "stretch"))
+    found = drawn.withColumn("place", place).where(F.col("place") <= each).orderBy("lang", "place").collect()
+    names = sorted(r["lang"] for r in counts)
+    if lacking := set(names) - {r["lang"] for r in found}:
+        raise ValueError(f"no training text of {sorted(lacking)[:10]}")
+    return names, [(r["lang"], bytes(r["stretch"])) for r in found]
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, train_bytes: int = TRAIN_BYTES) -> ByteTagger | None:

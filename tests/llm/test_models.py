@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -90,11 +92,15 @@ def test_languages_of_the_query_against_a_plain_network(spark, monkeypatch):
 
     for row in docs.collect():
         data, total = row["text"].encode(), np.zeros(len(model.languages))
+        strange = [not model.seen[list(c.encode())].all() for c in row["text"] for _ in c.encode()]
         for start in range(0, len(data), langid.STEPS):
             end = min(start + langid.STEPS, len(data))
             low, high = max(0, start - langid.WARM), min(len(data), end + langid.WARM)
             ahead, back = run(*model.params[:3], data[low:high]), run(*model.params[3:6], data[low:high][::-1])[::-1]
             for i in range(start - low, end - low):
+                if strange[i + low]:
+                    total += 1 / len(total)
+                    continue
                 odds = model.params[6] @ np.concatenate([ahead[i], back[i]]) + model.params[7]
                 total += np.exp(odds - odds.max()) / np.exp(odds - odds.max()).sum()
         lettered = any(c.isalpha() for c in row["text"])
@@ -106,6 +112,24 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame([(i, f"text {i % 90} of language {i % 90}", f"l{i % 90:02}") for i in range(900)], "doc_id long, text string, lang string")
     names, rows = langid.training_stretches(docs, 300, 20_000, 64)
     assert len(names) == 90 == len({lang for lang, _ in rows})
-    assert len(langid.training_stretches(docs, 300, 180, 64)[1]) <= 2 * 180
+    assert len(langid.training_stretches(docs, 300, 180, 64)[1]) <= 180
     with pytest.raises(ValueError):
         langid.training_stretches(docs, 300, 50, 64)
+
+
+def test_repeated_rows_push_no_language_out(spark):
+    learned = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(learned, f"one document of many copies {i % 2}", "aa") for i in range(5000)] + [(100 + i, f"autre texte {i}", "bb") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, found = langid.training_stretches(docs, 300, 20_000, 64)
+    held = sum(zlib.crc32(str(100 + i).encode()) % 4 == 2 for i in range(40))
+    assert names == ["aa", "bb"] and sorted(lang for lang, _ in found) == ["aa"] * 2 + ["bb"] * (40 - held)
+
+
+def test_unknown_script_says_little(spark):
+    rows = [(i, t * 9, lang) for i in range(200) for t, lang in (("the cat and the dog ", "en"), ("der hund und die katze ", "de"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    asked = spark.createDataFrame([(1, "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440"), (2, "the cat and the dog")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.languages(asked, model).collect()}
+    assert got[1]["score"] < 0.6 and got[2]["score"] > 0.9
