@@ -157,7 +157,8 @@ def manifest(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     # the tree's name sorts as the source does, null first; equal rows are told apart by a seeded draw, which only deals them out
     tree = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     rows = leaves.select(tree.alias("tree"), F.col("doc_id").alias("_id"), F.col("leaf").alias("digest"), kept.alias("row"), F.rand(7).alias("_draw"))
-    nodes = cut(_numbered(rows, [F.col("_id"), F.col("digest"), F.col("row"), F.col("_draw")]).select("tree", "place", "n", "digest", "row"))
+    # written before it is dealt out by ranges, for which rows are read twice: the texts are hashed once
+    nodes = cut(_numbered(cut(rows), [F.col("_id"), F.col("digest"), F.col("row"), F.col("_draw")]).select("tree", "place", "n", "digest", "row"))
     lower = cut(exchanged(_block_roots(nodes, height)))
     roots = lower.where("block = 0").select(F.lit("").alias("tree"), F.col("subroot").alias("digest"), F.col("tree").alias("row"))
     sources = cut(_numbered(roots, [F.col("row")]))
