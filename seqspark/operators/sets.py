@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,8 +59,7 @@ def with_resampled(native: DataFrame, drawn: DataFrame) -> DataFrame:
 
 def hand_dropout(hands: DataFrame, rate: float = 0.25, least: int = 5, seed: int = 11) -> DataFrame:
     """Each hand is left out with a chance of ``rate``; a group that would keep fewer than ``least`` keeps all."""
-    draw = F.conv(F.substring(shuffled(seed, "group_id", "hand_id"), 1, 8), 16, 10).cast("double") / 2**32
-    rows = hands.withColumn("_stays", draw >= rate)
+    rows = hands.withColumn("_stays", drawn(seed, "group_id", "hand_id") >= rate)
     left = F.sum(F.col("_stays").cast("int")).over(Window.partitionBy("group_id"))
     return rows.withColumn("_left", left).where(F.col("_stays") | (F.col("_left") < least)).drop("_stays", "_left")
 
@@ -84,8 +84,24 @@ def weight_grid(spark: SparkSession, ranges: dict[str, tuple[int, int]], prior:
     return first.unionByName(grid)
 
 
-def bootstrap(rows: DataFrame, seed: int) -> DataFrame:
-    return rows.sample(withReplacement=True, fraction=1.0, seed=seed)
+def drawn(seed: int, *keys: str) -> Column:
+    """A number from 0 to 1 that the seed and the row's keys decide, whatever partition the row is in."""
+    return F.conv(F.substring(shuffled(seed, *keys), 1, 8), 16, 10).cast("double") / 2**32
+
+
+def poisson(draw: Column) -> Column:
+    """How often a row is drawn in a bootstrap: the Poisson count, of mean 1, at a number from 0 to 1 (12 at most, beyond which lie 6e-11)."""
+    upto, below = F.lit(0), 0.0
+    for k in range(12):
+        below += math.exp(-1) / math.factorial(k)
+        upto = upto + (draw >= below).cast("int")
+    return upto
+
+
+def bootstrap(rows: DataFrame, seed: int, keys: Sequence[str] = ("group_id",)) -> DataFrame:
+    """The rows that a bootstrap draws, once each, with ``weight``: how often. Rows of equal keys are drawn together, and another partitioning
+    draws the same."""
+    return rows.withColumn("weight", poisson(drawn(seed, *keys)).cast("double")).where("weight > 0")
 
 
 def subspace(columns: Sequence[str], share: float, seed: int) -> list[str]:

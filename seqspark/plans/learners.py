@@ -6,11 +6,12 @@ releases and candidates, whose number does not grow with the rows.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Matrices
@@ -56,8 +57,11 @@ REGISTRY: dict[str, tuple[Callable, bool, int | None]] = {
 
 
 def fit(name: str, train: DataFrame, columns: Sequence[str], seed: int = 1) -> PipelineModel:
+    """A fitted learner of the registry. Where train has a column ``weight``, rows count by it."""
     make, scaled, components = REGISTRY[name]
     estimator = make(seed, len(columns)).setLabelCol("label").setFeaturesCol("features")
+    if "weight" in train.columns:
+        estimator = estimator.setWeightCol("weight")
     return Pipeline(stages=[*feature_stages(columns, scaled, components), estimator]).fit(train)
 
 
@@ -140,8 +144,8 @@ def stacked(members: Mapping[str, Callable[[DataFrame], Scorer]], k: int = 3, to
     return fitted
 
 
-def signed_committee(columns: Sequence[str], signs: Mapping[str, int], seeds: Sequence[int] = (1, 2, 3), to: str = "score") -> Callable[[DataFrame], Scorer]:
-    """Logistic regressions on samples of the rows whose coefficients keep each feature's sign (0: left out), averaged."""
+def signed_committee(columns: Sequence[str], signs: Mapping[str, int], seeds: Sequence[int] = (1, 2, 3), to: str = "score", keys: Sequence[str] = ("group_id",)) -> Callable[[DataFrame], Scorer]:
+    """Logistic regressions on samples of the rows, drawn by their keys, whose coefficients keep each feature's sign (0: left out), averaged."""
     used = [c for c in columns if signs.get(c, 0)]
 
     def fitted(train: DataFrame) -> Scorer:
@@ -150,7 +154,7 @@ def signed_committee(columns: Sequence[str], signs: Mapping[str, int], seeds: Se
         models = []
         for seed in seeds:
             regression = LogisticRegression(labelCol="label", maxIter=100, lowerBoundsOnCoefficients=low, upperBoundsOnCoefficients=high)
-            models.append(Pipeline(stages=[*feature_stages(used), regression]).fit(train.sample(fraction=0.8, seed=seed)))
+            models.append(Pipeline(stages=[*feature_stages(used), regression]).fit(train.where(sets.drawn(seed, *keys) < 0.8)))
 
         def score(rows: DataFrame) -> DataFrame:
             for i, m in enumerate(models):
@@ -163,11 +167,54 @@ def signed_committee(columns: Sequence[str], signs: Mapping[str, int], seeds: Se
     return fitted
 
 
-def subspace_ensemble(columns: Sequence[str], n: int = 6, share: float = 0.5, seed: int = 7, to: str = "score") -> Callable[[DataFrame], Scorer]:
-    """Forests and boosted trees by turns, each on a bootstrap of the rows and a share of the features, averaged."""
+def random_cuts(train: DataFrame, columns: Sequence[str], cuts: int, seed: int) -> dict[str, list[float]]:
+    """For each feature some cut points, drawn between its least and its greatest value by the seed and the name."""
+    ends = train.agg(*[f(c).alias(f"{c}_{k}") for c in columns for k, f in (("low", F.min), ("high", F.max))]).first()
+    out = {}
+    for c in columns:
+        low, high = ends[f"{c}_low"], ends[f"{c}_high"]
+        draw = random.Random(f"{seed}:{c}")
+        out[c] = sorted(draw.uniform(low, high) for _ in range(cuts)) if low is not None and low < high else []
+    return out
+
+
+def random_cut_trees(columns: Sequence[str], trees: int = 8, cuts: int = 5, depth: int = 6, seed: int = 1, to: str = "score") -> Callable[[DataFrame], Scorer]:
+    """Trees that may cut a feature only at points drawn for that tree, averaged. Each is fitted on all rows (by weight, where there is a column
+    weight) and on the features' places among their cut points; a missing value lies below all."""
+
+    def placed(rows: DataFrame, points: Mapping[str, list[float]]) -> DataFrame:
+        place = {c: sum((F.coalesce((F.col(c) > p).cast("double"), F.lit(0.0)) for p in edges), F.lit(0.0)) for c, edges in points.items()}
+        return rows.withColumns({f"_p_{c}": x for c, x in place.items()})
+
+    def fitted(train: DataFrame) -> Scorer:
+        fits = []
+        for t in range(trees):
+            points = random_cuts(train, columns, cuts, seed * 1000 + t)
+            tree = DecisionTreeClassifier(labelCol="label", featuresCol="_cut", maxDepth=depth, maxBins=max(cuts + 1, 8), seed=seed)
+            tree = tree.setWeightCol("weight") if "weight" in train.columns else tree
+            stages = [VectorAssembler(inputCols=[f"_p_{c}" for c in columns], outputCol="_cut"), tree]
+            fits.append((points, Pipeline(stages=stages).fit(placed(train, points))))
+
+        def score(rows: DataFrame) -> DataFrame:
+            for t, (points, model) in enumerate(fits):
+                rows = scored(model, placed(rows, points), f"_t{t}").drop(*[f"_p_{c}" for c in columns])
+            names = [f"_t{t}" for t in range(trees)]
+            return rows.withColumn(to, scores.soft_vote(dict.fromkeys(names, 1.0))).drop(*names)
+
+        return score
+
+    return fitted
+
+
+def subspace_ensemble(columns: Sequence[str], n: int = 6, share: float = 0.5, seed: int = 7, to: str = "score", keys: Sequence[str] = ("group_id",)) -> Callable[[DataFrame], Scorer]:
+    """Trees of random cuts and boosted trees by turns, each on a bootstrap of the rows, drawn by their keys, and a share of the features, averaged."""
 
     def fitted(train: DataFrame) -> Scorer:
-        fits = [learner(("extra_trees", "boosted")[i % 2], sets.subspace(columns, share, seed + i), seed + i, f"_e{i}")(sets.bootstrap(train, seed + i)) for i in range(n)]
+        fits = []
+        for i in range(n):
+            some = sets.subspace(columns, share, seed + i)
+            one = learner("boosted", some, seed + i, f"_e{i}") if i % 2 else random_cut_trees(some, 3, seed=seed + i, to=f"_e{i}")
+            fits.append(one(sets.bootstrap(train, seed + i, keys)))
 
         def score(rows: DataFrame) -> DataFrame:
             for f in fits:
@@ -265,6 +312,8 @@ def random_search(base: str, space: Mapping[str, Sequence], trials: int, rows: D
 
     make, scaled, components = REGISTRY[base]
     estimator = make(seed, len(columns)).setLabelCol("label").setFeaturesCol("features")
+    if "weight" in train.columns:
+        estimator = estimator.setWeightCol("weight")
     draw = random.Random(seed)
     maps = [{estimator.getParam(p): draw.choice(list(v)) for p, v in space.items()} for _ in range(trials)]
     folds = rows.join(F.broadcast(selection.grouped_folds(rows, k).select("release", "fold")), "release")

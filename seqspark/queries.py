@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqspark.functions import scalars as S
 from seqspark.operators import blends, groups, hands, metrics, redundancy, sanitise, scores, selection, sets
 from seqspark.oracles import ORACLES  # noqa: F401
-from seqspark.plans import learners
+from seqspark.plans import features, learners
 from seqspark.sources import io, views
 from seqspark.streaming import jobs, requests
 from seqspark.streaming import pool as pools
@@ -81,6 +81,21 @@ def group_vectors(spark, sf_dir):
     return rounded(groups.group_features(views.short(spark, sf_dir), with_compression=False))
 
 
+@query
+def asked_features(spark, sf_dir):
+    """SURVEY 2.14: two features of the registry and one of its user's, and nothing else aggregated."""
+    share = features.Feature("bet_share", "action", ("action_type",), lambda: F.avg(F.col("action_type").isin("bet", "raise").cast("double")))
+    return rounded(features.Registry().having(share).plan(views.short(spark, sf_dir), ["n_actions_mean", "bet_share", "hf_hand_count"]))
+
+
+@query
+def bootstrap_weights(spark, sf_dir):
+    """ST6: how often three bootstraps draw each order, whatever the partitions are."""
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey")
+    parts = [sets.bootstrap(orders, seed, ["o_orderkey"]).withColumn("seed", F.lit(seed).cast("long")) for seed in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def hand_tensor(spark, sf_dir):
     """SRC8, PRJ20: the first 40 hands of each group, standardised."""
