@@ -466,7 +466,7 @@ SELECT model, round(min(1 - hard_fpr), 6) AS safety, round(max(hard_fpr), 6) AS
     "streamed_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "captured_stream": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
     "asked_features": f"""WITH {SHORT}, {STEPS}, {HAND_TABLE}, a AS (SELECT group_id, avg((action_type IN ('bet', 'raise'))::INT) AS bet_share, count(DISTINCT hand_id)::DOUBLE AS hf_hand_count FROM actions GROUP BY 1)
-SELECT a.group_id, round(coalesce(n_actions_mean, 0), 6) AS n_actions_mean, round(bet_share, 6) AS bet_share, hf_hand_count FROM a LEFT JOIN (SELECT group_id, avg(n_actions) AS n_actions_mean FROM hand_table GROUP BY 1) USING (group_id)""",
+SELECT a.group_id, round(coalesce(mean_aggr_frac, 0), 6) AS mean_aggr_frac, round(bet_share, 6) AS bet_share, hf_hand_count FROM a LEFT JOIN (SELECT group_id, avg(aggr_frac) AS mean_aggr_frac FROM hand_table GROUP BY 1) USING (group_id)""",
     "bootstrap_weights": """WITH c AS (SELECT k, sum(exp(-1) / factorial(k::INT)) OVER (ORDER BY k) AS below FROM range(12) AS r(k)),
 d AS (SELECT o_orderkey, seed, ('0x' || substr(md5(seed || ':' || o_orderkey), 1, 8))::BIGINT / 4294967296 AS draw FROM orders, (SELECT unnest([1, 2, 3]) AS seed))
 SELECT o_orderkey, count(*)::DOUBLE AS weight, seed FROM d JOIN c ON draw >= below GROUP BY o_orderkey, seed""",

@@ -85,7 +85,7 @@ def group_vectors(spark, sf_dir):
 def asked_features(spark, sf_dir):
     """SURVEY 2.14: two features of the registry and one of its user's, and nothing else aggregated."""
     share = features.Feature("bet_share", "action", ("action_type",), lambda: F.avg(F.col("action_type").isin("bet", "raise").cast("double")))
-    return rounded(features.Registry().having(share).plan(views.short(spark, sf_dir), ["n_actions_mean", "bet_share", "hf_hand_count"]))
+    return rounded(features.Registry().having(share).plan(views.short(spark, sf_dir), ["mean_aggr_frac", "bet_share", "hf_hand_count"]))
 
 
 @query
