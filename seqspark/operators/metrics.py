@@ -20,7 +20,11 @@ def score_steps(scores: DataFrame, by: list[str]) -> DataFrame:
 
 def ranking_metrics(scores: DataFrame, by: list[str], max_fpr: float = 0.05) -> DataFrame:
     """by, n_rows, n_pos, auc, ap, recall_at_fpr; null where a class is missing."""
-    steps = score_steps(scores, by)
+    return metrics_of_steps(score_steps(scores, by), by, max_fpr)
+
+
+def metrics_of_steps(steps: DataFrame, by: list[str], max_fpr: float = 0.05) -> DataFrame:
+    """ranking_metrics of what ``score_steps`` makes."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.max("p") * F.max("n"))
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     reached = F.max(F.when(F.col("fp") <= max_fpr * F.col("n"), F.col("tp") / F.col("p")).otherwise(0.0))

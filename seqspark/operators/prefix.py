@@ -32,8 +32,8 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: M
     return placed.join(ranges, same).select(*rows.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *[F.col(f"_t_{n}").alias(n) for n in totals])
 
 
-def running_by_value(rows: DataFrame, by: Sequence[str], value: str, sums: Mapping[str, str], totals: Mapping[str, str] | None = None, descending: bool = False, of: DataFrame | None = None) -> DataFrame:
-    """As ``running`` in the order of a column of numbers that has no ties within a group, in one plan that writes nothing: ranges are cut at
+def running_by_value(rows: DataFrame, by: Sequence[str], value: str, sums: Mapping[str, str], totals: Mapping[str, str] | None = None, descending: bool = False, of: DataFrame | None = None, then: Sequence[Column] = ()) -> DataFrame:
+    """As ``running`` in the order of a column of numbers, in one plan that writes nothing; ``then`` orders what ties within a group. Ranges are cut at
     approximate quantiles of the column over all groups, so that none has many more rows than another. ``of`` are the rows that ``rows`` sum up, which are cheaper to take quantiles of. Nulls come first, or
     last in descending order."""
     totals = dict(totals or {})
@@ -47,7 +47,7 @@ def running_by_value(rows: DataFrame, by: Sequence[str], value: str, sums: Mappi
     before = group.orderBy(ordered("_range")).rowsBetween(Window.unboundedPreceding, -1)
     named = {c: f"_k{i}" for i, c in enumerate([*by, "_range"])}
     ranges = ranges.select(*[F.col(c).alias(k) for c, k in named.items()], *[F.coalesce(F.sum(f"_r_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums], *[F.sum(f"_r_{k}").over(group).alias(f"_t_{k}") for k in totals])
-    inside = Window.partitionBy(*by, "_range").orderBy(ordered(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*by, "_range").orderBy(ordered(value), *then).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows_in.withColumns({f"_i_{k}": F.sum(c).over(inside) for k, c in sums.items()})
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()])
     return placed.join(ranges, same).select(*rows.columns, *[(F.col(f"_i_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums], *[F.col(f"_t_{k}").alias(k) for k in totals])

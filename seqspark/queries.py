@@ -371,7 +371,7 @@ def weight_rewards(spark, sf_dir):
     """ST8, JN10, ML20: every candidate weight vector thresholded, served and rewarded by itself, and the one that is chosen."""
     grid = sets.weight_grid(spark, GRID, PRIOR)
     rewards = blends.rewarded(blends.candidate_scores(views.scored(spark, sf_dir), grid, list(views.PARTS)))
-    out = rounded(grid.join(rewards.select("candidate", "threshold", "reward"), "candidate"), 5)
+    out = io.written(rounded(grid.join(rewards.select("candidate", "threshold", "reward"), "candidate"), 5))
     pick = blends.chosen(out).select(F.col("candidate").alias("chosen"))
     out = out.crossJoin(F.broadcast(pick)).withColumn("is_chosen", F.col("candidate") == F.col("chosen")).drop("chosen")
     return out.withColumns({c: F.col(c).cast("long") for c in ("candidate", *GRID)})
