@@ -14,6 +14,9 @@ from seqspark.sources.io import written
 def candidate_scores(parts: DataFrame, grid: DataFrame, names: list[str]) -> DataFrame:
     """candidate, idx, label, score: the log-odds blend of the parts by each row of a small grid of weights."""
     logits = parts.select("idx", "label", *[S.logit(F.col(n)).alias(f"_z_{n}") for n in names])
+    cores = parts.sparkSession.sparkContext.defaultParallelism
+    if parts.rdd.getNumPartitions() < cores:  # every row becomes as many as the grid has: few splits would do all that work
+        logits = logits.repartition(cores, "idx")
     both = logits.crossJoin(F.broadcast(grid))
     total = sum((F.col(n) for n in names), F.lit(0))
     z = sum((F.col(n) * F.col(f"_z_{n}") for n in names), F.lit(0.0)) / total
