@@ -312,8 +312,6 @@ def random_search(base: str, space: Mapping[str, Sequence], trials: int, rows: D
 
     make, scaled, components = REGISTRY[base]
     estimator = make(seed, len(columns)).setLabelCol("label").setFeaturesCol("features")
-    if "weight" in train.columns:
-        estimator = estimator.setWeightCol("weight")
     draw = random.Random(seed)
     maps = [{estimator.getParam(p): draw.choice(list(v)) for p, v in space.items()} for _ in range(trials)]
     folds = rows.join(F.broadcast(selection.grouped_folds(rows, k).select("release", "fold")), "release")
