@@ -463,6 +463,21 @@ SELECT group_id, round(avg(vpip), 6) AS vpip_mean, round(avg(won), 6) AS win_rat
     "gate_figures": f"""WITH {SCORED}, models AS (UNPIVOT (SELECT idx, release::INT % 2 AS odd, label, stack, mono, mlp, drse FROM scored) ON stack, mono, mlp, drse INTO NAME model VALUE score),
 h AS {_hard('models', 'model, odd')}
 SELECT model, round(min(1 - hard_fpr), 6) AS safety, round(max(hard_fpr), 6) AS hard_fpr, round(min(hard_recall), 6) AS hard_recall, round(min(positive_rate), 6) AS positive_rate FROM h GROUP BY 1""",
+    "rank_gradients": f"""WITH {SCORED}, per AS (SELECT release, tied AS s, count(*)::DOUBLE AS k, sum(label)::DOUBLE AS pos FROM scored GROUP BY 1, 2),
+a AS (SELECT *, k - pos AS neg, coalesce(sum(k) OVER w, 0) AS k0, coalesce(sum(pos) OVER w, 0) AS m0 FROM per WINDOW w AS (PARTITION BY release ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, k0 + (k + 1) / 2 AS r FROM a),
+c AS (SELECT *, coalesce(sum(pos / r) OVER w, 0) AS c0, sum(pos) OVER (PARTITION BY release) AS p FROM b WINDOW w AS (PARTITION BY release ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT i.release, i.s AS si, j.s AS sj, i.pos, j.neg, 1 / (1 + exp(i.s - j.s)) AS q, 1 / i.p * abs(CASE
+    WHEN j.s > i.s THEN (j.m0 + j.pos / 2 + 1) / j.r - (i.m0 + (i.pos + 1) / 2) / i.r + (i.c0 + (i.pos - 1) / 2 / i.r) - (j.c0 + j.pos / 2 / j.r)
+    WHEN j.s < i.s THEN (i.m0 + (i.pos + 1) / 2) / i.r - (j.m0 + j.pos / 2) / j.r + (j.c0 + j.pos / 2 / j.r) - (i.c0 + (i.pos + 1) / 2 / i.r)
+    ELSE (i.m0 + i.pos / 3 + 1) / (i.k0 + (i.k + 1) / 3) - (i.m0 + 2 * i.pos / 3 + 1) / (i.k0 + 2 * (i.k + 1) / 3) + i.pos / 3 / i.r END) AS change
+  FROM c i JOIN c j ON i.release = j.release WHERE i.pos > 0 AND j.neg > 0),
+e AS (SELECT release, si AS score, 1 AS label, sum(neg * change * q) AS g, sum(neg * change * q * (1 - q)) AS h FROM d GROUP BY 1, 2
+  UNION ALL SELECT release, sj, 0, -sum(pos * change * q), sum(pos * change * q * (1 - q)) FROM d GROUP BY 1, 2)
+SELECT release, round(score, 6) AS score, label, {_rounded(['g', 'h'], 9)} FROM e""",
+    "monotone_scores": f"WITH {SCORED} SELECT release, count(*) AS n_rows, 0 AS n_lowered FROM scored GROUP BY 1",
+    "searched_rungs": """WITH d AS (SELECT ('0x' || substr(md5('3:' || vec_id), 1, 8))::BIGINT / 4294967296 AS x FROM embeddings)
+SELECT rung, n_trials, n_promoted, (SELECT count(*) FROM d WHERE x < share) AS n_rows FROM (VALUES (0, 50, 17, 1.0::DOUBLE / 9), (1, 17, 6, 1.0::DOUBLE / 3), (2, 6, 0, 1.0::DOUBLE)) AS r(rung, n_trials, n_promoted, share)""",
     "streamed_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "captured_stream": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
     "asked_features": f"""WITH {SHORT}, {STEPS}, {HAND_TABLE}, a AS (SELECT group_id, avg((action_type IN ('bet', 'raise'))::INT) AS bet_share, count(DISTINCT hand_id)::DOUBLE AS hf_hand_count FROM actions GROUP BY 1)

@@ -34,7 +34,7 @@ def rungs(trials: int, eta: int = 3, most: int = 3) -> list[tuple[int, float]]:
     counts = [trials]
     while len(counts) < most and counts[-1] > 1:
         counts.append(math.ceil(counts[-1] / eta))
-    return [(n, eta ** -(len(counts) - 1 - i)) for i, n in enumerate(counts)]
+    return [(n, float(eta) ** -(len(counts) - 1 - i)) for i, n in enumerate(counts)]
 
 
 def halved_search(

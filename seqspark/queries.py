@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqspark.functions import scalars as S
 from seqspark.operators import blends, groups, hands, metrics, redundancy, sanitise, scores, selection, sets
 from seqspark.oracles import ORACLES  # noqa: F401
-from seqspark.plans import features, learners
+from seqspark.plans import boosting, features, learners, search
 from seqspark.sources import io, views
 from seqspark.streaming import jobs, requests
 from seqspark.streaming import pool as pools
@@ -469,6 +469,42 @@ def ranked_pairs(spark, sf_dir):
     return learners.pairwise_ranker(columns)(rows)(rows).select("group_id", "release", "label", "score")
 
 
+@query
+def rank_gradients(spark, sf_dir):
+    """ML12: the gradients and curvatures by which a ranker moves rows within a release, at scores that tie."""
+    m = views.scored(spark, sf_dir).select("release", "label", F.col("tied").alias("margin"))
+    return rounded(boosting.rank_gradients(m).select("release", F.round("score", 6).alias("score"), "label", "g", "h"), 9)
+
+
+@query
+def lambda_scores(spark, sf_dir):
+    """ML12, AG2 (rows only): the ranker boosted on average precision within releases, fitted on the releases before the two that it scores."""
+    rows, columns = _vectors(spark, sf_dir)
+    score = boosting.lambda_ranker(columns)(selection.before_release(rows, "6"))
+    return score(rows.where("release >= '6'")).select("group_id", "release", "label", "score")
+
+
+@query
+def monotone_scores(spark, sf_dir):
+    """ML13, AG12: trees that keep the steady signs of the features. Of each release the rows, and those whose score falls (none may) when all features
+    move the way of their signs."""
+    rows, columns = _vectors(spark, sf_dir)
+    signs = metrics.steady_signs(metrics.rank_correlations(metrics.feature_long(rows.drop("group_id"), ["release", "label"], columns)))
+    known = {r["feature"]: r["sign"] for r in signs.collect()}
+    score = boosting.monotone_trees(columns, known, seeds=(1, 2), rounds=6)(rows)
+    moved = score(rows.withColumns({c: F.col(c) + 0.05 * s for c, s in known.items()})).select("group_id", F.col("score").alias("after"))
+    both = score(rows).select("group_id", "release", "score").join(moved, "group_id")
+    return both.groupBy("release").agg(F.count("*").alias("n_rows"), F.count_if(F.col("after") < F.col("score")).alias("n_lowered"))
+
+
+@query
+def searched_rungs(spark, sf_dir):
+    """ML22: fifty settings of a logistic regression by successive halving. Of each rung the settings, those that go on, and the rows that they are tried on."""
+    rows, columns = _vectors(spark, sf_dir)
+    found = search.halved_search("logistic", {"regParam": (1e-4, 10.0), "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [10, 20, 40]}, 50, rows, columns)
+    return found.groupBy("rung").agg(F.count("*").alias("n_trials"), F.count_if("promoted").alias("n_promoted"), F.max("n_rows").alias("n_rows"))
+
+
 @query
 def streamed_counts(spark, sf_dir):
     """SM1's machinery on events: a stream of the table, counted by hour and type with a watermark."""
