@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import scalars as S
 from seqspark.operators import redundancy
-from seqspark.operators.hands import ACTOR_FEATURES, HAND_FEATURES, KEYS, actor_features, actor_steps, doubles, hand_features, steps
+from seqspark.operators.hands import ACTOR_FEATURES, HAND_FEATURES, KEYS, actor_features, actor_steps, doubles, hand_features, prepared, steps
 from seqspark.sources.tables import Sequences
 
 _MIX = ("fold_rate", "call_rate", "check_rate", "raise_rate", "bet_rate")
@@ -156,7 +156,9 @@ def actor_group(seq: Sequences) -> DataFrame:
 
 
 def group_features(seq: Sequences, with_compression: bool = True) -> DataFrame:
-    """The whole vector: 176 statistics and 36 measures of the hero's play (0 where no hero is known), 214 of all actors, 7 of redundancy."""
+    """The whole vector: 176 statistics and 36 measures of the hero's play (0 where no hero is known), 214 of all actors, 7 of redundancy.
+    The steps are written once and read by every frame."""
+    seq = prepared(seq)
     hands = hand_features(seq)
     out = seq.hands.select("group_id").distinct()
     # the mean roundness is both a statistic and a measure; the latter's name is longer here, so that names differ

@@ -6,10 +6,13 @@ shuffle by (group_id, hand_id). Aggregates are SQL expressions by name, so they
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import scalars as S
+from seqspark.sources.io import written
 from seqspark.sources.tables import Sequences
 
 KEYS = ["group_id", "hand_id"]
@@ -103,6 +106,8 @@ def doubles(spec: dict[str, str]) -> list:
 def steps(seq: Sequences) -> DataFrame:
     """The actions with their hand's hero and unit, and what depends on the order: facing (the last action of another actor before the
     hero's, since the hero's last one, was a bet or raise), before (the hero's action before, on the same street)."""
+    if seq.stepped is not None:
+        return seq.stepped
     rows = seq.actions.join(seq.hands.select(*KEYS, "hero_seat", "bb"), KEYS)
     hero, aggr = F.coalesce(F.col("seat") == F.col("hero_seat"), F.lit(False)), F.col("action_type").isin("bet", "raise")
     rows = rows.withColumn("hero", hero).withColumn("street_ord", S.street_ordinal(F.col("street")))
@@ -132,6 +137,8 @@ def hand_features(seq: Sequences) -> DataFrame:
 
 def actor_steps(seq: Sequences) -> DataFrame:
     """The actions with counts of equal ones in their hand, runs, and amounts snapped to the grid."""
+    if seq.stepped is not None:
+        return seq.stepped
     rows = steps(seq)
     hand = Window.partitionBy(*KEYS)
     order = hand.orderBy("action_idx")
@@ -147,6 +154,13 @@ def actor_steps(seq: Sequences) -> DataFrame:
     return rows.withColumn("pot_before_bb", F.col("pot_before") / F.col("bb")).withColumn("pot_after_bb", F.col("pot_after") / F.col("bb"))
 
 
+def prepared(seq: Sequences) -> Sequences:
+    """seq with its steps as a written table: actions are shuffled by hand once, and what reads them afterwards shuffles a row a hand."""
+    hands = written(seq.hands)
+    stepped = written(actor_steps(replace(seq, hands=hands)))
+    return Sequences(stepped.select(*seq.actions.columns), hands, seq.players, stepped)
+
+
 def actor_features(seq: Sequences) -> DataFrame:
     """group_id, hand_id and 28 features of all actors, 0 for hands without actions."""
     found = actor_steps(seq).groupBy(*KEYS).agg(*doubles(ACTOR_AGGREGATES))

@@ -36,11 +36,13 @@ HAND = _struct(
 class Sequences:
     """actions: group_id, hand_id, action_idx, seat, action_type, street, amount, norm_bb, pot_before, pot_after, raise_to, call_to.
     hands: group_id, hand_id, hero_seat, bb, button_seat, n_players, hero_stack, won, total_pot, showdown, n_board_streets, street_shape.
-    players: group_id, hand_id, seat, player_uid, starting_stack."""
+    players: group_id, hand_id, seat, player_uid, starting_stack.
+    stepped: the actions with what depends on their order, where that is already there (``hands.prepared``)."""
 
     actions: DataFrame
     hands: DataFrame
     players: DataFrame
+    stepped: DataFrame | None = None
 
 
 def flatten_actions(groups: DataFrame) -> DataFrame:
