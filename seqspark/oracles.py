@@ -363,6 +363,8 @@ model_metrics AS (
 
 ORACLES = {
     "hand_features": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, hand_id, {_rounded(HAND_COLUMNS, 9)} FROM hand_table",
+    "loaded_hands": f"""WITH {HOURLY}, {STEPS}, {HAND_TABLE}
+SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY hand_id) - 1 AS hand_id, {_rounded(HAND_COLUMNS, 9)} FROM hand_table""",
     "actor_features": f"WITH {HOURLY}, {STEPS}, {ACTORS} SELECT group_id, hand_id, {_rounded(ACTOR_COLUMNS, 9)} FROM actor_table",
     "hand_statistics": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {_statistics(STATS, HAND_COLUMNS, digits=9)} FROM hand_table GROUP BY 1",
     "group_consistency": f"WITH {HOURLY}, {STEPS}, {HAND_TABLE} SELECT group_id, {CONSISTENCY} FROM hand_table GROUP BY 1",

@@ -7,8 +7,9 @@ releases and candidates, whose number does not grow with the rows.
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import scalars as S
 from seqspark.operators import metrics, scores, selection, sets
+from seqspark.sources.io import written
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -73,10 +75,10 @@ def scored(model: PipelineModel, rows: DataFrame, to: str = "score") -> DataFram
     return out.select(*[c for c in keep if c != to], p.alias(to))
 
 
-def out_of_fold(fit_one: Callable[[DataFrame], Scorer], rows: DataFrame, k: int = 3, to: str = "score") -> DataFrame:
-    """rows with the score of a model that has not seen their release."""
+def out_of_fold(fit_one: Callable[[DataFrame], Scorer], rows: DataFrame, k: int = 3) -> DataFrame:
+    """rows with what a model that has not seen their release adds to them. The rows are written with their folds once, and nothing stays cached."""
     folds = selection.grouped_folds(rows, k).select("release", "fold")
-    rows = rows.join(F.broadcast(folds), "release").persist()
+    rows = written(rows.join(F.broadcast(folds), "release"))
     parts = []
     for i in range(k):
         held = rows.where(F.col("fold") == i)
@@ -128,18 +130,21 @@ def stacked(members: Mapping[str, Callable[[DataFrame], Scorer]], k: int = 3, to
     names = list(members)
 
     def fitted(train: DataFrame) -> Scorer:
-        oof = train
-        for n, f in members.items():
-            oof = out_of_fold(f, oof, k, n)
+        oof = out_of_fold(together(members.values()), train, k)
         meta = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol="label", regParam=0.01)]).fit(oof)
-        whole = {n: f(train) for n, f in members.items()}
+        whole = together(members.values())(train)
+        return lambda rows: scored(meta, whole(rows), to).drop(*names)
 
-        def score(rows: DataFrame) -> DataFrame:
-            for f in whole.values():
-                rows = f(rows)
-            return scored(meta, rows, to).drop(*names)
+    return fitted
 
-        return score
+
+def together(members: Iterable[Callable[[DataFrame], Scorer]]) -> Callable[[DataFrame], Scorer]:
+    """Members that are fitted on the same rows and each add a column."""
+    members = list(members)
+
+    def fitted(train: DataFrame) -> Scorer:
+        fits = [f(train) for f in members]
+        return lambda rows: reduce(lambda out, f: f(out), fits, rows)
 
     return fitted
 
@@ -273,8 +278,11 @@ class FoldReport:
 
 def walk_forward(fit_one: Callable[[DataFrame], Scorer], rows: DataFrame, latest: int = 3, min_train: int = 60, max_fpr: float = 0.05) -> FoldReport:
     """For each of the latest releases: fit on the releases before, take the threshold from the training rows' scores, serve the release as
-    one batch."""
-    rows = rows.persist()
+    one batch. The rows are written once, and nothing stays cached."""
+    return _walked(fit_one, written(rows), latest, min_train, max_fpr)
+
+
+def _walked(fit_one: Callable[[DataFrame], Scorer], rows: DataFrame, latest: int = 3, min_train: int = 60, max_fpr: float = 0.05) -> FoldReport:
     eligible = {r["release"] for r in selection.eligible_folds(rows, min_train).collect()}
     served, thresholds = None, {}
     for release in sorted(r["release"] for r in selection.latest_releases(rows, latest).collect()):
@@ -294,10 +302,10 @@ def walk_forward(fit_one: Callable[[DataFrame], Scorer], rows: DataFrame, latest
 
 def compare(candidates: Mapping[str, Callable[[DataFrame], Scorer]], rows: DataFrame, **settings) -> DataFrame:
     """candidate and the walk-forward summary of each, best mean reward first. The rows are featurised once for all."""
-    rows = rows.persist()
+    rows = written(rows)
     out = None
     for name, fit_one in candidates.items():
-        one = metrics.report_summary(walk_forward(fit_one, rows, **settings).report).withColumn("candidate", F.lit(name))
+        one = metrics.report_summary(_walked(fit_one, rows, **settings).report).withColumn("candidate", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.desc("mean_reward"), "candidate")
 
@@ -328,16 +336,16 @@ def deployed(fit_one: Callable[[DataFrame], Scorer], rows: DataFrame, k: int = 3
     return fit_one(rows), float(threshold)
 
 
-def four_parts(columns: Sequence[str], signs: Mapping[str, int], k: int = 3) -> dict[str, Callable[[DataFrame], Scorer]]:
+def four_parts(columns: Sequence[str], signs: Mapping[str, int], k: int = 3, members: int = 6) -> dict[str, Callable[[DataFrame], Scorer]]:
     """The four components, each on its view of the features: a stack and the signed committee on the hero's, a perceptron on all, the subspace
-    ensemble on those of all actors. Each adds a column of its name."""
+    ensemble of so many members on those of all actors. Each adds a column of its name."""
     view = selection.feature_views(list(columns))
     ph = view["PH"] or view["UN"]
     return {
         "stack": stacked({"_s_logistic": learner("logistic", ph, to="_s_logistic"), "_s_forest": learner("forest", ph, to="_s_forest")}, k, "stack"),
         "mono": signed_committee(ph, signs, to="mono"),
         "mlp": learner("mlp_pca", view["UN"], to="mlp"),
-        "drse": subspace_ensemble(view["V2"] or view["UN"], to="drse"),
+        "drse": subspace_ensemble(view["V2"] or view["UN"], members, to="drse"),
     }
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from seqspark.functions import scalars as S
 from seqspark.operators import blends, groups, hands, metrics, redundancy, sanitise, scores, selection, sets
 from seqspark.oracles import ORACLES  # noqa: F401
-from seqspark.plans import boosting, features, learners, search
-from seqspark.sources import io, views
+from seqspark.plans import boosting, features, learners, release, search
+from seqspark.sources import io, tables, views
 from seqspark.streaming import jobs, requests
 from seqspark.streaming import pool as pools
 
@@ -693,3 +693,44 @@ def four_part_scores(spark, sf_dir):
     for fit_one in parts.values():
         out = fit_one(rows)(out)
     return learners.served_by(out, "log_odds", PRIOR).select("group_id", "release", "label", "score")
+
+
+def _released(spark, sf_dir, seq, releases: int) -> DataFrame:
+    """Groups nested, written as releases and read again. A group's label says that at least two fifths of its actions are bets or raises."""
+    active = F.avg(F.col("action_type").isin("bet", "raise").cast("double")) >= 0.4
+    facts = seq.actions.groupBy("group_id").agg(active.cast("int").alias("label")).withColumn("split", F.lit("train"))
+    facts = facts.withColumn("release", F.pmod(F.crc32(F.col("group_id").cast("string")), F.lit(releases)).cast("string"))
+    path = io.scratch(spark, "releases")
+    io.write_releases(tables.nested(seq).join(facts, "group_id"), path)
+    return io.read_releases(spark, path, lines=True)
+
+
+@query
+def loaded_hands(spark, sf_dir):
+    """SRC2, SRC6, JN2, JN3 by the loader itself: nested releases are written, read, taken apart, and give the hero's features; hands are known by their places."""
+    loaded = _released(spark, sf_dir, views.hourly(spark, sf_dir), 3)
+    return rounded(hands.hand_features(tables.sequences_of(loaded)).withColumn("hand_id", F.col("hand_id").cast("long")), 9)
+
+
+#: What the release gate's candidates see: the hero's measures, and those of all actors.
+GATE_FEATURES = (
+    "mean_aggr_frac", "mean_fold_rate", "mean_call_rate", "aggr_consistency", "action_entropy",
+    "hf_mean_aggr_share", "hf_mean_raise_share", "hf_mean_check_share", "hf_std_aggr_share", "hf_mean_action_entropy",
+)
+
+
+@query
+def release_gate(spark, sf_dir):
+    """SRC2 to PG4 in one run (AG10, FLT4, JN9, ML1, ML3, ML18, ML27, PG1, PG2, PRJ17): release files, vectors, the four components on their own views against a logistic
+    regression, the gate, and the history read again. Of the candidate the groups walked and out of fold, and whether its figures are shares."""
+    groups_ = _released(spark, sf_dir, views.short(spark, sf_dir, 20), 4)
+    rows = release.labelled_features(groups_, GATE_FEATURES)
+    candidates = {"single": learners.learner("logistic", GATE_FEATURES), "parts": release.blended_parts(GATE_FEATURES, PRIOR)}
+    figures = release.judged(candidates, rows, latest=1, min_train=10)
+    path = io.scratch(spark, "history")
+    release.promoted(figures, "single", path, "2026-01-01 00:00:00", forced=("parts",))
+    held = spark.read.parquet(path).select("model", "accepted", F.date_format("decided_at", "yyyy-MM-dd").alias("day"))
+    share = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    sound = share("hard_fpr") & share("hard_recall") & share("positive_rate") & share("safety") & share("reward")
+    figures = figures.select("model", F.col("wf_n_rows").alias("n_walked"), F.col("oof_n_rows").alias("n_oof"), sound.alias("sound"))
+    return held.join(figures, "model").select("model", "day", "accepted", "n_walked", "n_oof", "sound")

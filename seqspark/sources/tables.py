@@ -30,6 +30,8 @@ HAND = _struct(
     outcome=_struct(winners=T.ArrayType(_STR), payouts=T.MapType(_STR, _DBL), total_pot=_DBL, showdown=T.BooleanType()),
     streets=T.ArrayType(_struct(street=_STR, board_cards=T.ArrayType(_STR))),
 )
+#: A number of the table of actions -> its name in a record.
+_ACTION_NUMBERS = {"amount": "amount", "norm_bb": "normalized_amount_bb", "pot_before": "pot_before", "pot_after": "pot_after", "raise_to": "raise_to", "call_to": "call_to"}
 
 
 @dataclass
@@ -83,5 +85,33 @@ def sequences_of(groups: DataFrame) -> Sequences:
     return Sequences(flatten_actions(groups), flatten_hands(groups), flatten_players(groups))
 
 
+def nested(seq: Sequences) -> DataFrame:
+    """group_id and its hands as nested records, which ``sequences_of`` takes apart again: hands in order of their ids (which become places), actions in
+    theirs, players by seat. A hand that was won names the hero's seat as winner; a hand's streets are those of its shape, with a card on
+    as many of the later ones as had a board. A group is one record, as in the files, so its hands come together."""
+    keys = ["group_id", "hand_id"]
+    action = F.struct(
+        F.col("seat").cast("int").alias("actor_seat"), "action_type", "street", *[F.col(c).cast("double").alias(n) for c, n in _ACTION_NUMBERS.items()]
+    )
+    player = F.struct(F.col("seat").cast("int").alias("seat"), "player_uid", F.col("starting_stack").cast("double").alias("starting_stack"))
+    acts = seq.actions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("action_idx", action.alias("x")))).alias("acts"))
+    seats = seq.players.groupBy(*keys).agg(F.array_sort(F.collect_list(player)).alias("players"))
+    late = lambda s, i: F.when(i > F.size("letters") - 1 - F.col("n_board_streets"), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>"))
+    street = F.create_map(*[F.lit(x) for name, code in S.STREET_CODES.items() for x in (code, name)])
+    rows = seq.hands.join(acts, keys, "left").join(seats, keys, "left").withColumn("letters", F.filter(F.split("street_shape", ""), lambda x: x != ""))
+    winners = F.when(F.col("won"), F.array(F.col("hero_seat").cast("string"))).otherwise(F.array().cast("array<string>"))
+    hand = F.struct(
+        F.struct(F.col("hero_seat").cast("int").alias("hero_seat"), F.col("bb").cast("double").alias("bb"), F.col("button_seat").cast("int").alias("button_seat")).alias("metadata"),
+        F.coalesce("players", F.array().cast(T.ArrayType(PLAYER))).alias("players"),
+        F.coalesce(F.transform("acts", lambda a: a["x"]), F.array().cast(T.ArrayType(ACTION))).alias("actions"),
+        F.struct(winners.alias("winners"), F.lit(None).cast("map<string,double>").alias("payouts"), F.col("total_pot").cast("double").alias("total_pot"), "showdown").alias("outcome"),
+        F.transform("letters", lambda x, i: F.struct(street[x].alias("street"), late(x, i).alias("board_cards"))).alias("streets"),
+    )
+    # the hand's record holds a map, which has no order, so the ids alone are sorted
+    packed = F.collect_list(F.struct("hand_id", hand.alias("h")))
+    order = F.array_sort(packed, lambda a, b: F.when(a["hand_id"] < b["hand_id"], -1).when(a["hand_id"] > b["hand_id"], 1).otherwise(0))
+    return rows.groupBy("group_id").agg(F.transform(order, lambda x: x["h"]).cast(T.ArrayType(HAND)).alias("hands"))
+
+
 def _zero(name: str) -> Column:
     return F.coalesce(name, F.lit(0.0))

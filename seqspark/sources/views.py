@@ -77,8 +77,9 @@ def hourly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("group_id", (F.dayofmonth(F.to_date("group_id")) % 2).alias("label"), week.alias("release"))
 
 
-def short(spark: SparkSession, sf_dir: str) -> Sequences:
-    rows = _event_rows(spark, sf_dir).withColumn("group_id", F.floor(F.col("event_id") / 200)).withColumn("hand_id", F.floor(F.col("event_id") / 2))
+def short(spark: SparkSession, sf_dir: str, events: int = 200) -> Sequences:
+    """Groups of so many events."""
+    rows = _event_rows(spark, sf_dir).withColumn("group_id", F.floor(F.col("event_id") / events)).withColumn("hand_id", F.floor(F.col("event_id") / 2))
     place = F.row_number().over(Window.partitionBy("group_id", "hand_id").orderBy("event_id"))
     return _sequences(rows.withColumn("action_idx", place).withColumn("hero_seat", (F.col("group_id") % 6).cast("int")))
 
