@@ -494,6 +494,8 @@ SELECT batch_id, idx, round(CASE WHEN n < 4 THEN score ELSE {_CLAMP.format("0.5
     "single_group_scores": "SELECT vec_id AS batch_id, round(CASE WHEN vec_id % 17 <> 0 THEN 1 / (1 + exp(-10 * embedding[2]::DOUBLE)) ELSE 0.5 END, 6) AS score FROM embeddings",
     "captured_drift": f"WITH {SCORED}, {LONG}, {SHIFT} SELECT feature, round(z, 6) AS z FROM shift ORDER BY shift.z DESC, feature LIMIT 12",
     "range_snapped": f"WITH e AS (SELECT event_id, CAST(round(value * 100) AS BIGINT) / 1000 AS u FROM events) SELECT event_id, {_nearest('u', EXACT_GRID)}::DOUBLE AS point FROM e",
+    "release_gate": """WITH g AS (SELECT DISTINCT event_id // 20 AS group_id FROM events)
+SELECT 'parts' AS model, '2026-01-01' AS day, true AS accepted, count(*) FILTER (group_id % 4 = 3) AS n_walked, count(*) AS n_oof, true AS sound FROM g""",
     "promotion_history": f"""WITH {SCORED}, {MODELS}, base AS (SELECT reward AS b, hard_fpr AS f FROM model_metrics WHERE model = 'stack'),
 c AS (SELECT model, model = 'drse' AS forced, concat_ws(',', CASE WHEN safety <= 0 THEN 'safety' END, CASE WHEN hard_fpr >= 0.06 THEN 'hard_fpr' END, CASE WHEN positive_rate < 0.02 THEN 'positive_rate' END,
   CASE WHEN hard_recall <= 0 THEN 'hard_recall' END) AS reasons, b - reward > 0.002 AND NOT (f - hard_fpr >= 0.01 AND b - reward <= 0.01) AS regression FROM model_metrics, base WHERE model <> 'stack')

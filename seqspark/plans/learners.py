@@ -79,14 +79,12 @@ def out_of_fold(fit_one: Callable[[DataFrame], Scorer], rows: DataFrame, k: int
     """rows with what a model that has not seen their release adds to them. The rows are written with their folds once, and nothing stays cached."""
     folds = selection.grouped_folds(rows, k).select("release", "fold")
     rows = written(rows.join(F.broadcast(folds), "release"))
-    parts = []
+    out = None
     for i in range(k):
-        held = rows.where(F.col("fold") == i)
-        parts.append(fit_one(rows.where(F.col("fold") != i))(held))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("fold")
+        seen, held = (rows.where(c).drop("fold") for c in (F.col("fold") != i, F.col("fold") == i))
+        part = fit_one(seen)(held)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def learner(name: str, columns: Sequence[str], seed: int = 1, to: str = "score") -> Callable[[DataFrame], Scorer]:
@@ -150,8 +148,11 @@ def together(members: Iterable[Callable[[DataFrame], Scorer]]) -> Callable[[Data
 
 
 def signed_committee(columns: Sequence[str], signs: Mapping[str, int], seeds: Sequence[int] = (1, 2, 3), to: str = "score", keys: Sequence[str] = ("group_id",)) -> Callable[[DataFrame], Scorer]:
-    """Logistic regressions on samples of the rows, drawn by their keys, whose coefficients keep each feature's sign (0: left out), averaged."""
+    """Logistic regressions on samples of the rows, drawn by their keys, whose coefficients keep each feature's sign (0: left out), averaged.
+    Where no feature has a sign, every row is neutral (0.5)."""
     used = [c for c in columns if signs.get(c, 0)]
+    if not used:
+        return lambda train: lambda rows: rows.withColumn(to, F.lit(0.5))
 
     def fitted(train: DataFrame) -> Scorer:
         low = Matrices.dense(1, len(used), [0.0 if signs[c] > 0 else float("-inf") for c in used])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import scalars as S
@@ -695,11 +695,12 @@ def four_part_scores(spark, sf_dir):
     return learners.served_by(out, "log_odds", PRIOR).select("group_id", "release", "label", "score")
 
 
-def _released(spark, sf_dir, seq, releases: int) -> DataFrame:
-    """Groups nested, written as releases and read again. A group's label says that at least two fifths of its actions are bets or raises."""
+def _released(seq: tables.Sequences, name: Column) -> DataFrame:
+    """Groups nested, written as releases of a name each and read again. A group's label says that at least two fifths of its actions are bets or raises."""
     active = F.avg(F.col("action_type").isin("bet", "raise").cast("double")) >= 0.4
     facts = seq.actions.groupBy("group_id").agg(active.cast("int").alias("label")).withColumn("split", F.lit("train"))
-    facts = facts.withColumn("release", F.pmod(F.crc32(F.col("group_id").cast("string")), F.lit(releases)).cast("string"))
+    facts = facts.withColumn("release", name)
+    spark = facts.sparkSession
     path = io.scratch(spark, "releases")
     io.write_releases(tables.nested(seq).join(facts, "group_id"), path)
     return io.read_releases(spark, path, lines=True)
@@ -708,7 +709,7 @@ def _released(spark, sf_dir, seq, releases: int) -> DataFrame:
 @query
 def loaded_hands(spark, sf_dir):
     """SRC2, SRC6, JN2, JN3 by the loader itself: nested releases are written, read, taken apart, and give the hero's features; hands are known by their places."""
-    loaded = _released(spark, sf_dir, views.hourly(spark, sf_dir), 3)
+    loaded = _released(views.hourly(spark, sf_dir), F.substring("group_id", 9, 1))
     return rounded(hands.hand_features(tables.sequences_of(loaded)).withColumn("hand_id", F.col("hand_id").cast("long")), 9)
 
 
@@ -723,7 +724,7 @@ GATE_FEATURES = (
 def release_gate(spark, sf_dir):
     """SRC2 to PG4 in one run (AG10, FLT4, JN9, ML1, ML3, ML18, ML27, PG1, PG2, PRJ17): release files, vectors, the four components on their own views against a logistic
     regression, the gate, and the history read again. Of the candidate the groups walked and out of fold, and whether its figures are shares."""
-    groups_ = _released(spark, sf_dir, views.short(spark, sf_dir, 20), 4)
+    groups_ = _released(views.short(spark, sf_dir, 20), (F.col("group_id") % 4).cast("string"))
     rows = release.labelled_features(groups_, GATE_FEATURES)
     candidates = {"single": learners.learner("logistic", GATE_FEATURES), "parts": release.blended_parts(GATE_FEATURES, PRIOR)}
     figures = release.judged(candidates, rows, latest=1, min_train=10)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from seqspark.sources.tables import HAND
 
 RELEASE = T.StructType([
+    T.StructField("release", T.StringType()),
     T.StructField("chunks", T.ArrayType(T.StructType([
         T.StructField("split", T.StringType()),
         T.StructField("chunks", T.ArrayType(T.ArrayType(HAND))),
@@ -40,12 +41,12 @@ def written(df: DataFrame) -> DataFrame:
 def read_releases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Labelled groups -> group_id, release, split, label, hands. Groups and labels are paired by place; those without either are left out.
 
-    One JSON file a release, its stem the release's name, is read whole by one task. With ``lines`` there is a folder release=<name> each, of
-    files with a document a line (``write_releases``), which are split among tasks at any size. Groups are named by release, part and place
-    where the document does not name them."""
+    One JSON file a release, its stem the release's name, is read whole by one task. With ``lines`` there are files of any number in folders, with a
+    document a line that names its release (``write_releases``), and they are split among tasks at any size. Groups are named by release, part
+    and place where the document does not name them."""
     files = spark.read.schema(RELEASE).option("multiLine", not lines).option("recursiveFileLookup", lines).json(path).withColumn("file", F.input_file_name())
-    release = F.regexp_extract("file", r"/release=([^/]+)/[^/]*$" if lines else r"([^/]+?)(?:\.json)?$", 1)
-    parts = files.select((F.url_decode(release) if lines else release).alias("release"), F.posexplode("chunks").alias("part", "c"))
+    release = F.col("release") if lines else F.regexp_extract("file", r"([^/]+?)(?:\.json)?$", 1)
+    parts = files.select(release.alias("release"), F.posexplode("chunks").alias("part", "c"))
     paired = F.arrays_zip(F.col("c.chunks").alias("hands"), F.col("c.groundTruth").alias("label"))
     rows = parts.select("release", "part", F.coalesce("c.split", F.lit("train")).alias("split"), F.col("c.groupIds").alias("ids"), F.posexplode(paired).alias("place", "g"))
     rows = rows.where("g.hands IS NOT NULL AND g.label IS NOT NULL")
@@ -58,7 +59,7 @@ def write_releases(groups: DataFrame, path: str) -> None:
     one = F.struct(
         "split", F.array("hands").alias("chunks"), F.array(F.col("label").cast("int")).alias("groundTruth"), F.array(F.col("group_id").cast("string")).alias("groupIds")
     )
-    groups.select("release", F.to_json(F.struct(F.array(one).alias("chunks"))).alias("value")).write.mode("overwrite").partitionBy("release").text(path)
+    groups.select("release", F.to_json(F.struct("release", F.array(one).alias("chunks"))).alias("value")).write.mode("overwrite").partitionBy("release").text(path)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
