@@ -100,23 +100,26 @@ def newest_moments(spark: SparkSession, path: str, before: int | None = None) ->
     return rows.where(F.col("epoch") == (-1 if newest is None else newest)).drop("epoch")
 
 
-def capture(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, cap: int = 3000, live_ms: int = 86_400_000, features: list[str] | None = None) -> StreamingQuery:
-    """Appends the first row of each key to a pool that never holds more than ``cap`` rows, in the order of arrival, then of ``order``.
+def capture(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, cap: int | None = 3000, live_ms: int = 86_400_000, features: list[str] | None = None) -> StreamingQuery:
+    """Appends the first row of each key to a pool that never holds more than ``cap`` rows (None: without a bound), in the order of arrival, then of ``order``.
 
-    State forgets a key after ``live_ms``; one that comes again later is still left out while the pool holds it, for the pool, of at most
-    ``cap`` rows, is looked up too. With ``features`` the moments of the pool go on by those of each micro-batch. A micro-batch that is
+    State forgets a key after ``live_ms``; one that comes again later is still left out while the pool holds it, for the pool is looked up
+    too (broadcast where it has a bound, else joined by key). With ``features`` the moments of the pool go on by those of each micro-batch. A micro-batch that is
     replayed counts what came before it and overwrites its own files, so a restart changes nothing.
     """
     spark, schema = rows.sparkSession, rows.schema
 
     def admit(batch: DataFrame, epoch: int) -> None:
         held = _epochs(spark, f"{path}/rows", schema, epoch).select(F.col(key).alias("_held"))
-        room = cap - held.count()
-        if room <= 0:  # the state goes on all the same
-            batch.write.format("noop").mode("overwrite").save()
-            return
-        fresh = batch.join(F.broadcast(held), F.col(key) == F.col("_held"), "left_anti")  # at most cap rows are held
-        fresh.orderBy(order, key).limit(room).write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        if cap is None:
+            fresh = batch.join(held, F.col(key) == F.col("_held"), "left_anti")
+        else:
+            room = cap - held.count()
+            if room <= 0:  # the state goes on all the same
+                batch.write.format("noop").mode("overwrite").save()
+                return
+            fresh = batch.join(F.broadcast(held), F.col(key) == F.col("_held"), "left_anti").orderBy(order, key).limit(room)  # at most cap rows are held
+        fresh.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
         if features:
             new = spark.read.schema(schema).parquet(f"{path}/rows/epoch={epoch}")
             merged(newest_moments(spark, path, epoch), moments(new, features)).coalesce(1).write.mode("overwrite").parquet(f"{path}/moments/epoch={epoch}")
