@@ -98,3 +98,27 @@ def test_a_written_model_is_served_by_its_kind(spark, tmp_path):
     assert abs(out.first()["score"] - 0.36) < 1e-9
     with pytest.raises(ValueError):
         learners.blend_kind("unknown", {"a": 1.0})
+
+
+def test_fits_run_side_by_side(rows):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)  # breaks where one fit waits for the other to end
+
+    def member(to):
+        def fit_one(train):
+            both.wait()
+            return lambda df: df.withColumn(to, F.lit(0.5))
+
+        return fit_one
+
+    assert {"a", "b"} <= set(learners.together([member("a"), member("b")])(rows)(rows).columns)
+    assert learners.out_of_fold(member("a"), rows, 2).count() == 240
+
+
+def test_random_cut_trees_add_one_expression_a_tree(spark):
+    facts = [(i, i % 2, float(i % 7) if i % 5 else None, float("nan") if i % 11 == 0 else i / 60) for i in range(60)]
+    df = spark.createDataFrame(facts, "group_id long, label int, a double, b double")
+    out = learners.random_cut_trees(["a", "b"], trees=2, cuts=5)(df)(df)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("coalesce(") == 0 and out.where("score BETWEEN 0 AND 1").count() == 60
