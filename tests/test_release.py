@@ -85,3 +85,20 @@ def test_scores_out_of_fold_nest(rows):
 
 def test_a_committee_without_signs_is_neutral(rows):
     assert {r["score"] for r in learners.signed_committee(X, {})(rows)(rows).select("score").collect()} == {0.5}
+
+
+def test_groups_are_parsed_once_and_few_features_derive_only_what_they_need(spark, monkeypatch):
+    from seqspark.operators import hands
+
+    made, own = [], release.written
+    keep = lambda df: made.append(own(df)) or made[-1]
+    monkeypatch.setattr(release, "written", keep)
+    monkeypatch.setattr(hands, "written", keep)
+    names = ["mean_aggr_frac", "hf_mean_action_entropy"]
+    nested = tables.nested(views.short(spark, DATA, 100)).withColumns({"release": F.lit("a"), "split": F.lit("train"), "label": F.lit(1)})
+    out = release.labelled_features(nested, names)
+    assert [f.columns for f in made if "hands" in f.columns] == [nested.columns]
+    assert not any("action_run_length" in f.columns for f in made)
+    found = release.Registry().plan(hands.prepared(tables.sequences_of(nested)), names)
+    values = lambda df: {r[0]: tuple(round(x, 9) for x in r[1:]) for r in df.select("group_id", *names).collect()}
+    assert values(out) == values(found) and len(values(out)) > 1
