@@ -1,4 +1,7 @@
 import json
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +58,30 @@ def test_whole_vector_of_degenerate_groups(spark):
     assert rows["a"]["rp_vendi_frac"] == 1 and rows["b"]["rp_exact_dup_frac_action"] == 0.5 and rows["b"]["hf_hand_count"] == 2
 
 
+def test_redundancy_of_all_hands_and_actions(spark):
+    kinds, streets = ("bet", "call", "check", "fold", "raise"), ("preflop", "flop", "turn", "river")
+    draw = random.Random(4)
+    # what is new begins at the 71st hand and after more than 4,000 actions; some hands have no pair of actions
+    lines = [[("preflop", "check")] * 60] * 70 + [[(draw.choice(streets), draw.choice(kinds)) for _ in range(n)] for n in (0, 1, 1, 2, 2, 3, 3, 4, 5, 6, 8, 12)] + [[("flop", "bet"), ("flop", "call")]] * 3
+    assert sum(map(len, lines[:70])) > redundancy.MAX_ACTIONS
+    sets_ = [set(zip(x, x[1:], strict=False)) for x in lines]
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    rows = [sum(alike(a, b) for j, b in enumerate(sets_) if i != j) for i, a in enumerate(sets_)]
+    w = [(r + 1) / (sum(rows) + len(rows)) for r in rows]
+    flat = [kind for x in lines for _, kind in x]
+    pairs, firsts = Counter(zip(flat, flat[1:], strict=False)), Counter(flat[:-1])
+    expected = {
+        "rp_pair_jaccard_mean": sum(rows) / len(rows) / (len(rows) - 1), "rp_vendi_frac": math.exp(-sum(x * math.log(x) for x in w)) / len(w),
+        "rp_entropy_rate": -sum(c * math.log2(c / firsts[a]) for (a, _), c in pairs.items()) / pairs.total(),
+    }
+    seq = sequences_of(frame(spark, g=[hand([action(1, kind, street, 2.0) for street, kind in x]) for x in lines], one=[hand([action(1, "bet")])]))
+    found = {r["group_id"]: r.asDict() for r in redundancy.redundancy_features(seq, with_compression=False).collect()}
+    assert {k: found["g"][k] for k in expected} == pytest.approx(expected, abs=1e-9)
+    assert found["one"]["rp_pair_jaccard_mean"] == 0 and found["one"]["rp_vendi_frac"] == 1
+    blocks = {r["group_id"]: r.asDict() for r in redundancy.pairwise(redundancy._rich(seq), block=3).collect()}
+    assert {k: blocks["g"][k] for k in list(expected)[:2]} == pytest.approx({k: expected[k] for k in list(expected)[:2]}, abs=1e-9)
+
+
 def test_signatures_and_scores(spark):
     same = [hand([action(1, "bet", amount=2.0), action(2, "fold")]) for _ in range(3)]
     seq = sequences_of(frame(spark, a=same))
